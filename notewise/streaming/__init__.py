@@ -1,0 +1 @@
+"""No streaming operators: every job here works on finished pieces (batch)."""
