@@ -1,68 +1,66 @@
-"""Random draws as pure functions of keys, so results never depend on partitioning."""
+"""Random draws as pure functions of keys, so results never depend on partitioning.
+
+Every function returns SQL text: a draw is one expression over key columns.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 HASH_MODULUS = 2147483647
 
 
-def stable_hash(text: Column) -> Column:
+def stable_hash(text: str) -> str:
     """First eight hex digits of MD5, modulo 2**31 - 1."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(HASH_MODULUS)
+    return f"(CAST(conv(substring(md5({text}), 1, 8), 16, 10) AS BIGINT) % {HASH_MODULUS})"
 
 
-def hash_of(op: str, seed: int, *keys: Column) -> Column:
-    return stable_hash(F.concat_ws("|", F.lit(op), F.lit(str(seed)), *[k.cast("string") for k in keys]))
+def hash_of(op: str, seed: int, *keys: str) -> str:
+    return stable_hash(f"concat_ws('|', '{op}', '{seed}', {', '.join(f'CAST({k} AS STRING)' for k in keys)})")
 
 
-def uniform(op: str, seed: int, *keys: Column) -> Column:
+def uniform(op: str, seed: int, *keys: str) -> str:
     """Uniform double in [0, 1) keyed by operation, seed and row keys."""
-    return hash_of(op, seed, *keys).cast("double") / F.lit(float(HASH_MODULUS))
+    return f"({hash_of(op, seed, *keys)} / {HASH_MODULUS}D)"
 
 
-def uniform_int(op: str, seed: int, low, high, *keys: Column) -> Column:
+def uniform_int(op: str, seed: int, low, high, *keys: str) -> str:
     """Uniform integer in [low, high], both ends included."""
-    low = low if isinstance(low, Column) else F.lit(low)
-    high = high if isinstance(high, Column) else F.lit(high)
-    return (low + F.floor(uniform(op, seed, *keys) * (high - low + 1))).cast("int")
+    return f"CAST(({low}) + floor({uniform(op, seed, *keys)} * (({high}) - ({low}) + 1)) AS INT)"
 
 
-def normal(op: str, seed: int, *keys: Column) -> Column:
+def normal(op: str, seed: int, *keys: str) -> str:
     """Standard normal by the Box-Muller transform of two keyed uniforms."""
-    u = uniform(op + ".a", seed, *keys)
-    v = uniform(op + ".b", seed, *keys)
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * v)
+    u, v = uniform(op + ".a", seed, *keys), uniform(op + ".b", seed, *keys)
+    return f"(sqrt(-2D * ln(1D - {u})) * cos(2 * pi() * {v}))"
+
 
+def nonzero_offset(op: str, seed: int, spread: int, sigma: float, *keys: str) -> str:
+    """Rounded normal clipped to +-spread, given that it is not zero."""
+    return discrete(nonzero_offset_cdf(spread, sigma), uniform(op, seed, *keys))
 
-def nonzero_offset(op: str, seed: int, spread: int, sigma: float, *keys: Column) -> Column:
-    """Rounded normal clipped to +-spread, redrawn while zero; ends in a fair coin for +-1..spread.
 
-    The redraw is folded into one draw: conditioned on not being zero, the clipped rounded
-    normal has a fixed finite distribution, so its inverse CDF is used.
-    """
-    return discrete_draw(nonzero_offset_cdf(spread, sigma), uniform(op, seed, *keys))
+def discrete(cdf: list[tuple[int, float]], u: str) -> str:
+    """Inverse CDF of a finite distribution at u."""
+    whens = " ".join(f"WHEN {u} < {upto!r}D THEN {value}" for value, upto in cdf[:-1])
+    return f"(CASE {whens} ELSE {cdf[-1][0]} END)" if whens else str(cdf[-1][0])
 
 
 def _phi(x: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
-def nonzero_offset_cdf(spread: int, sigma: float) -> list[tuple[int, float]]:
-    """(value, cumulative probability) of the clipped rounded normal given it is not zero."""
+def rounded_normal(mean: float, sigma: float, low: int, high: int, clip: bool) -> dict[int, float]:
+    """Mass of round(N(mean, sigma)) on low..high; tails are folded into the ends when clipped."""
     mass = {}
-    for k in range(-spread, spread + 1):
-        lo = -math.inf if k == -spread else (k - 0.5) / sigma
-        hi = math.inf if k == spread else (k + 0.5) / sigma
-        mass[k] = (_phi(hi) if hi != math.inf else 1.0) - (_phi(lo) if lo != -math.inf else 0.0)
-    mass.pop(0, None)
-    return _cumulate(mass)
+    for k in range(low, high + 1):
+        a = 0.0 if clip and k == low else _phi((k - 0.5 - mean) / sigma)
+        b = 1.0 if clip and k == high else _phi((k + 0.5 - mean) / sigma)
+        mass[k] = b - a
+    return mass
 
 
-def _cumulate(mass: dict[int, float]) -> list[tuple[int, float]]:
+def cumulated(mass: dict[int, float]) -> list[tuple[int, float]]:
     total = sum(mass.values())
     out, acc = [], 0.0
     for k in sorted(mass):
@@ -71,6 +69,13 @@ def _cumulate(mass: dict[int, float]) -> list[tuple[int, float]]:
     return out
 
 
+def nonzero_offset_cdf(spread: int, sigma: float) -> list[tuple[int, float]]:
+    """(value, cumulative probability) of the clipped rounded normal given it is not zero."""
+    mass = rounded_normal(0.0, sigma, -spread, spread, clip=True)
+    mass.pop(0)
+    return cumulated(mass)
+
+
 def poisson_cdf(lam: float, top: int = 24) -> list[tuple[int, float]]:
     """max(1, Poisson(lam)) as (value, cumulative probability)."""
     mass: dict[int, float] = {}
@@ -78,12 +83,4 @@ def poisson_cdf(lam: float, top: int = 24) -> list[tuple[int, float]]:
     for k in range(top + 1):
         mass[max(1, k)] = mass.get(max(1, k), 0.0) + p
         p *= lam / (k + 1)
-    return _cumulate(mass)
-
-
-def discrete_draw(cdf: list[tuple[int, float]], u: Column) -> Column:
-    """Inverse CDF of a finite distribution."""
-    expr = None
-    for value, upto in cdf[:-1]:
-        expr = F.when(u < F.lit(upto), F.lit(value)) if expr is None else expr.when(u < F.lit(upto), F.lit(value))
-    return F.lit(cdf[-1][0]) if expr is None else expr.otherwise(F.lit(cdf[-1][0]))
+    return cumulated(mass)

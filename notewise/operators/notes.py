@@ -147,10 +147,8 @@ def trim_empty_bars(notes: DataFrame, bars: DataFrame, keys: Sequence[str], bar_
 
 def note_order(notes: DataFrame, keys: Sequence[str], seed: int, ident: Sequence[str], out: str = "order_idx") -> DataFrame:
     """Time order with a seeded shuffle inside equal onsets, independent of partitioning."""
-    mix = hash_of("order", seed, *[F.col(c) for c in [*keys, *ident]])
-    keyed = notes.withColumn("__mix", mix)
-    order = [F.col("st"), F.col("__mix"), *[F.col(c) for c in ident]]
-    return dense_index(keyed, keys, order, F.col("st"), idx=out).drop("__mix")
+    mixed = notes.selectExpr("*", f"{hash_of('order', seed, *keys, *ident)} AS __mix")
+    return dense_index(mixed, keys, ["st", "__mix", *ident], "st", idx=out).drop("__mix")
 
 
 def shift_to_zero(notes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,26 +10,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewise import constants as C
 
 
+def over(keys: Sequence[str], order: Sequence[str] = (), frame: str = "") -> str:
+    """SQL window clause."""
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    by = f" ORDER BY {', '.join(order)}" if order else ""
+    return f"OVER ({part}{by} {frame})"
+
+
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
 def dense_index(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    coarse: Column,
+    order: Sequence[str],
+    coarse: str,
     *,
     idx: str = "idx",
     total: str | None = None,
-    weight: Column | None = None,
+    weight: str | None = None,
     first_of: tuple[str, str] | None = None,
     next_of: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Zero-based position of each row within its keys, by a two-level prefix sum.
 
+    ``order`` and ``coarse`` are SQL expressions.
+
     ``total``     also adds the number of rows (or weight) of the keys
     ``weight``    makes ``idx`` an exclusive running sum of the weight
     ``first_of``  (column, name): smallest value of a column over the keys
@@ -37,37 +50,27 @@ def dense_index(
                   decrease along the order
     """
     keys = list(keys)
-    tagged = df.withColumn("__bucket", coarse)
-    w = F.lit(1) if weight is None else weight
-    aggs = [F.sum(w).cast("long").alias("__n")]
-    if first_of:
-        aggs.append(F.min(first_of[0]).alias("__first"))
-    if next_of:
-        aggs.append(F.min(next_of[0]).alias("__lo"))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    along = per_key.orderBy("__bucket")
-    buckets = tagged.groupBy(*keys, "__bucket").agg(*aggs)
-    cols = [F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")]
-    if total:
-        cols.append(F.sum("__n").over(per_key).alias(total))
-    if first_of:
-        cols.append(F.min("__first").over(per_key).alias(first_of[1]))
-    if next_of:
-        cols.append(F.lead("__lo").over(along).alias("__next_lo"))
-    buckets = buckets.select(*keys, "__bucket", *cols)
-
-    inner = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    if weight is None:
-        local = F.row_number().over(inner) - 1
-    else:
-        local = F.coalesce(F.sum(weight).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = tagged.withColumn("__local", local.cast("long"))
-    if next_of:
-        rows = rows.withColumn("__next", F.lead(next_of[0]).over(inner))
-    out = rows.join(buckets, keys + ["__bucket"]).withColumn(idx, F.col("__base") + F.col("__local"))
-    if next_of:
-        out = out.withColumn(next_of[1], F.coalesce("__next", "__next_lo"))
-    return out.drop("__bucket", "__base", "__local", "__next", "__next_lo")
+    cols = df.columns
+    tagged = df.selectExpr("*", f"{coarse} AS __bucket")
+    buckets = tagged.groupBy(*keys, "__bucket").agg(
+        F.expr(f"CAST(sum({weight or 1}) AS BIGINT) AS __n"),
+        *([F.expr(f"min({first_of[0]}) AS __first")] if first_of else []),
+        *([F.expr(f"min({next_of[0]}) AS __lo")] if next_of else []),
+    ).selectExpr(
+        *keys, "__bucket",
+        f"coalesce(sum(__n) {over(keys, ['__bucket'], BEFORE)}, 0) AS __base",
+        *([f"sum(__n) {over(keys)} AS {total}"] if total else []),
+        *([f"min(__first) {over(keys)} AS {first_of[1]}"] if first_of else []),
+        *([f"lead(__lo) {over(keys, ['__bucket'])} AS __next_lo"] if next_of else []),
+    )
+    inner = [*keys, "__bucket"]
+    local = f"row_number() {over(inner, order)} - 1" if weight is None else f"coalesce(sum({weight}) {over(inner, order, BEFORE)}, 0)"
+    rows = tagged.selectExpr(
+        "*", f"CAST({local} AS BIGINT) AS __local",
+        *([f"lead({next_of[0]}) {over(inner, order)} AS __next"] if next_of else []))
+    return rows.join(buckets, inner).selectExpr(
+        *cols, f"__base + __local AS {idx}", *([total] if total else []), *([first_of[1]] if first_of else []),
+        *([f"coalesce(__next, __next_lo) AS {next_of[1]}"] if next_of else []))
 
 
 def to_windows(
@@ -84,18 +87,12 @@ def to_windows(
     Window w starts at w*step.  A window is dropped when it is shorter than ``min_len`` or
     when the window before it already reached the end.  Every (key, w) has at most ``size`` rows.
     """
-    pos, n = F.col(idx), F.col(total)
     reach = -(-size // step)
-    base = F.floor(pos / step).cast("long")
-    out = df.withColumn("w", F.explode(F.array(*[base - j for j in range(reach)])))
-    start = F.col("w") * step
-    return (
-        out.where((F.col("w") >= 0) & (pos < start + size))
-        .where((F.col("w") == 0) | (start - step + size < n))
-        .withColumn("wlen", F.least(F.lit(size).cast("long"), n - start))
-        .where(F.col("wlen") >= min_len)
-        .withColumn("i", (pos - start).cast("int"))
-    )
+    choices = ", ".join(f"{idx} div {step} - {j}" for j in range(reach))
+    return df.selectExpr("*", f"explode(array({choices})) AS w").where(
+        f"w >= 0 AND {idx} < w * {step} + {size} AND (w = 0 OR (w - 1) * {step} + {size} < {total}) "
+        f"AND least({size}, {total} - w * {step}) >= {min_len}"
+    ).selectExpr("*", f"least({size}L, {total} - w * {step}) AS wlen", f"CAST({idx} - w * {step} AS INT) AS i")
 
 
 def window_table(
@@ -107,18 +104,14 @@ def window_table(
     min_len: int = C.WINDOW_MIN_NOTES,
 ) -> DataFrame:
     """Windows of each voice from its length alone: adds ``w``, ``w_start`` and ``wlen``."""
-    n = F.col(total)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    return (
-        voices.where(n >= min_len)
-        .withColumn("w", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("w_start", F.col("w") * step)
-        .withColumn("wlen", F.least(F.lit(size).cast("long"), n - F.col("w_start")).cast("long"))
-        .where(F.col("wlen") >= min_len)
-    )
+    last = f"CAST(greatest(0, ceil(({total} - {size}) / {step})) AS INT)"
+    return voices.where(f"{total} >= {min_len}").selectExpr("*", f"explode(sequence(0, {last})) AS w").selectExpr(
+        "*", f"w * {step} AS w_start", f"least({size}L, {total} - w * {step}) AS wlen").where(f"wlen >= {min_len}")
 
 
 def pack(df: DataFrame, keys: Sequence[str], fields: Sequence[str], *, pos: str = "i", out: str = "notes") -> DataFrame:
     """Collect bounded groups into position-ordered arrays of structs (no padding)."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, *fields))).alias("__packed"))
-    return packed.select(*keys, F.transform("__packed", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
+    inner = ", ".join(fields)
+    taken = ", ".join(f"x.{f} AS {f}" for f in fields)
+    packed = df.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({pos}, {inner}))) AS __packed"))
+    return packed.selectExpr(*keys, f"transform(__packed, x -> struct({taken})) AS {out}")

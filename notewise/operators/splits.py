@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise import constants as C
@@ -14,8 +14,7 @@ from notewise.operators.ordered import dense_index
 HASH_BUCKETS = 4096
 
 
-def _bucket(h: Column) -> Column:
-    return F.floor(h / (HASH_MODULUS // HASH_BUCKETS + 1))
+BUCKET = f"__h div {HASH_MODULUS // HASH_BUCKETS + 1}"
 
 
 def group_split(items: DataFrame, group: str, seed: int, ratios: Sequence[float] = C.SPLIT_RATIOS) -> DataFrame:
@@ -27,9 +26,8 @@ def group_split(items: DataFrame, group: str, seed: int, ratios: Sequence[float]
     if abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError("ratios must sum to 1")
     sizes = items.groupBy(group).agg(F.count("*").alias("__size"))
-    hashed = sizes.withColumn("__h", hash_of("split", seed, F.col(group)))
-    ranked = dense_index(
-        hashed, [], [F.col("__h"), F.col(group)], _bucket(F.col("__h")), idx="__before", total="__all", weight=F.col("__size"))
+    hashed = sizes.selectExpr("*", f"{hash_of('split', seed, group)} AS __h")
+    ranked = dense_index(hashed, [], ["__h", group], BUCKET, idx="__before", total="__all", weight="__size")
     in_train = F.col("__before") < F.rint(F.col("__all") * ratios[0])
     train_total = ranked.agg(F.max(F.when(in_train, F.col("__before") + F.col("__size")))).first()[0] or 0
     in_valid = F.col("__before") - F.lit(train_total) < F.rint(F.col("__all") * ratios[1])
@@ -43,16 +41,16 @@ def stratified_split(items: DataFrame, label: str | None, ident: str, seed: int,
     ``label`` None treats all items as one stratum.  Adds ``is_test``.
     """
     keys = [label] if label else []
-    hashed = items.withColumn("__h", hash_of("strata", seed, F.col(ident)))
-    ranked = dense_index(hashed, keys, [F.col("__h"), F.col(ident)], _bucket(F.col("__h")), idx="__rank", total="__n")
+    hashed = items.selectExpr("*", f"{hash_of('strata', seed, ident)} AS __h")
+    ranked = dense_index(hashed, keys, ["__h", ident], BUCKET, idx="__rank", total="__n")
     quota = F.when(F.col("__n") < 2, 0).otherwise(
         F.least(F.greatest(F.rint(F.col("__n") * ratio), F.lit(1)), F.col("__n") - 1))
     return ranked.withColumn("is_test", F.col("__rank") < quota).drop("__h", "__rank", "__n")
 
 
-def dense_ids(items: DataFrame, order: Sequence[str], coarse: Column, out: str = "doc_id") -> DataFrame:
+def dense_ids(items: DataFrame, order: Sequence[str], coarse: str, out: str = "doc_id") -> DataFrame:
     """Ids 0.. in a sort order; ``coarse`` must follow that order."""
-    return dense_index(items, [], [F.col(c) for c in order], coarse, idx=out)
+    return dense_index(items, [], order, coarse, idx=out)
 
 
 def capped_windows(windows: DataFrame, file: str, voice: str, per_voice: int = 0, per_file: int = 0) -> DataFrame:

@@ -1,2 +1,2 @@
-from notewise.plans import notes  # noqa: F401
+from notewise.plans import notes, retrieval  # noqa: F401
 from notewise.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -29,7 +29,7 @@ def delta_time(spark, sf):
 @query(f"SELECT DISTINCT user_id AS doc, {stable_hash_sql('CAST(user_id AS VARCHAR)')} AS h FROM events")
 def stable_hash_of_piece(spark, sf):
     e = tables.table(spark, sf, "events").select(F.col("user_id").alias("doc")).distinct()
-    return e.select("doc", stable_hash(F.col("doc").cast("string")).alias("h"))
+    return e.selectExpr("doc", f"{stable_hash('CAST(doc AS STRING)')} AS h")
 
 
 SHIP = """ship AS (

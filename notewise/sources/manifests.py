@@ -29,7 +29,7 @@ def class_labels(files: DataFrame, folder: str) -> DataFrame:
     named = files.withColumn("volume", names.volume_name(F.col(folder)))
     # the coarse key follows the order of the names: an equal prefix never splits the order
     distinct = named.select("volume").distinct()
-    labels = dense_index(distinct, [], [F.col("volume")], F.substring("volume", 1, 3), idx="label")
+    labels = dense_index(distinct, [], ["volume"], "substring(volume, 1, 3)", idx="label")
     return named.join(labels, "volume")
 
 
@@ -88,7 +88,7 @@ def benchmark_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Piece records; a missing row_idx falls back to the line order of the file."""
     lines = spark.read.text(path).where("trim(value) <> ''").select(
         F.from_json("value", PIECE_META).alias("r"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("line"))
-    numbered = dense_index(lines, ["f"], [F.col("line")], F.shiftright("line", 33), idx="line_no")
+    numbered = dense_index(lines, ["f"], ["line"], "shiftright(line, 33)", idx="line_no")
     return numbered.select(
         F.col("r.piece").alias("piece"), F.coalesce("r.row_idx", "line_no").alias("row_idx"),
         F.get("r.time_signature", F.lit(0)).alias("ts_num"), F.get("r.time_signature", F.lit(1)).alias("ts_den"),

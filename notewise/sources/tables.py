@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from notewise.operators.ordered import dense_index, pack, to_windows
 
@@ -17,58 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def melody_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user is one piece: doc, idx, n, pitch, st, en, dur, raw dt, event type."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    raw = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("doc"),
-        us.alias("us"),
-        "event_id",
-        F.col("event_type").alias("kind"),
-        (F.lit(48) + F.floor("value").cast("int") % 37).alias("pitch"),
-        (F.lit(1) + F.get_json_object("props", "$.k").cast("int") % 24).alias("dur"),
-    )
+    raw = table(spark, sf_dir, "events").selectExpr(
+        "user_id AS doc", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "event_id", "event_type AS kind",
+        "48 + CAST(floor(value) AS INT) % 37 AS pitch",
+        "1 + CAST(get_json_object(props, '$.k') AS INT) % 24 AS dur")
     numbered = dense_index(
-        raw, ["doc"], [F.col("us"), F.col("event_id")], F.floor(F.col("us") / MINUTE_US),
-        total="n", first_of=("us", "us0"), next_of=("us", "us1"),
-    )
-    st = F.floor((F.col("us") - F.col("us0")) / HOUR_US).cast("long")
-    nxt = F.floor((F.col("us1") - F.col("us0")) / HOUR_US).cast("long")
-    return (
-        numbered.withColumn("st", st)
-        .withColumn("en", F.col("st") + F.col("dur"))
-        .withColumn("dt", F.coalesce(nxt - F.col("en"), F.lit(0)))
-        .select("doc", "idx", "n", "pitch", "st", "en", "dur", "dt", "kind")
-    )
+        raw, ["doc"], ["us", "event_id"], f"us div {MINUTE_US}",
+        total="n", first_of=("us", "us0"), next_of=("us", "us1"))
+    return numbered.selectExpr(
+        "doc", "idx", "n", "pitch", f"(us - us0) div {HOUR_US} AS st", "dur", "kind", f"(us1 - us0) div {HOUR_US} AS st1"
+    ).selectExpr("doc", "idx", "n", "pitch", "st", "st + dur AS en", "dur", "coalesce(st1 - st - dur, 0L) AS dt", "kind")
 
 
 def melody_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed notes in long form: seq, doc, w, i, wlen and the note columns, dt clipped."""
-    notes = melody_notes(spark, sf_dir).withColumn("dt", F.greatest(F.lit(-96), F.least(F.lit(95), F.col("dt"))))
-    return to_windows(notes).withColumn("seq", F.concat_ws("#", "doc", "w"))
+    """Windowed notes in long form: doc, w, i, wlen and the note columns, dt clipped."""
+    rows = to_windows(melody_notes(spark, sf_dir))
+    return rows.selectExpr("doc", "w", "concat_ws('#', doc, w) AS seq", "i", "wlen", "pitch", "st", "en", "dur",
+                           "CAST(greatest(-96, least(95, dt)) AS INT) AS dt", "kind")
 
 
 def melody_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed windows: doc, w, seq, bos, notes ARRAY<STRUCT<pitch, dur, dt>>, at most 512 notes."""
-    rows = melody_rows(spark, sf_dir).withColumn("dt", F.col("dt").cast("int"))
-    packed = pack(rows, ["doc", "w"], ["pitch", "dur", "dt", "st", "kind"])
-    return packed.select(
-        "doc", "w", F.concat_ws("#", "doc", "w").alias("seq"),
-        F.element_at("notes", 1)["st"].alias("bos"),
-        F.transform("notes", lambda x: x["kind"]).alias("kinds"),
-        F.transform("notes", lambda x: F.struct(x["pitch"].alias("pitch"), x["dur"].alias("dur"), x["dt"].alias("dt"))).alias("notes"),
-    )
+    """Packed windows: doc, w, seq, bos, kinds, notes ARRAY<STRUCT<pitch, dur, dt>>, at most 512 notes."""
+    packed = pack(melody_rows(spark, sf_dir), ["doc", "w"], ["pitch", "dur", "dt", "st", "kind"])
+    return packed.selectExpr(
+        "doc", "w", "concat_ws('#', doc, w) AS seq", "notes[0].st AS bos", "notes.kind AS kinds",
+        "transform(notes, x -> struct(x.pitch AS pitch, x.dur AS dur, x.dt AS dt)) AS notes")
+
+
+def sequence_bound(spark: SparkSession, sf_dir: str) -> int:
+    """Upper bound of the number of windows: 16 notes or more each, a note in two at most."""
+    return table(spark, sf_dir, "events").count() // 8
 
 
 def shipment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of a supplier as a long sequence: supp, idx, n, order and line keys."""
-    li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"),
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.col("l_quantity").alias("qty"),
-    )
-    order = [F.col("us"), F.col("okey"), F.col("line"), F.col("qty")]
-    return dense_index(li, ["supp"], order, F.floor(F.col("us") / (24 * HOUR_US)), total="n").drop("us")
+    li = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey AS supp", "l_orderkey AS okey", "l_linenumber AS line",
+        "unix_micros(CAST(l_shipdate AS TIMESTAMP)) AS us", "l_quantity AS qty")
+    return dense_index(li, ["supp"], ["us", "okey", "line", "qty"], f"us div {24 * HOUR_US}", total="n").drop("us")
 
 
 def document_words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """Whole texts as arrays of lower-case words."""
-    text = F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")))
-    return table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), F.split(text, " ").alias("words"))
+    return table(spark, sf_dir, name).selectExpr(
+        f"{key} AS doc_id", r"split(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' '))), ' ') AS words")
