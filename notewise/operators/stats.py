@@ -96,11 +96,12 @@ def binned(df: DataFrame, value: Column, edges: Sequence[float], aggs: Sequence[
 
 
 def class_weight(labels: DataFrame, positive: Column, cap: float) -> DataFrame:
-    """Positive-class weight neg/pos clipped to [1, cap], and total/pos."""
+    """Weight pos/neg of the negative class clipped to [1, cap], and total/pos."""
     pos, total = F.count_if(positive), F.count("*")
+    neg = F.greatest(total - pos, F.lit(1))
     return labels.agg(
         pos.alias("pos"), (total - pos).alias("neg"),
-        F.round(F.least(F.greatest((total - pos) / F.greatest(pos, F.lit(1)), F.lit(1.0)), F.lit(float(cap))), 9).alias("pos_weight"),
+        F.round(F.least(F.greatest(pos / neg, F.lit(1.0)), F.lit(float(cap))), 9).alias("neg_weight"),
         F.round(total / F.greatest(pos, F.lit(1)), 9).alias("total_per_pos"))
 
 
