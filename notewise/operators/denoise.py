@@ -37,28 +37,33 @@ def span_list(keys: Sequence[str], target: str, n: str, lam: float, seed: int) -
     return f"transform(sequence(1, {count}), j -> struct({start} AS a, {length} AS l))"
 
 
-def span_mask(rows: DataFrame, keys: Sequence[str], ratio: float, seed: int, lam: float = 3.0, out: str = "masked") -> DataFrame:
-    """Cover about ratio * n notes by spans; single notes fill what is missing to the target."""
-    spans = rows.where("i = 0").selectExpr(*keys, f"{span_list(keys, ratio_count('wlen', ratio), 'wlen', lam, seed)} AS __spans")
-    hit = rows.join(spans, list(keys)).selectExpr("*", "exists(__spans, s -> i >= s.a AND i < s.a + s.l) AS __hit").drop("__spans")
+def span_mask(rows: DataFrame, keys: Sequence[str], ratio: float, seed: int, lam: float = 3.0, out: str = "masked", when: str = "true") -> DataFrame:
+    """Cover about ratio * n notes by spans; single notes fill what is missing to the target.
+
+    Sequences where ``when`` is false get no spans, so the fill alone picks exactly the target.
+    The span list is drawn once per sequence, on its first note, and shared by the window.
+    """
+    spans = f"CASE WHEN i = 0 AND ({when}) THEN {span_list(keys, ratio_count('wlen', ratio), 'wlen', lam, seed)} END"
+    hit = rows.selectExpr("*", f"{spans} AS __s").selectExpr("*", f"first_value(__s) {over(keys, ['i'])} AS __spans").selectExpr(
+        "*", "coalesce(exists(__spans, s -> i >= s.a AND i < s.a + s.l), false) AS __hit").drop("__s", "__spans")
     short = hit.selectExpr("*", f"{ratio_count('wlen', ratio)} - sum(CASE WHEN __hit THEN 1 ELSE 0 END) {over(keys)} AS __short")
     filled = pick_k(short, keys, "__short", seed, "__fill", "NOT __hit", "span.fill")
     return filled.selectExpr("*", f"__hit OR __fill AS {out}").drop("__hit", "__short", "__fill")
 
 
-def mask_notes(rows: DataFrame, keys: Sequence[str], seed: int, masked: str = "masked", whole: bool = True) -> DataFrame:
-    """Replace marked notes by the mask id: all attributes, or one drawn attribute each."""
+def mask_notes(rows: DataFrame, keys: Sequence[str], seed: int, masked: str = "masked", whole: str = "true") -> DataFrame:
+    """Replace marked notes by the mask id: all attributes, or one drawn attribute where ``whole`` is false."""
     rest = [c for c in rows.columns if c not in ("p", "d", "t")]
-    if whole:
-        return rows.selectExpr(*rest, *[f"CASE WHEN {masked} THEN {C.MASK} ELSE {c} END AS {c}" for c in "pdt"])
     attr = f"{hash_of('mask.attr', seed, *keys, 'i')} % 3"
-    return rows.selectExpr(*rest, *[f"CASE WHEN {masked} AND {attr} = {k} THEN {C.MASK} ELSE {c} END AS {c}" for k, c in enumerate("pdt")])
+    return rows.selectExpr(*rest, *[
+        f"CASE WHEN {masked} AND (({whole}) OR {attr} = {k}) THEN {C.MASK} ELSE {c} END AS {c}" for k, c in enumerate("pdt")])
 
 
-def collapse(rows: DataFrame, keys: Sequence[str], masked: str = "masked") -> DataFrame:
-    """Each run of marked notes becomes one mask token; positions are renumbered."""
-    edge = rows.selectExpr("*", f"NOT coalesce(lag({masked}) {over(keys, ['i'])}, false) AS __edge").where(f"NOT {masked} OR __edge")
-    return _renumber(mask_notes(edge, keys, 0, masked), keys).drop("__edge")
+def collapse(rows: DataFrame, keys: Sequence[str], masked: str = "masked", when: str = "true") -> DataFrame:
+    """Each run of marked notes becomes one mask token (where ``when`` holds); positions are renumbered."""
+    edge = rows.selectExpr("*", f"NOT coalesce(lag({masked}) {over(keys, ['i'])}, false) AS __edge")
+    kept = edge.where(f"NOT {masked} OR __edge OR NOT ({when})").drop("__edge")
+    return _renumber(mask_notes(kept, keys, 0, f"({masked} AND ({when}))"), keys)
 
 
 def _renumber(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,16 +71,18 @@ def _renumber(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.selectExpr(*rest, f"CAST(row_number() {over(keys, ['i'])} - 1 AS INT) AS i", f"count(*) {over(keys)} AS wlen")
 
 
-def delete_notes(rows: DataFrame, keys: Sequence[str], seed: int, p: float = 0.2, spans: bool = False, lam: float = 3.0) -> DataFrame:
-    """Delete notes one by one or in spans, pack to the left; at least one note stays."""
-    if spans:
-        drop = span_mask(rows, keys, p, seed, lam, "__drop")
+def delete_notes(rows: DataFrame, keys: Sequence[str], seed: int, p: float = 0.2, spans: str = "false", lam: float = 3.0) -> DataFrame:
+    """Delete notes one by one, or in spans where ``spans`` holds; pack to the left, at least one note stays."""
+    single = f"{uniform('delete', seed, *keys, 'i')} <= {p!r}D"
+    if spans == "false":
+        drop = rows.selectExpr("*", f"{single} AS __drop")
     else:
-        drop = rows.selectExpr("*", f"{uniform('delete', seed, *keys, 'i')} <= {p!r}D AS __drop")
+        drop = span_mask(rows, keys, p, seed, lam, "__cover", spans).selectExpr(
+            "*", f"CASE WHEN {spans} THEN __cover ELSE {single} END AS __drop").drop("__cover")
     saved = pick_k(drop, keys, "1", seed, "__saved", op="delete.keep")
-    none = f"count_if(NOT __drop) {over(keys)} = 0"
-    kept = saved.selectExpr("*", f"NOT __drop OR ({none} AND __saved) AS __keep").where("__keep")
-    return _renumber(kept, keys).drop("__drop", "__saved", "__keep")
+    none = saved.selectExpr("*", f"count_if(NOT __drop) {over(keys)} = 0 AS __none")
+    kept = none.where("NOT __drop OR (__none AND __saved)").drop("__drop", "__saved", "__none")
+    return _renumber(kept, keys)
 
 
 def rotate(rows: DataFrame, keys: Sequence[str], seed: int, p: float = 0.5) -> DataFrame:
@@ -99,14 +106,7 @@ def corrupt(rows: DataFrame, keys: Sequence[str], seed: int, density: float = 0.
         return discrete(cdf, uniform(op, seed, *keys))
 
     marked = rows.selectExpr("*", f"{choice('mask.gran', masking)} AS __g")
-    singles = pick_k(marked.where("__g < 2"), keys, ratio_count("wlen", density), seed, "masked", op="mask.pick")
-    runs = span_mask(marked.where("__g >= 2"), keys, density, seed, lam)
-    parts = [
-        mask_notes(singles.where("__g = 0"), keys, seed, whole=False), mask_notes(singles.where("__g = 1"), keys, seed),
-        mask_notes(runs.where("__g = 2"), keys, seed, whole=False), collapse(runs.where("__g = 3"), keys)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.drop("masked", "__g").selectExpr("*", f"{choice('del.gran', deletion)} AS __d")
-    out = delete_notes(out.where("__d = 0"), keys, seed, p_delete).unionByName(delete_notes(out.where("__d = 1"), keys, seed, p_delete, True, lam))
+    masked = span_mask(marked, keys, density, seed, lam, when="__g >= 2")
+    masked = collapse(mask_notes(masked, keys, seed, whole="__g IN (1, 3)"), keys, when="__g = 3").drop("masked", "__g")
+    out = delete_notes(masked.selectExpr("*", f"{choice('del.gran', deletion)} AS __d"), keys, seed, p_delete, "__d = 1", lam)
     return rotate(out.drop("__d"), keys, seed, p_rotate)

@@ -109,7 +109,7 @@ def _cnt(ratio):
 SELECT doc, w, i, masked, CASE WHEN masked AND a = 0 THEN 4 ELSE p END AS p, CASE WHEN masked AND a = 1 THEN 4 ELSE d END AS d, CASE WHEN masked AND a = 2 THEN 4 ELSE t END AS t FROM m""")
 def mask_k(spark, sf):
     picked = D.pick_k(tokens(spark, sf), SEQ, D.ratio_count("wlen", 0.333), 31, "masked")
-    return D.mask_notes(picked, SEQ, 31, whole=False).select(*SEQ, "i", "masked", "p", "d", "t")
+    return D.mask_notes(picked, SEQ, 31, whole="false").select(*SEQ, "i", "masked", "p", "d", "t")
 
 
 def _spans(ratio, seed, lam=3.0):
@@ -142,7 +142,7 @@ def delete_notes(spark, sf):
 
 @query(ctes(ROWS, TOK, _spans(0.2, 34)) + """SELECT doc, w, row_number() OVER (PARTITION BY doc, w ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc, w) AS wlen, p FROM ms WHERE NOT masked""")
 def delete_spans(spark, sf):
-    return D.delete_notes(tokens(spark, sf), SEQ, 34, spans=True).select(*SEQ, "i", "wlen", "p")
+    return D.delete_notes(tokens(spark, sf), SEQ, 34, spans="true").select(*SEQ, "i", "wlen", "p")
 
 
 @query(ctes(ROWS, TOK) + f"""SELECT doc, w, p, d, t, CASE WHEN {uniform_sql('rotate', 35, 'doc', 'w')} < CAST(0.5 AS DOUBLE) AND wlen > 1
