@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from notewise import constants as C
 from notewise.functions.draws import _phi, nonzero_offset, normal, uniform, uniform_int
+from notewise.functions.relation import let
 from notewise.operators.ordered import dense_index
 
 
@@ -57,11 +58,12 @@ def augment(seqs: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
 
 
 def _per_note(seqs: DataFrame, body: str) -> DataFrame:
-    rest = [c for c in seqs.columns if c != "notes"]
-    return seqs.selectExpr(*rest, "notes AS __ns").selectExpr(*rest, f"transform(__ns, (x, i) -> {body}) AS notes")
+    """Map every note x at position i; ``ns`` is the whole sequence, bound once per row."""
+    cols = [c if c != "notes" else f"{let('notes', 'ns', f'transform(ns, (x, i) -> {body})')} AS notes" for c in seqs.columns]
+    return seqs.selectExpr(*cols)
 
 
-INNER = "i < size(__ns) - 1"
+INNER = "i < size(ns) - 1"
 
 
 def boundary_shift(seqs: DataFrame, keys: Sequence[str], seed: int, p: float = 0.10, most: int = 3) -> DataFrame:

@@ -32,7 +32,7 @@ def ornament_pairs(spark, sf):
         *SEQ, "len_x", "len_x_orn", "rho", "fail", "i", "pi[i] AS pi", "x.pitch", "x.dur", "x.dt")
 
 
-@query("WITH one AS (SELECT user_id AS doc, count(*) AS n FROM events GROUP BY 1 HAVING count(*) BETWEEN 16 AND 512) SELECT doc, 0 AS missing FROM one WHERE false")
+@query("WITH one AS (SELECT user_id AS doc, count(*) AS n FROM events GROUP BY 1 HAVING count(*) BETWEEN 16 AND 512) SELECT doc, CAST(0 AS BIGINT) AS missing FROM one WHERE false")
 def unseen_originals(spark, sf):
     """Original notes that an ornamented twin lost; must be empty."""
     p = _pairs(spark, sf)
