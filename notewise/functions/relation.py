@@ -75,6 +75,23 @@ def ngrams(tokens: str, n: int, item: str = "array<int>", run: str = "slice(xs,
                              f"ELSE transform(sequence(1, size(xs) - {n - 1}), p -> {picked}) END")
 
 
+# bits that hold one token of each mode; coarse bins are narrowed to four bits each
+TOKEN_BITS = {"dp_only": 8, "dp_coarse_dur": 16, "dp_dur_ratio": 24}
+
+
+def ngram_keys(tokens: str, n: int, mode: str) -> str:
+    """Exact n-gram keys: one BIGINT per gram while the tokens fit into 63 bits, else token arrays."""
+    bits = TOKEN_BITS[mode]
+    if bits * n > 63:
+        return ngrams(tokens, n)
+    if mode == "dp_coarse_dur":
+        tokens = f"transform({tokens}, v -> (v div 65536) * 256 + (v div 256) % 256 * 16 + v % 256)"
+    key = "CAST(xs[p - 1] AS BIGINT)"
+    for j in range(1, n):
+        key = f"({key} * {1 << bits} + xs[p + {j - 1}])"
+    return ngrams(tokens, n, "bigint", key)
+
+
 def word_ngrams(words: str, n: int) -> str:
     """All runs of n consecutive words as text keys."""
     return ngrams(words, n, "string", "array_join(slice(xs, p, {n}), ' ')")

@@ -40,17 +40,19 @@ def transpose(seqs: DataFrame, keys: Sequence[str], seed: int, sigma: float = 4.
     u = at.selectExpr("*", f"__f0 + {uniform('transpose', seed, *keys)} * (__f1 - __f0) AS __u")
     drawn = u.selectExpr("*", f"CASE WHEN __a > __b THEN 0 ELSE greatest(__a, least(__b, {low} + size(filter(slice({cum}, 2, {high - low + 1}), c -> c <= __u)))) END AS shift")
     rest = [c for c in seqs.columns if c != "notes"]
-    return drawn.selectExpr(*rest, f"transform(notes, x -> {_triple('x.pitch + shift')}) AS notes", "shift")
+    moved = let("shift", "k", f"transform(notes, x -> {_triple('x.pitch + k')})")
+    return drawn.selectExpr(*rest, f"{moved} AS notes", "shift")
 
 
 def time_scale(seqs: DataFrame, keys: Sequence[str], seed: int, p_double: float = 0.2, p_half: float = 0.2) -> DataFrame:
     """Double or halve all durations and gaps of a sequence, halves to even.  Adds ``scale``."""
     u = uniform("time_scale", seed, *keys)
     scaled = seqs.selectExpr("*", f"CASE WHEN {u} < {p_double!r}D THEN 2D WHEN {u} < {p_double + p_half!r}D THEN 0.5D ELSE 1D END AS scale")
-    dur = _clamp("CAST(rint(x.dur * scale) AS INT)", 1, C.MAX_DUR)
-    dt = _clamp("CAST(rint(x.dt * scale) AS INT)", C.MIN_DT, C.MAX_DT)
+    dur = _clamp("CAST(rint(x.dur * f) AS INT)", 1, C.MAX_DUR)
+    dt = _clamp("CAST(rint(x.dt * f) AS INT)", C.MIN_DT, C.MAX_DT)
+    body = let("scale", "f", f"CASE WHEN f = 1D THEN notes ELSE transform(notes, x -> {_triple('x.pitch', dur, dt)}) END")
     rest = [c for c in seqs.columns if c != "notes"]
-    return scaled.selectExpr(*rest, f"CASE WHEN scale = 1D THEN notes ELSE transform(notes, x -> {_triple('x.pitch', dur, dt)}) END AS notes", "scale")
+    return scaled.selectExpr(*rest, f"{body} AS notes", "scale")
 
 
 def augment(seqs: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
@@ -99,8 +101,9 @@ def free_rhythm(seqs: DataFrame, keys: Sequence[str], seed: int, p_seq: float =
 
     d = f"CASE WHEN {uniform('fr.dur', seed, *keys, 'i')} < {p_dur!r}D THEN {_clamp(f'CAST(rint(x.dur * ' + factor('fr.dz', dur_sigma, dur_range) + ') AS INT)', 1, C.MAX_DUR)} ELSE x.dur END"
     t = f"CASE WHEN {INNER} AND x.dt >= 0 AND {uniform('fr.gap', seed, *keys, 'i')} < {p_gap!r}D THEN {_clamp('CAST(rint(x.dt * ' + factor('fr.gz', gap_sigma, gap_range) + ') AS INT)', 0, C.MAX_DT)} ELSE x.dt END"
-    flagged = seqs.selectExpr("*", f"{uniform('fr.seq', seed, *keys)} < {p_seq!r}D AS __free")
-    return _per_note(flagged, f"CASE WHEN __free THEN {_triple('x.pitch', d, t)} ELSE {_triple()} END").drop("__free")
+    stretched = let("notes", "ns", f"transform(ns, (x, i) -> {_triple('x.pitch', d, t)})")
+    chosen = f"{uniform('fr.seq', seed, *keys)} < {p_seq!r}D"
+    return seqs.selectExpr(*[c if c != "notes" else f"CASE WHEN {chosen} THEN {stretched} ELSE notes END AS notes" for c in seqs.columns])
 
 
 @dataclass(frozen=True)

@@ -53,23 +53,24 @@ MODE, N = "dp_only", 2
 
 
 def melody_docs(seqs, mode=MODE, n=N):
-    return seqs.selectExpr("doc", "w", f"{R.ngrams(R.relation_tokens('notes', mode), n)} AS terms")
+    return seqs.selectExpr("doc", "w", f"{R.ngram_keys(R.relation_tokens('notes', mode), n, mode)} AS terms")
 
 
 def melody_fragments(seqs, mode=MODE, n=N, length=16):
     """One fragment of each sequence, with its own sequence as the target."""
     cut = f"slice(notes, CAST((doc + w) % 10 + 1 AS INT), {length})"
     return seqs.selectExpr(
-        "doc AS q_doc", "w AS q_w", "doc AS t_doc", "w AS t_w", f"{R.ngrams(R.relation_tokens(cut, mode), n)} AS terms")
+        "doc AS q_doc", "w AS q_w", "doc AS t_doc", "w AS t_w", f"{R.ngram_keys(R.relation_tokens(cut, mode), n, mode)} AS terms")
 
 
 TF = "tf AS (SELECT doc, w, term, count(*) AS tf FROM gram GROUP BY ALL)"
 
 
-@query(ctes(ROWS, _tok(COARSE), _gram(n=3), TF) + "SELECT doc || '#' || w AS seq, term, tf FROM tf")
+@query(ctes(ROWS, _tok(COARSE), _gram(n=3), TF) + """SELECT doc || '#' || w AS seq, (c[1] * 65536 + c[2]) * 65536 + c[3] AS term, tf
+FROM (SELECT *, list_transform(string_split(term, ','), lambda s: (CAST(s AS BIGINT) // 65536) * 256 + (CAST(s AS BIGINT) // 256) % 256 * 16 + CAST(s AS BIGINT) % 256) AS c FROM tf)""")
 def ngrams(spark, sf):
     tf = X.term_frequencies(melody_docs(tables.melody_sequences(spark, sf), "dp_coarse_dur", 3), ["doc", "w"])
-    return tf.select(F.concat_ws("#", "doc", "w").alias("seq"), F.array_join("term", ",").alias("term"), "tf")
+    return tf.select(F.concat_ws("#", "doc", "w").alias("seq"), "term", "tf")
 
 
 STATS = """dl AS (SELECT doc, w, greatest(0, max(i) + 1 - 2) AS dl FROM rows_ GROUP BY doc, w),
@@ -78,10 +79,10 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, df, ln((nd - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, cs)"""
 
 
-@query(ctes(ROWS, _tok(DP), _gram(), TF, STATS) + "SELECT term, df, round(idf, 9) AS idf FROM idf")
+@query(ctes(ROWS, _tok(DP), _gram(), TF, STATS) + "SELECT CAST(string_split(term, ',')[1] AS BIGINT) * 256 + CAST(string_split(term, ',')[2] AS BIGINT) AS term, df, round(idf, 9) AS idf FROM idf")
 def postings_idf(spark, sf):
     index = X.build_index(melody_docs(tables.melody_sequences(spark, sf)), ["doc", "w"])
-    return X.idf_table(index).select(F.array_join("term", ",").alias("term"), "df", F.round("idf", 9).alias("idf"))
+    return X.idf_table(index).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 FRAG = """frag AS (SELECT doc AS q_doc, w AS q_w, i, pitch, dur FROM rows_ WHERE i >= (doc + w) % 10 AND i < (doc + w) % 10 + 16)"""
@@ -145,7 +146,7 @@ QTOKS = (ROWS, _tok(DP), _gram(), TF, STATS, SPANS, f"""frag AS (
 def _grouped(spark, sf, pooling, norm):
     seqs = tables.melody_sequences(spark, sf)
     index = X.build_index(melody_docs(seqs), ["doc", "w"], doc_bound=tables.sequence_bound(spark, sf))
-    terms = R.ngrams(R.relation_tokens("slice(notes, f.start + 1, f.len)", MODE), N)
+    terms = R.ngram_keys(R.relation_tokens("slice(notes, f.start + 1, f.len)", MODE), N, MODE)
     frags = _spans(seqs).selectExpr("q_doc", "q_w", "f.start AS fs", "f.len AS fl", "f.len AS n_notes", f"{terms} AS terms")
     return seqs, X.grouped_search(index, frags, ["q_doc", "q_w"], ["fs", "fl"], 20, pooling, 2.0, norm)
 
