@@ -15,6 +15,7 @@ from notewise.operators.ordered import pack
 from notewise.operators.transforms import Corruption
 from notewise.plans.metrics import MACRO, clocked, labelled
 from notewise.plans.registry import query
+from notewise.session import checkpointed
 from notewise.sources import tables
 
 SEQ = ["doc", "w"]
@@ -74,7 +75,7 @@ def exact_k_path(spark, sf):
 @query()
 def selector_benchmark(spark, sf):
     """Four selectors on ornamented twins, macro metrics per method."""
-    twins = _pairs(spark, sf).selectExpr(*SEQ, "len_x - 2 AS k", "pi", "posexplode(x_orn) AS (i, x)").selectExpr(
+    twins = checkpointed(_pairs(spark, sf)).selectExpr(*SEQ, "len_x - 2 AS k", "pi", "posexplode(x_orn) AS (i, x)").selectExpr(
         *SEQ, "k", "i", "CASE WHEN pi[i] >= 0 THEN 1 ELSE 0 END AS label", "x.pitch", "x.dur", "x.dt", "count(*) OVER (PARTITION BY doc, w) AS wlen")
     rows = S.with_onsets(twins, SEQ)
     flat = pack(rows, [*SEQ, "k"], ["onset", "pitch", "dur"]).selectExpr(*SEQ, "k", "notes.onset AS onset", "notes.pitch AS pitch", "notes.dur AS dur")
@@ -110,7 +111,7 @@ def silver_labels(spark, sf):
 @query()
 def note_classifier(spark, sf):
     """Train on ornamented twins of two thirds of the pieces, score the others."""
-    rows = _pairs(spark, sf).selectExpr(*SEQ, "pi", "posexplode(x_orn) AS (i, x)").selectExpr(
+    rows = checkpointed(_pairs(spark, sf)).selectExpr(*SEQ, "pi", "posexplode(x_orn) AS (i, x)").selectExpr(
         *SEQ, "i", "CASE WHEN pi[i] >= 0 THEN 1 ELSE 0 END AS label", "x.pitch", "x.dur", "x.dt")
     feats = CL.with_features(S.with_onsets(rows, SEQ), SEQ)
     model = CL.fit(feats.where("doc % 3 <> 0"))

@@ -188,3 +188,27 @@ def ordinal_notes(spark, sf):
     n = tables.melody_notes(spark, sf).selectExpr("doc", "idx", "st div 48 AS measure")
     ids = n.where("idx >= doc % 3").selectExpr("*", f"row_number() {over(['doc', 'measure'], ['idx'])} AS ordinal").where("idx % 4 = 1").select("doc", "measure", "ordinal")
     return P.ordinal_notes(n, ids, "doc").select("doc", "skip", "measure", "ordinal", "idx")
+
+
+MEMBERS = """len_ AS (SELECT user_id AS piece, count(*) AS n FROM events GROUP BY 1),
+pr AS (SELECT piece AS member, piece % 30 AS family, min(piece) OVER (PARTITION BY piece % 30) AS reference, n AS mn FROM len_),
+jd AS (SELECT pr.*, CASE WHEN l.n < 60 THEN 'short_document' WHEN mn < 65 THEN 'short_query' END AS skip_reason FROM pr JOIN len_ l ON l.piece = reference WHERE member <> reference),
+ids AS (SELECT reference, row_number() OVER (ORDER BY family, reference) - 1 AS doc_id FROM (SELECT DISTINCT family, reference FROM jd WHERE skip_reason IS NULL))"""
+
+
+def _member_corpus(spark, sf):
+    melodies = tables.table(spark, sf, "events").groupBy(F.col("user_id").alias("piece")).agg(F.count("*").alias("n_notes"))
+    labels = melodies.selectExpr("piece AS song", "piece % 30 AS family")
+    refs = labels.selectExpr("family", "song AS reference", "song AS line")
+    pairs = P.reference_pairs(labels, refs)[0].select(F.col("song").alias("member"), "family", "reference")
+    return P.retrieval_corpus(pairs, melodies, "member", "reference", "family", "family", 60, 65)
+
+
+@query(ctes(MEMBERS) + "SELECT member, family, reference, doc_id AS target_doc_id FROM jd JOIN ids USING (reference) WHERE skip_reason IS NULL")
+def member_reference_queries(spark, sf):
+    return _member_corpus(spark, sf)[1].select("member", "family", "reference", "target_doc_id")
+
+
+@query(ctes(MEMBERS) + "SELECT skip_reason, count(*) AS n FROM jd WHERE skip_reason IS NOT NULL GROUP BY 1")
+def member_reference_skips(spark, sf):
+    return _member_corpus(spark, sf)[2]

@@ -100,7 +100,7 @@ BASE = (ROWS, _tok(DP), _gram(), TF, STATS, FRAG,
 
 
 def _search(spark, sf, **kw):
-    seqs = tables.melody_sequences(spark, sf)
+    seqs = tables.melody_corpus(spark, sf)
     index = X.build_index(melody_docs(seqs), ["doc", "w"], doc_bound=tables.sequence_bound(spark, sf))
     frags = melody_fragments(seqs)
     return frags, X.search(index, frags, ["q_doc", "q_w"], 50, **kw)
@@ -144,7 +144,7 @@ QTOKS = (ROWS, _tok(DP), _gram(), TF, STATS, SPANS, f"""frag AS (
 
 
 def _grouped(spark, sf, pooling, norm):
-    seqs = tables.melody_sequences(spark, sf)
+    seqs = tables.melody_corpus(spark, sf)
     index = X.build_index(melody_docs(seqs), ["doc", "w"], doc_bound=tables.sequence_bound(spark, sf))
     terms = R.ngram_keys(R.relation_tokens("slice(notes, f.start + 1, f.len)", MODE), N, MODE)
     frags = _spans(seqs).selectExpr("q_doc", "q_w", "f.start AS fs", "f.len AS fl", "f.len AS n_notes", f"{terms} AS terms")
@@ -217,7 +217,7 @@ sc AS (SELECT item_id, doc_id, round(sum(idf * (CAST(tf AS DOUBLE) * 2.2 / (tf +
   FROM qf JOIN tf USING (term) JOIN idf USING (term), cs GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20""")
 def word_bm25_topm(spark, sf):
-    docs = tables.document_words(spark, sf).selectExpr("doc_id", f"{R.word_ngrams('words', 3)} AS terms")
+    docs = tables.document_words(spark, sf).selectExpr("doc_id", "greatest(size(words) - 2, 0) AS dl", f"{R.word_ngrams('words', 3)} AS terms")
     items = tables.document_words(spark, sf, "benchmark", "item_id").selectExpr("doc_id AS item_id", f"{R.word_ngrams('words', 3)} AS terms")
-    index = X.build_index(docs, ["doc_id"], doc_bound=tables.table(spark, sf, "documents").count())
+    index = X.build_index(docs, ["doc_id"], keep_hits=True, doc_bound=tables.table(spark, sf, "documents").count())
     return X.search(index, items, ["item_id"], 20).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from notewise.operators.ordered import dense_index, pack, to_windows
+from notewise.session import checkpointed
 
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
@@ -52,6 +53,11 @@ def melody_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transform(notes, x -> struct(x.pitch AS pitch, x.dur AS dur, x.dt AS dt)) AS notes")
 
 
+def melody_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus written once to the checkpoint folder, for jobs that read it several times."""
+    return checkpointed(melody_sequences(spark, sf_dir).select("doc", "w", "notes"))
+
+
 def sequence_bound(spark: SparkSession, sf_dir: str) -> int:
     """Upper bound of the number of windows: 16 notes or more each, a note in two at most."""
     return table(spark, sf_dir, "events").count() // 8

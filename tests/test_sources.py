@@ -67,3 +67,35 @@ def test_sinks(spark, tmp_path):
     assert [r.word for r in words.collect()] == ["fox", "red"]
     sinks.write_split_lists(spark.createDataFrame([("train", "b"), ("train", "a")], "split string, path string"), "path", str(tmp_path / "lists"))
     assert sorted(r.path for r in spark.read.json(str(tmp_path / "lists")).where("split = 'train'").collect()) == ["a", "b"]
+
+
+def test_corpus_and_pair_readers(spark, tmp_path):
+    from notewise.operators.ornament import Ornaments
+    from notewise.sources import corpora
+
+    df = spark.createDataFrame(
+        [("train", "a", [(60, 5, 0)]), ("train", "b", [(61, 5, -2)]), ("test", "c", [(62, 5, 0)])], "split string, seq string, notes array<struct<pitch:int,dur:int,dt:int>>")
+    sinks.write_corpus(df, str(tmp_path / "c"))
+    got = corpora.with_local_ids(corpora.read_corpus(spark, str(tmp_path / "c"), "train", low="b")).collect()
+    assert [(r.seq, [tuple(x) for x in r.local]) for r in got] == [("b", [(66, 10, 102)])]
+    note = "array<struct<pitch:int,dur:int,dt:int>>"
+    spark.createDataFrame([("p", [(60, 5, 0)], [(60, 2, 0), (60, 3, 0)], [0, -1])], f"pair_id string, x {note}, x_orn {note}, pi array<int>").write.parquet(str(tmp_path / "p"))
+    p = corpora.read_pairs(spark, str(tmp_path / "p"))
+    assert (p.first().len_x, p.first().len_x_orn, p.first().rho) == (3, 4, 0.75)
+    assert [(r.i, r.label) for r in corpora.pair_rows(p, ["pair_id"]).orderBy("i").collect()] == [(0, 1), (1, 0)]
+    spark.createDataFrame([("g", 0, 0), ("g", 1, -1)], "piece string, note_idx int, depth int").write.parquet(str(tmp_path / "g"))
+    assert [(r.i, r.gold) for r in corpora.read_gold(spark, str(tmp_path / "g")).collect()] == [(0, 1.0)]
+    cfg = corpora.configured(Ornaments(), {"p_trill": 0.5, "unknown": 1, "steps": [1, 3]})
+    assert cfg.p_trill == 0.5 and cfg.steps == (1, 3)
+
+
+def test_padded_writer_and_json(spark, tmp_path):
+    df = spark.createDataFrame([("s", 4, [(60, 5, 0)])], "seq string, bos int, notes array<struct<pitch:int,dur:int,dt:int>>")
+    sinks.write_padded(df, str(tmp_path / "e"), 6)
+    assert [e.pitch for e in spark.read.parquet(str(tmp_path / "e")).first().events] == [2, 65, 3, 0, 0, 0]
+    sinks.write_token_lines(df, str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).first().value == "<s> <s> <2-4> <0-60> <1-5> <2-0> </s> </s> </s>"
+    sinks.write_json(df.select("seq"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 1
+    sinks.write_keywords(spark.createDataFrame([("x/blue sky.mid",)], "path string"), "path", str(tmp_path / "k"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "k")).collect()) == ["blue", "sky"]
