@@ -46,7 +46,7 @@ def discrete(cdf: list[tuple[int, float]], u: str) -> str:
     return f"(CASE {whens} ELSE {cdf[-1][0]} END)" if whens else str(cdf[-1][0])
 
 
-def _phi(x: float) -> float:
+def phi(x: float) -> float:
     return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
@@ -54,8 +54,8 @@ def rounded_normal(mean: float, sigma: float, low: int, high: int, clip: bool) -
     """Mass of round(N(mean, sigma)) on low..high; tails are folded into the ends when clipped."""
     mass = {}
     for k in range(low, high + 1):
-        a = 0.0 if clip and k == low else _phi((k - 0.5 - mean) / sigma)
-        b = 1.0 if clip and k == high else _phi((k + 0.5 - mean) / sigma)
+        a = 0.0 if clip and k == low else phi((k - 0.5 - mean) / sigma)
+        b = 1.0 if clip and k == high else phi((k + 0.5 - mean) / sigma)
         mass[k] = b - a
     return mass
 

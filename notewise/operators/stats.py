@@ -72,7 +72,7 @@ def token_counts(sequences: DataFrame, bos: str = "bos") -> DataFrame:
     flat = F.flatten(F.transform(ids, lambda x: F.array(x["pitch"], x["dur"], x["dt"])))
     head = F.array(F.lit(C.BOS), F.lit(C.BOS), codes.dt_id(codes.dt_code(F.col(bos))))
     tail = F.array_repeat(F.lit(C.EOS), 3)
-    counted = sequences.select(F.explode(F.concat(head, flat, tail)).alias("global_id")).groupBy("global_id").agg(
+    counted = sequences.select(F.explode_outer(F.concat(head, flat, tail)).alias("global_id")).groupBy("global_id").agg(
         F.count("*").alias("n"))
     vocab = codes.vocabulary(sequences.sparkSession).select("token", "global_id")
     return vocab.join(counted, "global_id", "left").select("token", "global_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from notewise import constants as C
-from notewise.functions.draws import _phi, nonzero_offset, normal, uniform, uniform_int
+from notewise.functions.draws import hash_of, nonzero_offset, normal, phi, uniform, uniform_int
 from notewise.functions.relation import let
 from notewise.operators.ordered import dense_index
+from notewise.operators.splits import BUCKET
 
 
 def _triple(pitch: str = "x.pitch", dur: str = "x.dur", dt: str = "x.dt") -> str:
@@ -28,7 +29,7 @@ def _clamp(x: str, low: int, high: int) -> str:
 
 def shift_cdf(sigma: float, low: int, high: int) -> list[float]:
     """Normal mass below the rounding edges of low .. high."""
-    return [round(_phi((k + 0.5) / sigma), 12) for k in range(low - 1, high + 1)]
+    return [round(phi((k + 0.5) / sigma), 12) for k in range(low - 1, high + 1)]
 
 
 def transpose(seqs: DataFrame, keys: Sequence[str], seed: int, sigma: float = 4.0, low: int = -8, high: int = 8) -> DataFrame:
@@ -141,12 +142,14 @@ def cut_fragment(seqs: DataFrame, start: str, length: str) -> DataFrame:
     return seqs.selectExpr(*rest, f"slice(notes, CAST({start} + 1 AS INT), CAST({length} AS INT)) AS notes")
 
 
-def random_fragments(seqs: DataFrame, keys: Sequence[str], n_queries: int, seed: int, low: int, high: int, coarse: str) -> DataFrame:
+def random_fragments(seqs: DataFrame, keys: Sequence[str], n_queries: int, seed: int, low: int, high: int) -> DataFrame:
     """Fragment queries: a uniform document among those long enough, then uniform length and start.
 
-    ``coarse`` is an order-preserving bucket of the first key.  Adds query_id, frag_start, frag_len.
+    Eligible documents are numbered in hash order (4,096 buckets, two-level prefix), so a drawn
+    number finds its document by an equi join.  Adds query_id, frag_start, frag_len.
     """
-    fit = dense_index(seqs.where(f"size(notes) >= {low}").select(*keys), [], list(keys), coarse, idx="__row")
+    hashed = seqs.where(f"size(notes) >= {low}").selectExpr(*keys, f"{hash_of('frag.order', seed, *keys)} AS __h")
+    fit = dense_index(hashed, [], ["__h", *keys], BUCKET, idx="__row").drop("__h")
     n_fit = fit.count()
     spark = seqs.sparkSession
     drawn = spark.range(n_queries).selectExpr("id AS query_id", f"CAST(floor({uniform('frag.doc', seed, 'id')} * {n_fit}) AS BIGINT) AS __row")

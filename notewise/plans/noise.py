@@ -21,7 +21,7 @@ def packed(spark, sf):
 
 
 def _long(df, *extra):
-    return df.select(*SEQ, *extra, F.posexplode("notes").alias("i", "x")).select(*SEQ, *extra, "i", "x.*")
+    return df.select(*SEQ, *extra, F.posexplode_outer("notes").alias("i", "x")).where("i IS NOT NULL").select(*SEQ, *extra, "i", "x.*")
 
 
 CUM = "[" + ", ".join(f"CAST({c!r} AS DOUBLE)" for c in T.shift_cdf(4.0, -8, 8)) + "]"
@@ -78,7 +78,7 @@ def free_rhythm(spark, sf):
     return _long(T.free_rhythm(packed(spark, sf), SEQ, 26)).select(*SEQ, "i", "dur", "dt")
 
 
-@query(ctes(ROWS) + f""", s AS (SELECT doc, w, max(wlen) AS n, row_number() OVER (ORDER BY doc, w) - 1 AS rw FROM rows_ WHERE wlen >= 20 GROUP BY doc, w),
+@query(ctes(ROWS) + f""", s AS (SELECT doc, w, max(wlen) AS n, row_number() OVER (ORDER BY {hash_sql('frag.order', 27, 'doc', 'w')}, doc, w) - 1 AS rw FROM rows_ WHERE wlen >= 20 GROUP BY doc, w),
 c AS (SELECT count(*) AS m FROM s),
 q AS (SELECT id, CAST(floor({uniform_sql('frag.doc', 27, 'id')} * m) AS BIGINT) AS rw FROM c, (SELECT unnest(range(0, (SELECT count(*) FROM s))) AS id)),
 l AS (SELECT id, doc, w, n, {uniform_int_sql('frag.len', 27, 20, 'least(40, n)', 'id')} AS frag_len FROM q JOIN s USING (rw))
@@ -86,7 +86,7 @@ SELECT id AS query_id, doc, w, frag_len, {uniform_int_sql('frag.start', 27, 0, '
 def random_fragments(spark, sf):
     s = packed(spark, sf)
     n = s.where("size(notes) >= 20").count()
-    f = T.random_fragments(s, SEQ, n, 27, 20, 40, "doc div 64")
+    f = T.random_fragments(s, SEQ, n, 27, 20, 40)
     return f.where("size(notes) = frag_len").select("query_id", *SEQ, "frag_len", "frag_start")
 
 

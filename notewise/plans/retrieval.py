@@ -30,7 +30,7 @@ def _gram(name="gram", source="tok", keys="doc, w", n=2):
 
 def _tokens(spark, sf, mode):
     s = tables.melody_sequences(spark, sf)
-    return s.select("seq", F.posexplode(F.expr(R.relation_tokens("notes", mode))).alias("i", "token"))
+    return s.select("seq", F.posexplode_outer(F.expr(R.relation_tokens("notes", mode))).alias("i", "token")).where("i IS NOT NULL")
 
 
 @query(ctes(ROWS, _tok(DP)) + "SELECT doc || '#' || w AS seq, i, t AS token FROM tok")
