@@ -76,9 +76,10 @@ def nonzero_offset_cdf(spread: int, sigma: float) -> list[tuple[int, float]]:
     return cumulated(mass)
 
 
-def poisson_cdf(lam: float, top: int = 24) -> list[tuple[int, float]]:
+def poisson_cdf(lam: float) -> list[tuple[int, float]]:
     """max(1, Poisson(lam)) as (value, cumulative probability)."""
     mass: dict[int, float] = {}
+    top = max(24, math.ceil(lam + 12 * math.sqrt(lam) + 12))  # the tail beyond is below rounding
     p = math.exp(-lam)
     for k in range(top + 1):
         mass[max(1, k)] = mass.get(max(1, k), 0.0) + p

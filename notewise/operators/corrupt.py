@@ -1,7 +1,7 @@
 """Structural corruption of packed sequences: merging neighbours and losing notes.
 
-Both passes depend on what happened to earlier notes, so a bounded sequence is one unit of
-work in an Arrow batch; the note-wise corruptions that follow are column expressions.
+Both are left folds over a bounded note array with draws keyed by note, written as SQL expressions: no shuffle, no Python,
+and the same result for any partitioning.
 """
 
 from __future__ import annotations
@@ -12,64 +12,74 @@ from pyspark.sql import DataFrame
 
 from notewise import constants as C
 from notewise.functions.draws import uniform
-from notewise.operators.arrow import map_sequences, zipped
+from notewise.functions.relation import let
 from notewise.operators.transforms import Corruption, note_corruption
 
+NOTE = "STRUCT<pitch: INT, dur: INT, dt: INT, u: DOUBLE, v: DOUBLE>"
 
-def merged(a: list[int], b: list[int], pick: str = "longer") -> list[int] | None:
-    """Two neighbours as one note that keeps the following onset; None when out of range."""
-    block = a[1] + a[2] + b[1]
-    dur = max(a[1], block)
-    dt = block + b[2] - dur
-    if not (1 <= dur <= C.MAX_DUR and C.MIN_DT <= dt <= C.MAX_DT):
-        return None
-    first = pick == "first" or (pick == "longer" and a[1] >= b[1])
-    return [a[0] if first else b[0], dur, dt]
-
-
-def merge_and_delete(rng, notes: list[list[int]], cfg: Corruption) -> list[list[int]]:
-    """Merge neighbours (chaining allowed), then drop inner notes into the gap before them."""
-    notes = [list(n) for n in notes]
-    notes[-1][2] = 0
-    i, done = 0, 0
-    while len(notes) >= 3 - min(done, 1) and i < len(notes) - 1 and done < cfg.merge_most and len(notes) > cfg.min_notes:
-        joined = None
-        if rng.random() < cfg.p_merge and -cfg.merge_overlap <= notes[i][2] <= cfg.merge_gap:
-            joined = merged(notes[i], notes[i + 1], cfg.merge_pick)
-        if joined is None:
-            i += 1
-            continue
-        notes[i:i + 2] = [joined]
-        notes[-1][2] = 0
-        done += 1
-    i, done = 1, 0
-    while i < len(notes) - 1 and done < cfg.delete_most and len(notes) > cfg.min_notes:
-        gap = notes[i - 1][2] + notes[i][1] + notes[i][2]
-        if rng.random() >= cfg.p_delete or not C.MIN_DT <= gap <= C.MAX_DT:
-            i += 1
-            continue
-        notes[i - 1][2] = gap
-        del notes[i]
-        notes[-1][2] = 0
-        done += 1
-    return notes
 
+def _note(pitch: str, dur: str, dt: str, u: str, v: str) -> str:
+    return f"named_struct('pitch', CAST({pitch} AS INT), 'dur', CAST({dur} AS INT), 'dt', CAST({dt} AS INT), 'u', {u}, 'v', {v})"
+
+
+def _between(value: str, low: int, high: int) -> str:
+    return f"{value} BETWEEN {low} AND {high}"
+
+
+def _range(value: str, low: int, high: int, clip: bool) -> str:
+    return f"greatest({low}, least({high}, {value}))" if clip else value
 
-def structural(seqs: DataFrame, keys: Sequence[str], seed: int, cfg: Corruption = Corruption()) -> DataFrame:
-    """Merge and delete notes of every sequence with at least two notes."""
 
-    def build(rng, pitch, dur, dt):
-        notes = [[int(p), min(max(int(d), 1), C.MAX_DUR), int(t)] for p, d, t in zip(pitch, dur, dt)]
-        out = merge_and_delete(rng, notes, cfg) if len(notes) >= 2 else notes
-        return [n[0] for n in out], [n[1] for n in out], [n[2] for n in out]
+def merge_fold(notes: str, cfg: Corruption) -> str:
+    """Merge drawn neighbours; a merged note may merge again.
 
-    flat = seqs.selectExpr(*keys, "notes.pitch AS pitch", "notes.dur AS dur", "notes.dt AS dt")
-    out = map_sequences(flat, keys, ["pitch", "dur", "dt"], {"p": "array<int>", "d": "array<int>", "t": "array<int>"}, build, seed, "structural")
-    return out.selectExpr(*keys, f"{zipped('p', 'd', 't')} AS notes")
+    A pair whose gap lies in [-merge_overlap, merge_gap] becomes one note that lasts to the later end and keeps the
+    onset after it.  With ``clip`` values beyond the code ranges are clipped, without it such a pair stays.
+    """
+    span = "(a.now.dur + a.now.dt + x.dur)"
+    longer = f"greatest(a.now.dur, {span})"
+    rest = f"({span} + x.dt - {longer})"
+    first = {"first": "true", "second": "false", "longer": "a.now.dur >= x.dur"}[cfg.merge_pick]
+    drawn = f"x.u < {cfg.p_merge!r}D AND {_between('a.now.dt', -cfg.merge_overlap, cfg.merge_gap)}"
+    room = f"a.n < {cfg.merge_most} AND size({notes}) - a.n > {cfg.min_notes} AND size({notes}) > 2"
+    fits = "true" if cfg.clip else f"{_between(longer, 1, C.MAX_DUR)} AND {_between(rest, C.MIN_DT, C.MAX_DT)}"
+    joined = _note(f"IF({first}, a.now.pitch, x.pitch)", _range(longer, 1, C.MAX_DUR, cfg.clip), _range(rest, C.MIN_DT, C.MAX_DT, cfg.clip), "x.u", "x.v")
+    step = (f"CASE WHEN {drawn} AND {room} AND {fits} THEN named_struct('done', a.done, 'now', {joined}, 'n', a.n + 1) "
+            f"ELSE named_struct('done', concat(a.done, array(a.now)), 'now', x, 'n', a.n) END")
+    start = f"named_struct('done', CAST(array() AS ARRAY<{NOTE}>), 'now', {notes}[0], 'n', 0)"
+    return f"aggregate(slice({notes}, 2, size({notes})), {start}, (a, x) -> {step}, a -> concat(a.done, array(a.now)))"
+
+
+def delete_fold(notes: str, cfg: Corruption) -> str:
+    """Drop drawn inner notes; the gap before takes over their time if the code range holds it (or is clipped to it)."""
+    gap = "(a.now.dt + x.dur + x.dt)"
+    drawn = f"x.v < {cfg.p_delete!r}D" + ("" if cfg.clip else f" AND {_between(gap, C.MIN_DT, C.MAX_DT)}")
+    room = f"a.n < {cfg.delete_most} AND size({notes}) - a.n > {cfg.min_notes}"
+    held = _note("a.now.pitch", "a.now.dur", _range(gap, C.MIN_DT, C.MAX_DT, cfg.clip), "a.now.u", "a.now.v")
+    step = (f"CASE WHEN {drawn} AND {room} THEN named_struct('done', a.done, 'now', {held}, 'n', a.n + 1) "
+            f"ELSE named_struct('done', concat(a.done, array(a.now)), 'now', x, 'n', a.n) END")
+    start = f"named_struct('done', CAST(array() AS ARRAY<{NOTE}>), 'now', {notes}[0], 'n', 0)"
+    inner = f"slice({notes}, 2, greatest(0, size({notes}) - 2))"
+    last = f"slice({notes}, greatest(2, size({notes})), 1)"
+    return f"aggregate({inner}, {start}, (a, x) -> {step}, a -> concat(a.done, array(a.now), {last}))"
+
+
+def _last_gap_zero(notes: str) -> str:
+    return let(notes, "q", f"transform(q, (x, j) -> {_note('x.pitch', 'x.dur', 'IF(j = size(q) - 1, 0, x.dt)', 'x.u', 'x.v')})")
+
+
+def structural(seqs: DataFrame, keys: Sequence[str], seed: int, cfg: Corruption = Corruption()) -> DataFrame:
+    """Merge, then delete notes of every sequence of two notes or more; durations enter clipped, the last gap ends as 0."""
+    draws = (f"(x, i) -> {_note('x.pitch', f'greatest(1, least({C.MAX_DUR}, x.dur))', 'IF(i = size(s) - 1 AND size(s) > 1, 0, x.dt)', uniform('merge', seed, *keys, 'i'), uniform('delete', seed, *keys, 'i'))}")
+    merged = let(let("notes", "s", f"transform(s, {draws})"), "m", f"IF(size(m) < 2, m, {merge_fold('m', cfg)})")
+    ended = _last_gap_zero(merged)
+    out = let(ended, "e", f"IF(size(e) < 2, e, {delete_fold('e', cfg)})")
+    return seqs.selectExpr(*keys, f"CASE WHEN size(notes) < 2 THEN transform(notes, x -> struct(CAST(x.pitch AS INT) AS pitch, CAST(greatest(1, least({C.MAX_DUR}, x.dur)) AS INT) AS dur, "
+                           f"CAST(x.dt AS INT) AS dt)) ELSE transform({out}, x -> struct(x.pitch AS pitch, x.dur AS dur, x.dt AS dt)) END AS notes")
 
 
 def corrupt(seqs: DataFrame, keys: Sequence[str], seed: int, cfg: Corruption = Corruption()) -> DataFrame:
-    """The whole corruption: structural passes, then boundary, pitch, time and free-rhythm noise.
+    """The whole corruption: structural folds, then boundary, pitch, time and free-rhythm noise.
 
     Sequences not drawn by ``p_apply`` pass through unchanged.
     """

@@ -58,7 +58,9 @@ def reduced_signature(num: Column, den: Column, max_den: int = 64, max_ratio: in
             F.when(go, (s["den"] / 2).cast("int")).otherwise(s["den"]).alias("den"))
 
     def divide(s: Column, _: Column) -> Column:
-        smallest = F.element_at(F.filter(F.sequence(F.lit(2), F.greatest(s["num"], F.lit(2))), lambda d: s["num"] % d == 0), 1)
+        # a number without a divisor up to its root is its own smallest one
+        root = F.greatest(F.floor(F.sqrt(s["num"])).cast("int"), F.lit(2))
+        smallest = F.coalesce(F.get(F.filter(F.sequence(F.lit(2), root), lambda d: s["num"] % d == 0), F.lit(0)), s["num"])
         return F.struct(
             F.when(s["num"] > max_ratio * s["den"], (s["num"] / smallest).cast("int")).otherwise(s["num"]).alias("num"),
             s["den"].alias("den"))

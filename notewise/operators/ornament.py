@@ -1,21 +1,23 @@
 """Ornamentation of packed sequences with an alignment back to the original notes.
 
-The ornament budget is shared from left to right, so one sequence is one unit of work: an
-Arrow batch function receives bounded note arrays.  Each figure is a list of
-(pitch, dur, dt, kept) notes where ``kept`` marks the original note.
+Every note states the figure it would like from draws keyed by (sequence, try, note), and how many notes that adds.  Overlapping
+two-note figures are settled by their parity in a run, and figures are kept while the running sum of added notes fits the
+budget.  All of it is expressions and windows of one bounded sequence; the figures are arrays of (pitch, dur, dt, pi)
+that are laid end to end.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from notewise import constants as C
-from notewise.operators.arrow import map_sequences, zipped
+from notewise.functions.draws import nonzero_offset, uniform, uniform_int
+from notewise.functions.relation import let
+from notewise.operators.ordered import UPTO, over
 
 
 @dataclass(frozen=True)
@@ -63,219 +65,141 @@ OUT_OF_DISTRIBUTION = replace(
     run_dur=(1, 2), run_jitter=0.30, p_insert=0.15, p_extend=0.2, spread=4, grace_overlap=0.6, p_pair=0.15)
 
 
-def _offset(rng, cfg) -> int:
-    for _ in range(8):
-        k = int(np.clip(np.rint(rng.normal(0.0, cfg.sigma)), -cfg.spread, cfg.spread))
-        if k:
-            return k
-    return int(rng.integers(1, cfg.spread + 1)) * (1 if rng.random() < 0.5 else -1)
-
-
-def _near(pitch: int, rng, cfg) -> int:
-    return min(max(pitch + _offset(rng, cfg), 0), C.MAX_PITCH)
-
-
-def _parts(total: int, n: int, rng) -> list[int]:
-    """n positive parts of a duration, the longest first."""
-    parts = (rng.multinomial(total - n, [1.0 / n] * n) + 1).tolist()
-    top = max(range(n), key=parts.__getitem__)
-    parts[0], parts[top] = parts[top], parts[0]
-    return parts
-
-
-def _chain(pitches, durs, gaps, last_dt) -> list[tuple]:
-    """Notes of one figure over one original note: the first is the original."""
-    dts = [*gaps, last_dt]
-    return [(p, d, t, j == 0) for j, (p, d, t) in enumerate(zip(pitches, durs, dts))]
-
-
-def _grace(note, rng, cfg, before: bool):
-    pitch, dur, dt = note
-    most = min(round(dur * cfg.grace_ratio), dur - 1)
-    if dur < cfg.min_split or most < 1:
-        return None
-    short = int(rng.integers(1, most + 1))
-    overlap = 0
-    if rng.random() < cfg.grace_overlap and short >= 2:
-        overlap = int(rng.integers(1, min(cfg.grace_overlap_most, short - 1) + 1))
-    side, rest = _near(pitch, rng, cfg), dur - short + overlap
-    if before:
-        return [(side, short, -overlap, False), (pitch, rest, dt, True)]
-    return [(pitch, rest, -overlap, True), (side, short, dt, False)]
-
-
-def _trill(note, rng, cfg, budget):
-    pitch, dur, dt = note
-    most = min(cfg.trill_most, budget + 1)
-    if dur < cfg.trill_min or most < 3:
-        return None
-    n = int(rng.integers(3, most + 1))
-    n -= n % 2 == 0
-    if dur < n:
-        return None
-    durs, side = _parts(dur, n, rng), _near(pitch, rng, cfg)
-    return _chain([side if j % 2 else pitch for j in range(n)], durs, [0] * (n - 1), dt)
-
-
-def _turn(note, rng, cfg, budget):
-    pitch, dur, dt = note
-    n = 3 if cfg.turn_notes <= 3 else 4
-    if dur < max(cfg.turn_min, n) or budget < n - 1:
-        return None
-    durs = _parts(dur, n, rng)
-    upper, lower = _near(pitch, rng, cfg), _near(pitch, rng, cfg)
-    return _chain([pitch, upper, pitch, lower][:n], durs, [0] * (n - 1), dt)
-
-
-def _repeat(note, rng, cfg, budget):
-    pitch, dur, dt = note
-    most = min(cfg.repeat_most, budget + 1)
-    if dur < cfg.repeat_min or most < 2:
-        return None
-    n = int(rng.integers(2, most + 1))
-    if dur < n:
-        return None
-    gaps = [0] * (n - 1)
-    for _ in range(16 if cfg.repeat_gap > 0 else 0):
-        tried = rng.integers(0, cfg.repeat_gap + 1, size=n - 1).tolist()
-        if sum(tried) <= dur - n:
-            gaps = tried
-            break
-    return _chain([pitch] * n, _parts(dur - sum(gaps), n, rng), gaps, dt)
-
-
-def _pair(a, b, rng, cfg, budget):
-    """A B A B ... over two notes; A keeps its gap once, B passes its gap on at the end."""
-    most = min(cfg.pair_most, budget // 2 + 1, a[1], b[1])
-    if min(a[1], b[1]) < cfg.min_split or (a[2] < 0 and not cfg.pair_overlap) or most < 2:
-        return None
-    n = int(rng.integers(2, most + 1))
-    first, second = _parts(a[1], n, rng), _parts(b[1], n, rng)
-    out = []
-    for j in range(n):
-        out.append((a[0], first[j], a[2] if j == 0 else 0, j == 0))
-        out.append((b[0], second[j], b[2] if j == n - 1 else 0, j == 0))
-    return out
-
-
-def _between(left, right, rng, cfg, budget, extend, run: bool):
-    """Notes for the gap after ``left``: (new dt of left, inserted notes), or None when they do not fit."""
-    gap = left[2]
-    if gap < 0:
-        return None
-    if run:
-        low, high = cfg.run_notes[0], min(max(cfg.run_notes), budget)
-        if high < low:
-            return None
-        n, (dmin, dmax) = int(rng.integers(low, high + 1)), cfg.run_dur
-    else:
-        n, (dmin, dmax) = 1, cfg.insert_dur
-    if not extend and (gap < cfg.min_gap or (run and gap < n * dmin)):
-        return None
-    durs = rng.integers(dmin, dmax + 1, size=n)
-    if not extend:
-        for _ in range(31 if run else 0):
-            if durs.sum() <= gap:
-                break
-            durs = rng.integers(dmin, dmax + 1, size=n)
-        if durs.sum() > gap:
-            if not run:
-                return None
-            durs = rng.multinomial(gap - n * dmin, [1.0 / n] * n) + dmin
-    room = gap if extend else gap - int(durs.sum())
-    lead = int(rng.integers(0, room + 1)) if room > 0 else 0
-    if run:
-        pitches = np.rint(np.linspace(left[0], right[0], n + 2)[1:-1]).astype(int)
-        pitches = [p + (_offset(rng, cfg) if rng.random() < cfg.run_jitter else 0) for p in pitches.tolist()]
-    else:
-        base = right[0] if rng.random() < cfg.toward_next else left[0]
-        step = right[0] - left[0]
-        pitches = [left[0] + int(math.copysign(rng.choice(cfg.steps), step)) if abs(step) >= 3 else base + _offset(rng, cfg)]
-    gaps = [0] * (n - 1) + [room - lead]
-    return lead, [(min(max(int(p), 0), C.MAX_PITCH), int(d), g, False) for p, d, g in zip(pitches, durs, gaps)]
-
-
-def ornament_once(rng, notes: list[tuple[int, int, int]], cfg: Ornaments, budget: int) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """One pass over a sequence: ornamented notes and, per note, the original position or -1."""
-    same = notes, list(range(len(notes)))
-    if rng.random() > cfg.p_apply or budget <= 0:
-        return same
-    extend = rng.random() < cfg.p_extend
-    out: list[tuple] = []
-    pi: list[int] = []
-
-    def put(figure, origins):
-        origin = iter(origins)
-        for p, d, t, kept in figure:
-            out.append((p, d, t))
-            pi.append(next(origin) if kept else C.PI_INSERTED)
-
-    single = ((cfg.p_trill, _trill), (cfg.p_turn, _turn), (cfg.p_repeat, _repeat))
-    j = 0
-    while j < len(notes):
-        note = notes[j]
-        if budget >= 2 and j + 1 < len(notes) and rng.random() < cfg.p_pair:
-            figure = _pair(note, notes[j + 1], rng, cfg, budget)
-            if figure:
-                put(figure, (j, j + 1))
-                budget -= len(figure) - 2
-                j += 2
-                continue
-        figure = None
-        for rate, make in single:
-            if figure is None and budget > 0 and rng.random() < rate:
-                figure = make(note, rng, cfg, budget)
-        if figure is None and budget > 0:
-            u = rng.random()
-            if u < cfg.p_pre_grace + cfg.p_post_grace:
-                figure = _grace(note, rng, cfg, u < cfg.p_pre_grace)
-        figure = figure or [(*note, True)]
-        put(figure, (j,))
-        budget -= len(figure) - 1
-        if budget > 0 and j + 1 < len(notes):
-            u = rng.random()
-            added = None
-            if u < cfg.p_run:
-                added = _between(out[-1], notes[j + 1], rng, cfg, budget, extend, True)
-            if added is None and u < cfg.p_run + cfg.p_insert:
-                added = _between(out[-1], notes[j + 1], rng, cfg, budget, extend, False)
-            if added:
-                out[-1] = (*out[-1][:2], added[0])
-                put(added[1], ())
-                budget -= len(added[1])
-        j += 1
-    clip = [(p, min(max(d, 1), C.MAX_DUR), min(max(t, C.MIN_DT), C.MAX_DT)) for p, d, t in out]
-    return clip, pi
+NO_NOTES = "CAST(array() AS ARRAY<STRUCT<pitch: INT, dur: INT, dt: INT, pi: INT>>)"
+
+
+def _note(pitch: str, dur: str, dt: str, pi: str = "-1") -> str:
+    """One note of a figure inside the code ranges."""
+    def inside(x: str, low: int, high: int) -> str:
+        return f"CAST(greatest({low}, least({high}, {x})) AS INT)"
+
+    return (f"named_struct('pitch', {inside(pitch, 0, C.MAX_PITCH)}, 'dur', {inside(dur, 1, C.MAX_DUR)}, "
+            f"'dt', {inside(dt, C.MIN_DT, C.MAX_DT)}, 'pi', CAST({pi} AS INT))")
+
+
+def _parts(total: str, n: str, op: str, seed: int, at: Sequence[str]) -> str:
+    """Array of n positive parts of a duration by drawn weights, the longest first."""
+    weights = f"transform(sequence(1, {n}), j -> {uniform(op, seed, *at, 'j')})"
+    shares = let(weights, "ws", f"transform(ws, v -> 1 + CAST(floor((({total}) - ({n})) * v / greatest(aggregate(ws, 0D, (a, v) -> a + v), 1e-9D)) AS INT))")
+    return let(f"reverse(array_sort({shares}))", "ps",
+               f"transform(ps, (v, j) -> CASE WHEN j = 0 THEN v + ({total}) - aggregate(ps, 0, (a, v) -> a + v) ELSE v END)")
+
+
+def _chain(n: str, parts: str, pitch: str, gap: str = "0") -> str:
+    """Figure over one note: ``pitch`` and ``gap`` are expressions of the running number j; the first note is the original."""
+    return let(parts, "qs", f"transform(sequence(0, {n} - 1), j -> {_note(pitch, 'qs[j]', f'CASE WHEN j = {n} - 1 THEN dt ELSE {gap} END', 'CASE WHEN j = 0 THEN i ELSE -1 END')})")
+
+
+def _wishes(rows: DataFrame, keys: Sequence[str], seed: int, cfg: Ornaments) -> DataFrame:
+    """Adds ``kind`` and ``m`` (size) of the wanted figure, ``btw`` and ``add`` for what follows it, all before the budget."""
+    at = [*keys, "try", "i"]
+    u = lambda op: uniform(f"orn.{op}", seed, *at)
+    num = lambda op, low, high: uniform_int(f"orn.{op}", seed, low, high, *at)
+    most = f"least({cfg.pair_most}, dur, next_dur)"
+    r = rows.selectExpr("*", f"""coalesce(try IS NOT NULL AND next_pitch IS NOT NULL AND {u('pair')} < {cfg.p_pair!r}D AND least(dur, next_dur) >= {cfg.min_split}
+        AND {'true' if cfg.pair_overlap else 'dt >= 0'} AND {most} >= 2, false) AS cand""")
+    start = f"max(CASE WHEN cand AND NOT before THEN i END) {over(keys, ['i'], UPTO)}"
+    r = r.selectExpr("*", f"coalesce(lag(cand) {over(keys, ['i'])}, false) AS before").selectExpr("*", f"cand AND (i - {start}) % 2 = 0 AS opens")
+    r = r.selectExpr("*", f"coalesce(lag(opens) {over(keys, ['i'])}, false) AS closes", f"{num('pair.n', 2, most)} AS pair_n")
+    grace_most = f"least(CAST(rint(dur * {cfg.grace_ratio!r}D) AS INT), dur - 1)"
+    graced = f"dur >= {cfg.min_split} AND {grace_most} >= 1"
+    r = r.selectExpr("*", f"""CASE WHEN try IS NULL THEN 'plain' WHEN opens THEN 'opens' WHEN closes THEN 'closes'
+        WHEN {u('trill')} < {cfg.p_trill!r}D AND dur >= {max(3, cfg.trill_min)} AND {cfg.trill_most} >= 3 THEN 'trill'
+        WHEN {u('turn')} < {cfg.p_turn!r}D AND dur >= {max(cfg.turn_min, 4)} THEN 'turn'
+        WHEN {u('repeat')} < {cfg.p_repeat!r}D AND dur >= {max(2, cfg.repeat_min)} AND {cfg.repeat_most} >= 2 THEN 'repeat'
+        WHEN {u('grace')} < {cfg.p_pre_grace!r}D AND {graced} THEN 'pre'
+        WHEN {u('grace')} BETWEEN {cfg.p_pre_grace!r}D AND {cfg.p_pre_grace + cfg.p_post_grace!r}D AND {graced} THEN 'post' ELSE 'plain' END AS kind""",
+        f"{grace_most} AS grace_most")
+    odd = let(num("trill.n", 3, f"least({max(3, cfg.trill_most)}, dur)"), "z", "z - CASE WHEN z % 2 = 0 THEN 1 ELSE 0 END")
+    r = r.selectExpr("*", f"""CASE kind WHEN 'trill' THEN {odd} WHEN 'turn' THEN {3 if cfg.turn_notes <= 3 else 4}
+        WHEN 'repeat' THEN {num('repeat.n', 2, f'least({max(2, cfg.repeat_most)}, dur)')} WHEN 'pre' THEN 2 WHEN 'post' THEN 2 WHEN 'opens' THEN 2 * pair_n - 1 ELSE 1 END AS m""")
+    low, high = min(cfg.run_notes), max(cfg.run_notes)
+    r = r.selectExpr("*", f"""CASE WHEN try IS NULL OR next_pitch IS NULL OR dt < 0 OR kind = 'opens' THEN NULL WHEN {u('between')} < {cfg.p_run!r}D THEN 'run'
+        WHEN {u('between')} < {cfg.p_run + cfg.p_insert!r}D THEN 'insert' END AS want""", f"{num('run.n', low, high)} AS run_n")
+    r = r.selectExpr("*", "CASE want WHEN 'run' THEN run_n WHEN 'insert' THEN 1 ELSE 0 END AS add0", f"CASE WHEN want = 'run' THEN {cfg.run_dur[0]} ELSE {cfg.insert_dur[0]} END AS dmin",
+                     f"CASE WHEN want = 'run' THEN {cfg.run_dur[1]} ELSE {cfg.insert_dur[1]} END AS dmax")
+    drawn = f"transform(sequence(1, greatest(add0, 1)), j -> {uniform_int('orn.between.dur', seed, 'dmin', 'dmax', *at, 'j')})"
+    r = r.selectExpr("*", f"{drawn} AS durs0").selectExpr("*", "aggregate(durs0, 0, (a, v) -> a + v) AS sum0")
+    squeezed = f"transform({_parts('dt - add0 * (dmin - 1)', 'greatest(add0, 1)', 'orn.between.part', seed, at)}, v -> v + dmin - 1)"
+    r = r.selectExpr("*", f"""want IS NOT NULL AND (extend OR (dt >= {cfg.min_gap} AND dt >= add0 * dmin AND (want = 'run' OR sum0 <= dt))) AS fits""")
+    return r.selectExpr("*", "CASE WHEN fits THEN want END AS btw", "CASE WHEN fits THEN add0 ELSE 0 END AS add",
+                        f"CASE WHEN NOT fits THEN CAST(array() AS ARRAY<INT>) WHEN extend OR sum0 <= dt THEN durs0 ELSE {squeezed} END AS durs")
+
+
+def _figure(keys: Sequence[str], seed: int, cfg: Ornaments) -> str:
+    """The kept figure of a note as an array of notes; its last note still has the note's own gap."""
+    at = [*keys, "try", "i"]
+    near = lambda op: f"pitch + {nonzero_offset(f'orn.{op}', seed, cfg.spread, cfg.sigma, *at)}"
+    num = lambda op, low, high: uniform_int(f"orn.{op}", seed, low, high, *at)
+    short = num("grace.dur", 1, "grace_most")
+    overlap = f"CASE WHEN {uniform('orn.grace.over', seed, *at)} < {cfg.grace_overlap!r}D AND g >= 2 THEN {num('grace.by', 1, f'least({cfg.grace_overlap_most}, g - 1)')} ELSE 0 END"
+
+    def grace(first: str, second: str) -> str:
+        return let(short, "g", let(overlap, "o", f"array({first}, {second})"))
+
+    side, rest = near("grace.pitch"), "dur - g + o"
+    gaps = let(f"transform(sequence(1, m - 1), j -> {uniform_int('orn.repeat.gap', seed, 0, cfg.repeat_gap, *at, 'j')})", "gs",
+               "CASE WHEN aggregate(gs, 0, (a, v) -> a + v) <= dur - m THEN gs ELSE transform(gs, v -> 0) END")
+    repeat = let(gaps, "hs", _chain("m", _parts("dur - aggregate(hs, 0, (a, v) -> a + v)", "m", "orn.repeat.part", seed, at), "pitch", "hs[j]"))
+    trill = let(near("trill.pitch"), "s", _chain("m", _parts("dur", "m", "orn.trill.part", seed, at), "CASE WHEN j % 2 = 1 THEN s ELSE pitch END"))
+    turn = let(f"array(pitch, {near('turn.up')}, pitch, {near('turn.down')})", "ts", _chain("m", _parts("dur", "m", "orn.turn.part", seed, at), "ts[j]"))
+    here, last = [*keys, "try", "i"], [*keys, "try", "(i - 1)"]
+    first_parts, second_parts = _parts("dur", "pair_n", "orn.pair.a", seed, here), _parts("next_dur", "pair_n", "orn.pair.b", seed, here)
+    alternate = let(first_parts, "xs", let(second_parts, "ys", f"""transform(sequence(0, m - 1), j -> CASE WHEN j % 2 = 0
+        THEN {_note('pitch', 'xs[CAST(j div 2 AS INT)]', 'CASE WHEN j = 0 THEN dt ELSE 0 END', 'CASE WHEN j = 0 THEN i ELSE -1 END')}
+        ELSE {_note('next_pitch', 'ys[CAST(j div 2 AS INT)]', '0', 'CASE WHEN j = 1 THEN i + 1 ELSE -1 END')} END)"""))
+    closing = let(_parts("dur", "prev_n", "orn.pair.b", seed, last), "ys", f"array({_note('pitch', 'ys[prev_n - 1]', 'dt')})")
+    plain = f"array({_note('pitch', 'dur', 'dt', 'i')})"
+    return f"""CASE WHEN kind = 'closes' AND prev_kept THEN {closing} WHEN NOT kept THEN {plain}
+        WHEN kind = 'trill' THEN {trill} WHEN kind = 'turn' THEN {turn} WHEN kind = 'repeat' THEN {repeat} WHEN kind = 'opens' THEN {alternate}
+        WHEN kind = 'pre' THEN {grace(_note(side, 'g', '-o'), _note('pitch', rest, 'dt', 'i'))}
+        WHEN kind = 'post' THEN {grace(_note('pitch', rest, '-o', 'i'), _note(side, 'g', 'dt'))} ELSE {plain} END"""
+
+
+def _between(keys: Sequence[str], seed: int, cfg: Ornaments) -> tuple[str, str]:
+    """(gap left before the inserted notes, the inserted notes)."""
+    at = [*keys, "try", "i"]
+    room = "CASE WHEN extend THEN dt ELSE dt - aggregate(durs, 0, (a, v) -> a + v) END"
+    lead = let(room, "r", uniform_int("orn.between.lead", seed, 0, "r", *at))
+    jitter = (f"CASE WHEN {uniform('orn.run.jitter', seed, *at, 'j')} < {cfg.run_jitter!r}D THEN {nonzero_offset('orn.run.by', seed, cfg.spread, cfg.sigma, *at, 'j')} ELSE 0 END")
+    along = f"CAST(rint(pitch + (next_pitch - pitch) * (j + 1) / CAST(add + 1 AS DOUBLE)) AS INT) + {jitter}"
+    step = f"element_at(array({', '.join(map(str, cfg.steps))}), {uniform_int('orn.insert.step', seed, 1, len(cfg.steps), *at)})"
+    single = (f"CASE WHEN abs(next_pitch - pitch) >= 3 THEN pitch + CAST(sign(next_pitch - pitch) AS INT) * {step} "
+              f"ELSE CASE WHEN {uniform('orn.insert.base', seed, *at)} < {cfg.toward_next!r}D THEN next_pitch ELSE pitch END + {nonzero_offset('orn.insert.by', seed, cfg.spread, cfg.sigma, *at)} END")
+    made = f"transform(durs, (v, j) -> {_note(f'CASE WHEN btw = {chr(39)}run{chr(39)} THEN {along} ELSE {single} END', 'v', f'CASE WHEN j = add - 1 THEN {room} - lead ELSE 0 END')})"
+    return lead, made
 
 
 def ornament_pairs(seqs: DataFrame, keys: Sequence[str], seed: int, cfg: Ornaments = Ornaments(), rho_min: float = 1 / 3,
                    tries: int = 8, min_extra: int = 1, capacity: int = C.MAX_EVENTS) -> DataFrame:
     """Ornamented twin of every sequence: x_orn, pi, len_x, len_x_orn (BOS and EOS counted), rho, fail.
 
-    At most floor(len * (1 / rho_min - 1)) notes are added.  A sequence is retried until it
-    gained a note and kept rho_min; when no try succeeds the last one stays, marked as failed.
+    At most floor(len * (1 / rho_min - 1)) notes are added.  A sequence is ornamented with ``p_apply``, drawn up to ``tries`` times; one that
+    gains fewer than ``min_extra`` notes or falls below ``rho_min`` is marked as failed.
     """
-
-    def build(rng, pitch, dur, dt):
-        notes = list(zip((int(v) for v in pitch), (int(v) for v in dur), (int(v) for v in dt)))
-        len_x = len(notes) + 2
-        cap = min(cfg.max_extra, max(0, capacity - len_x), max(0, math.floor(len_x * (1 / rho_min - 1) + 1e-9)))
-        for _ in range(tries):
-            made, pi = ornament_once(rng, notes, cfg, cap)
-            extra = len(made) - len(notes)
-            rho = len_x / (len_x + extra)
-            good = extra >= min_extra and rho + 1e-9 >= rho_min
-            if good:
-                break
-        p, d, t = zip(*made) if made else ((), (), ())
-        return list(p), list(d), list(t), pi, len_x, len_x + extra, rho, not good
-
-    flat = seqs.selectExpr(*keys, "notes.pitch AS pitch", "notes.dur AS dur", "notes.dt AS dt")
-    out = map_sequences(
-        flat, keys, ["pitch", "dur", "dt"],
-        {"p": "array<int>", "d": "array<int>", "t": "array<int>", "pi": "array<int>", "len_x": "int", "len_x_orn": "int", "rho": "double", "fail": "boolean"},
-        build, seed, "ornament")
-    return out.selectExpr(*keys, f"{zipped('p', 'd', 't')} AS x_orn", "pi", "len_x", "len_x_orn", "rho", "fail")
+    drawn = " ".join(f"WHEN {uniform('orn.apply', seed, *keys, str(t))} <= {cfg.p_apply!r}D THEN {t}" for t in range(tries))
+    base = seqs.selectExpr(*keys, "size(notes) AS n", f"CASE {drawn} END AS try", "notes").selectExpr("*", f"coalesce({uniform('orn.extend', seed, *keys, 'try')} < {cfg.p_extend!r}D, false) AS extend")
+    rows = base.selectExpr(*keys, "n", "try", "extend", "posexplode(notes) AS (i, x)").selectExpr(
+        *keys, "n", "try", "extend", "i", "CAST(x.pitch AS INT) AS pitch", "CAST(x.dur AS INT) AS dur", "CAST(x.dt AS INT) AS dt").selectExpr(
+        "*", f"lead(pitch) {over(keys, ['i'])} AS next_pitch", f"lead(dur) {over(keys, ['i'])} AS next_dur")
+    wished = _wishes(rows, keys, seed, cfg)
+    cap = f"least({cfg.max_extra}, greatest(0, {capacity} - n - 2), greatest(0, CAST(floor((n + 2) * {1 / rho_min - 1!r}D + 1e-9D) AS INT)))"
+    # a two-note figure counts as a whole where it opens: all its notes but the two originals
+    extra = "CASE WHEN kind = 'opens' THEN m - 1 WHEN kind = 'closes' THEN 0 ELSE m - 1 END"
+    summed = wished.selectExpr("*", f"sum({extra} + add) {over(keys, ['i'], UPTO)} AS upto", f"{cap} AS cap").selectExpr(
+        "*", "upto - add <= cap AS kept", "upto <= cap AND btw IS NOT NULL AS follows")
+    settled = summed.selectExpr("*", f"coalesce(lag(kept) {over(keys, ['i'])}, false) AS prev_kept", f"lag(pair_n) {over(keys, ['i'])} AS prev_n")
+    lead, made = _between(keys, seed, cfg)
+    laid = settled.selectExpr(*keys, "n", "i", "btw", "add", "durs", "extend", "try", "pitch", "next_pitch", "dt", "follows", f"{_figure(keys, seed, cfg)} AS fig", f"CASE WHEN follows THEN {lead} END AS lead")
+    shorter = f"transform(fig, (x, j) -> CASE WHEN j = size(fig) - 1 THEN {_note('x.pitch', 'x.dur', 'lead', 'x.pi')} ELSE x END)"
+    notes = laid.selectExpr(*keys, "n", "i", f"CASE WHEN follows THEN concat({shorter}, {made}) ELSE fig END AS part")
+    whole = notes.groupBy(*keys, "n").agg(F.expr("flatten(transform(array_sort(collect_list(struct(i, part))), x -> x.part)) AS y"))
+    # sequences without notes have no rows above
+    empty = seqs.where("size(notes) = 0").selectExpr(*keys, "0 AS n", f"{NO_NOTES} AS y")
+    rho = "(n + 2) / CAST(size(y) + 2 AS DOUBLE)"
+    return whole.unionByName(empty).selectExpr(
+        *keys, "transform(y, x -> struct(x.pitch AS pitch, x.dur AS dur, x.dt AS dt)) AS x_orn", "y.pi AS pi", "n + 2 AS len_x", "size(y) + 2 AS len_x_orn",
+        f"{rho} AS rho", f"size(y) - n < {min_extra} OR {rho} + 1e-9D < {rho_min!r}D AS fail")
 
 
 def identity_alignment(notes: str = "notes") -> str:

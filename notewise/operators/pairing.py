@@ -210,18 +210,18 @@ def many_headed(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return arcs.groupBy(*keys, "dep").agg(F.count("*").alias("n_heads")).where("n_heads <> 1")
 
 
-def tree_depth(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str], rounds: int = 10) -> DataFrame:
+def tree_depth(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Depth of every node of bounded trees (one window of notes each); the root's child has depth 0.
 
-    Heads are laid out as one array per tree and every round doubles the jump, so ``rounds``
-    passes cover 2**rounds nodes.  Nodes that never reach the root get NULL.
+    Heads are laid out as one array per tree and every round doubles the jump, so the number of
+    rounds follows from the tree's size.  Nodes that never reach the root get NULL.
     """
     heads = arcs.where("dep <> 0").groupBy(*keys, "dep").agg(F.min("head").alias("head"))
     tree = nodes.select(*keys, F.col("node").alias("dep")).join(heads, [*keys, "dep"], "left").groupBy(*keys).agg(
         F.expr("transform(array_sort(collect_list(struct(dep, head))), x -> x.head) AS anc"))
     jump = ("struct(transform(s.anc, a -> CASE WHEN a > 0 THEN s.anc[CAST(a - 1 AS INT)] ELSE a END) AS anc, "
             "transform(s.dist, (d, j) -> CASE WHEN s.anc[j] > 0 THEN d + s.dist[CAST(s.anc[j] - 1 AS INT)] ELSE d END) AS dist)")
-    done = tree.selectExpr(*keys, f"aggregate(sequence(1, {rounds}), struct(anc, transform(anc, a -> 1) AS dist), (s, r) -> {jump}) AS t")
+    done = tree.selectExpr(*keys, f"aggregate(sequence(1, CAST(ceil(log2(size(anc) + 1)) AS INT) + 1), struct(anc, transform(anc, a -> 1) AS dist), (s, r) -> {jump}) AS t")
     return done.selectExpr(*keys, "posexplode(transform(t.dist, (d, j) -> CASE WHEN t.anc[j] = 0 THEN d - 1 END)) AS (j, depth)").selectExpr(
         *keys, "j + 1 AS node", "depth")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from notewise.functions.draws import uniform
 from notewise.operators.ordered import BEFORE, UPTO, over
@@ -44,6 +45,30 @@ def random_k(notes: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     return _even_soft(seg.selectExpr(*keys, "i", "k", f"coalesce(CASE WHEN k >= wlen THEN i < k ELSE i = {pick} END, false) AS hard"), keys)
 
 
+def uniform_time(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The k notes nearest to k even points of the clock, every note once (rows with ``onset_mono``, ``k``, ``wlen``).
+
+    Points and notes are put in one order per sequence, where a point's neighbours are the next note and the one before.  A
+    taken note passes the point on to the next free one; if that leads beyond the end, all picks move back.
+    """
+    clock = notes.selectExpr(*keys, "CAST(i AS INT) AS i", "CAST(k AS INT) AS k", "CAST(wlen AS INT) AS n", "CAST(onset_mono AS DOUBLE) AS at")
+    ends = clock.groupBy(*keys, "k", "n").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    points = ends.where("k > 0 AND k < n").selectExpr(*keys, "k", "n", "lo", "hi", "explode(sequence(0, k - 1)) AS j").selectExpr(
+        "*", "CASE WHEN k = 1 THEN lo ELSE lo + (hi - lo) * j / (k - 1) END AS at")
+    mixed = points.selectExpr(*keys, "k", "n", "lo", "hi", "j", "at", "CAST(NULL AS INT) AS i", "CAST(NULL AS DOUBLE) AS note_at").unionByName(
+        clock.selectExpr(*keys, "k", "n", "CAST(NULL AS DOUBLE) AS lo", "CAST(NULL AS DOUBLE) AS hi", "CAST(NULL AS INT) AS j", "at", "i", "at AS note_at"))
+    line = ["at", "CASE WHEN i IS NULL THEN 0 ELSE 1 END", "coalesce(i, j)"]
+    behind, before = (over(keys, line, f"ROWS BETWEEN {f}") for f in ("CURRENT ROW AND UNBOUNDED FOLLOWING", "UNBOUNDED PRECEDING AND CURRENT ROW"))
+    sides = mixed.selectExpr("*", f"first_value(i, true) {behind} AS right", f"first_value(note_at, true) {behind} AS right_at",
+                             f"last_value(note_at, true) {before} AS left_at").where("j IS NOT NULL")
+    near = sides.selectExpr(*keys, "n", "j", """CASE WHEN hi <= lo THEN CAST(rint((n - 1) * CAST(j AS DOUBLE) / greatest(k - 1, 1)) AS INT)
+        WHEN right IS NULL THEN n - 1 WHEN right > 0 AND at - left_at <= right_at - at THEN right - 1 ELSE right END AS pick""")
+    free = near.selectExpr(*keys, "n", "j", f"max(pick - j) {over(keys, ['j'], UPTO)} + j AS pick")
+    inside = free.selectExpr(*keys, f"greatest(0, pick - greatest(0, max(pick) {over(keys)} - (n - 1))) AS i").distinct().selectExpr("*", "true AS hard")
+    marked = notes.join(inside, [*keys, "i"], "left").selectExpr(*keys, "i", "k", "k > 0 AND (k >= wlen OR coalesce(hard, false)) AS hard")
+    return _even_soft(marked, keys)
+
+
 def _even_soft(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return marked.selectExpr(*keys, "i", "CASE WHEN hard THEN 1D / (k + 1) ELSE 0D END AS score", "hard", "1D / (k + 1) AS bos_mass")
 

@@ -120,6 +120,8 @@ class Corruption:
     merge_pick: str = "longer"
     p_delete: float = 0.04
     delete_most: int = 3
+    #: clip values that leave the code range instead of leaving the pair or note alone
+    clip: bool = False
     p_boundary: float = 0.10
     p_pitch: float = 0.12
     p_dur: float = 0.10

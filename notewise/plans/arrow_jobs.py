@@ -13,7 +13,8 @@ from notewise.operators import paths as PA
 from notewise.operators import selectors as S
 from notewise.operators.ordered import pack
 from notewise.operators.transforms import Corruption
-from notewise.plans.metrics import MACRO, clocked, labelled
+from notewise.plans.metrics import CLOCK, LAB, MACRO, clocked, labelled
+from notewise.plans.oracle import ROWS, ctes, uniform_sql
 from notewise.plans.registry import query
 from notewise.session import checkpointed
 from notewise.sources import tables
@@ -33,16 +34,47 @@ def ornament_pairs(spark, sf):
         *SEQ, "len_x", "len_x_orn", "rho", "fail", "i", "pi[i] AS pi", "x.pitch", "x.dur", "x.dt")
 
 
-@query("WITH one AS (SELECT user_id AS doc, count(*) AS n FROM events GROUP BY 1 HAVING count(*) BETWEEN 16 AND 512) SELECT doc, CAST(0 AS BIGINT) AS missing FROM one WHERE false")
+@query(ctes(ROWS) + """SELECT doc, w, CAST(wlen AS BIGINT) AS originals, CAST(wlen AS BIGINT) AS covered, CAST(0 AS BIGINT) AS missing FROM rows_ WHERE i = 0""")
 def unseen_originals(spark, sf):
-    """Original notes that an ornamented twin lost; must be empty."""
-    p = _pairs(spark, sf)
+    """Per sequence: original notes, those that its ornamented twin holds, and those it lost (none may be)."""
+    p = checkpointed(_pairs(spark, sf))
     variants = p.selectExpr(*SEQ, "explode(pi) AS pi")
-    originals = p.selectExpr(*SEQ, "explode(sequence(0, len_x - 3)) AS i")
-    return P.uncovered_originals(variants, originals, SEQ).selectExpr("doc", "CAST(i AS INT) AS missing")
-
-
-@query()
+    originals = tables.melody_rows(spark, sf).select(*SEQ, "i")
+    lost = P.uncovered_originals(variants, originals, SEQ).groupBy(*SEQ).agg(F.count("*").alias("missing"))
+    held = variants.where("pi >= 0").groupBy(*SEQ).agg(F.countDistinct("pi").alias("covered"))
+    totals = originals.groupBy(*SEQ).agg(F.count("*").alias("originals"))
+    return totals.join(held, SEQ, "left").join(lost, SEQ, "left").selectExpr(
+        *SEQ, "originals", "coalesce(covered, 0L) AS covered", "coalesce(missing, 0L) AS missing")
+
+
+def _fold_sql(name: str, src: str, ok: str, joined: str) -> str:
+    """Left fold of ``src`` (doc, w, i, n, pitch, dur, dt, u, v) as a recursion: rows of the notes it leaves, in order of ``place``."""
+    return f"""{name} AS (
+  SELECT doc, w, i, n, pitch, dur, dt, v, 0 AS done, NULL::BIGINT AS o_pitch, NULL::BIGINT AS o_dur, NULL::BIGINT AS o_dt, CAST(NULL AS DOUBLE) AS o_v FROM {src} WHERE i = 0
+  UNION ALL
+  SELECT doc, w, i, n, {joined}, CASE WHEN ok THEN done + 1 ELSE done END,
+    CASE WHEN NOT ok THEN pitch END, CASE WHEN NOT ok THEN dur END, CASE WHEN NOT ok THEN dt END, CASE WHEN NOT ok THEN v END
+  FROM (SELECT *, {ok} AS ok FROM (
+    SELECT *, greatest(dur, dur + dt + x_dur) AS n_dur, dur + dt + x_dur + x_dt - greatest(dur, dur + dt + x_dur) AS n_dt, dt + x_dur + x_dt AS gap FROM (
+      SELECT a.doc, a.w, x.i, a.n, a.pitch, a.dur, a.dt, a.v, a.done, x.pitch AS x_pitch, x.dur AS x_dur, x.dt AS x_dt, x.u AS x_u, x.v AS x_v
+      FROM {name} a JOIN {src} x ON x.doc = a.doc AND x.w = a.w AND x.i = a.i + 1)))),
+{name}_left AS (SELECT doc, w, i AS place, o_pitch AS pitch, o_dur AS dur, o_dt AS dt, o_v AS v FROM {name} WHERE o_pitch IS NOT NULL
+  UNION ALL SELECT doc, w, n, pitch, dur, dt, v FROM {name} WHERE i = n - 1),
+{name}_out AS (SELECT doc, w, i, n, pitch, dur, CASE WHEN i = n - 1 THEN 0 ELSE dt END AS dt, 0 AS u, v FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc, w ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY doc, w) AS n FROM {name}_left))"""
+
+
+MERGE_DELETE = "WITH RECURSIVE " + ROWS + f""",
+src AS (SELECT doc, w, i, wlen AS n, pitch, greatest(1, least(95, dur)) AS dur, CASE WHEN i = wlen - 1 THEN 0 ELSE dt END AS dt,
+  {uniform_sql('merge', 42, 'doc', 'w', 'i')} AS u, {uniform_sql('delete', 42, 'doc', 'w', 'i')} AS v FROM rows_),
+""" + _fold_sql("mg", "src", "x_u < 0.06 AND dt BETWEEN -3 AND 2 AND done < 4 AND n - done > 8 AND n > 2 AND n_dur BETWEEN 1 AND 95 AND n_dt BETWEEN -96 AND 95",
+                """CASE WHEN ok AND dur >= x_dur THEN pitch ELSE x_pitch END, CASE WHEN ok THEN n_dur ELSE x_dur END, CASE WHEN ok THEN n_dt ELSE x_dt END, x_v""") + ",\n" + _fold_sql(
+    "dl", "mg_out", "x_v < 0.04 AND i < n - 1 AND gap BETWEEN -96 AND 95 AND done < 3 AND n - done > 8",
+    """CASE WHEN ok THEN pitch ELSE x_pitch END, CASE WHEN ok THEN dur ELSE x_dur END, CASE WHEN ok THEN gap ELSE x_dt END, CASE WHEN ok THEN v ELSE x_v END""") + """
+SELECT doc, w, i, pitch, dur, dt FROM dl_out"""
+
+
+@query(MERGE_DELETE)
 def merge_delete(spark, sf):
     out = CO.structural(tables.melody_sequences(spark, sf), SEQ, 42)
     return out.selectExpr(*SEQ, "posexplode(notes) AS (i, x)").selectExpr(*SEQ, "i", "x.*")
@@ -50,8 +82,9 @@ def merge_delete(spark, sf):
 
 @query()
 def corrupted_fragments(spark, sf):
-    """Ornamented, then corrupted fragments: the noisy query side of retrieval."""
-    orn = _pairs(spark, sf).selectExpr(*SEQ, "slice(x_orn, CAST((doc + w) % 8 + 1 AS INT), 32) AS notes")
+    """Ornamented, then corrupted fragments of whole sequences (32 notes every 24): the noisy query side of retrieval."""
+    orn = _pairs(spark, sf).selectExpr(*SEQ, "explode(sequence(0, greatest(0, size(x_orn) - 8), 24)) AS frag_start", "x_orn").selectExpr(
+        "doc", "concat_ws('#', w, frag_start) AS w", "slice(x_orn, frag_start + 1, 32) AS notes")
     out = CO.corrupt(orn, SEQ, 43, Corruption(p_apply=0.9))
     return out.selectExpr(*SEQ, "posexplode(notes) AS (i, x)").selectExpr(*SEQ, "i", "x.*")
 
@@ -62,14 +95,25 @@ def _packed_clock(spark, sf):
     return rows, flat.selectExpr(*SEQ, "CAST(k AS INT) AS k", "notes.onset AS onset", "notes.pitch AS pitch", "notes.dur AS dur")
 
 
-@query()
+UNIFORM = """en AS (SELECT doc, w, k, wlen AS n, min(CAST(mono AS DOUBLE)) AS lo, max(CAST(mono AS DOUBLE)) AS hi FROM clk GROUP BY ALL),
+pt AS (SELECT doc, w, k, n, lo, hi, j, CASE WHEN k = 1 THEN lo ELSE lo + (hi - lo) * j / (k - 1) END AS pos FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS j FROM en WHERE k > 0 AND k < n)),
+sd AS (SELECT *, (SELECT min(i) FROM clk c WHERE c.doc = pt.doc AND c.w = pt.w AND c.mono >= pt.pos) AS rt FROM pt),
+nr AS (SELECT sd.doc, sd.w, sd.n, sd.j, CASE WHEN hi <= lo THEN CAST(round_even((sd.n - 1) * CAST(sd.j AS DOUBLE) / greatest(sd.k - 1, 1), 0) AS BIGINT) WHEN rt IS NULL THEN sd.n - 1
+   WHEN rt > 0 AND pos - b.mono <= a.mono - pos THEN rt - 1 ELSE rt END AS pick
+   FROM sd LEFT JOIN clk a ON a.doc = sd.doc AND a.w = sd.w AND a.i = rt LEFT JOIN clk b ON b.doc = sd.doc AND b.w = sd.w AND b.i = rt - 1),
+fr AS (SELECT *, max(pick - j) OVER (PARTITION BY doc, w ORDER BY j ROWS UNBOUNDED PRECEDING) + j AS p FROM nr),
+pk AS (SELECT DISTINCT doc, w, greatest(0, p - greatest(0, top - (n - 1))) AS i, true AS hit FROM (SELECT *, max(p) OVER (PARTITION BY doc, w) AS top FROM fr))"""
+
+
+@query(ctes(LAB, CLOCK, UNIFORM) + """SELECT doc, w, i, round(CASE WHEN hard THEN CAST(1 AS DOUBLE) / (k + 1) ELSE 0 END, 9) AS score, hard
+FROM (SELECT clk.*, k > 0 AND (k >= wlen OR coalesce(hit, false)) AS hard FROM clk LEFT JOIN pk USING (doc, w, i))""")
 def uniform_time(spark, sf):
-    return PA.select_by(_packed_clock(spark, sf)[1], SEQ, "uniform_time").selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
+    return S.uniform_time(clocked(labelled(spark, sf)), SEQ).selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
 
 
 @query()
 def exact_k_path(spark, sf):
-    return PA.select_by(_packed_clock(spark, sf)[1], SEQ, "exact_k_path").selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
+    return PA.exact_k_path(_packed_clock(spark, sf)[1], SEQ).selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
 
 
 @query()
@@ -80,8 +124,7 @@ def selector_benchmark(spark, sf):
     rows = S.with_onsets(twins, SEQ)
     flat = pack(rows, [*SEQ, "k"], ["onset", "pitch", "dur"]).selectExpr(*SEQ, "k", "notes.onset AS onset", "notes.pitch AS pitch", "notes.dur AS dur")
     picked = S.longest_k(rows, SEQ).selectExpr("'longest' AS method", "*")
-    for name, part in (("random", S.random_k(rows, SEQ, 44)), ("uniform_time", PA.select_by(flat, SEQ, "uniform_time")),
-                       ("exact_k_path", PA.select_by(flat, SEQ, "exact_k_path"))):
+    for name, part in (("random", S.random_k(rows, SEQ, 44)), ("uniform_time", S.uniform_time(rows, SEQ)), ("exact_k_path", PA.exact_k_path(flat, SEQ))):
         picked = picked.unionByName(part.selectExpr(f"'{name}' AS method", "*"))
     scored = picked.join(rows.select(*SEQ, "i", "label"), [*SEQ, "i"])
     return M.macro(M.pair_metrics(scored, ["method", *SEQ]), MACRO, ["method"])

@@ -93,11 +93,11 @@ def random_downsample(spark, sf):
     return S.random_k(labelled(spark, sf), SEQ, 13).selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
 
 
-@query(ctes(LAB, """e AS (SELECT *, dur / CAST(24 AS DOUBLE) AS s FROM lab WHERE i % 3 = 0 OR dur < 12)""") + """
+@query(ctes(LAB, """e AS (SELECT *, dur / CAST(24 AS DOUBLE) AS s FROM lab)""") + """
 SELECT doc, w, i, s >= 0.9 OR (max(s) OVER (PARTITION BY doc, w) < 0.9 AND row_number() OVER (PARTITION BY doc, w ORDER BY s DESC, i) = 1) AS kept,
   round(exp(s * 2) / sum(exp(s * 2)) OVER (PARTITION BY doc, w), 9) AS share FROM e""")
 def threshold_and_softmax(spark, sf):
-    e = labelled(spark, sf).where("i % 3 = 0 OR dur < 12").selectExpr(*SEQ, "i", "dur / 24D AS score")
+    e = labelled(spark, sf).selectExpr(*SEQ, "i", "dur / 24D AS score")
     return S.normalised(S.keep_by_threshold(e, SEQ, 0.9), SEQ, 0.5).selectExpr(*SEQ, "i", "kept", "round(share, 9) AS share")
 
 
@@ -127,13 +127,13 @@ def note_weights(spark, sf):
 
 
 @query(ctes(LAB, """v AS (SELECT *, CASE WHEN label = 1 THEN sum(label) OVER (PARTITION BY doc, w ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 ELSE -1 END AS pi FROM lab)""") + """,
-s AS (SELECT doc, w, pi, sum(dur) / CAST(24 AS DOUBLE) AS score FROM v WHERE pi >= 0 AND i % 2 = 0 GROUP BY doc, w, pi)
+s AS (SELECT doc, w, pi, sum(dur) / CAST(24 AS DOUBLE) AS score FROM v WHERE pi >= 0 GROUP BY doc, w, pi)
 SELECT v.doc, v.w, CAST(v.pi AS BIGINT) AS pi, round(coalesce(s.score, 0), 9) AS score FROM v LEFT JOIN s USING (doc, w, pi) WHERE v.pi >= 0""")
 def scores_onto_original(spark, sf):
     v = labelled(spark, sf).selectExpr(
         *SEQ, "i", "label", "dur / 24D AS score", f"CASE WHEN label = 1 THEN sum(label) {over(SEQ, ['i'])} - 1 ELSE -1 END AS pi")
     originals = v.where("pi >= 0").selectExpr(*SEQ, "pi AS i")
-    return S.onto_original(v.where("i % 2 = 0"), originals, SEQ).selectExpr(*SEQ, "pi", "round(score, 9) AS score")
+    return S.onto_original(v, originals, SEQ).selectExpr(*SEQ, "pi", "round(score, 9) AS score")
 
 
 # ---------------------------------------------------------------- clock and closure

@@ -87,7 +87,7 @@ def random_fragments(spark, sf):
     s = packed(spark, sf)
     n = s.where("size(notes) >= 20").count()
     f = T.random_fragments(s, SEQ, n, 27, 20, 40)
-    return f.where("size(notes) = frag_len").select("query_id", *SEQ, "frag_len", "frag_start")
+    return f.selectExpr("query_id", *SEQ, "size(notes) AS frag_len", "frag_start")
 
 
 # ------------------------------------------------------------------ denoising noise
@@ -151,6 +151,36 @@ def rotate(spark, sf):
     return D.rotate(tokens(spark, sf), SEQ, 35).select(*SEQ, "p", "d", "t", "i")
 
 
-@query()
+def _cover(tag, src, ratio, seed, when, lam=3.0):
+    """Span masking of ``src`` rows, spans only where ``when`` holds; leaves ms_<tag> with ``masked``."""
+    mean = lam + math.exp(-lam)
+    return f"""sq_{tag} AS (SELECT DISTINCT doc, w, wlen, {_cnt(ratio)} AS target FROM {src} WHERE {when}),
+sp_{tag} AS (SELECT doc, w, CAST(floor({uniform_sql('span.start', seed, 'doc', 'w', 'j')} * wlen) AS BIGINT) AS a, {discrete_sql(poisson_cdf(lam), uniform_sql('span.len', seed, 'doc', 'w', 'j'))} AS l
+  FROM (SELECT *, unnest(range(1, 1 + least(greatest(CAST(floor(target / CAST({mean!r} AS DOUBLE)) AS BIGINT), 1), target))) AS j FROM sq_{tag})),
+hit_{tag} AS (SELECT *, EXISTS (SELECT 1 FROM sp_{tag} s WHERE s.doc = x.doc AND s.w = x.w AND x.i >= a AND x.i < a + l) AS hit FROM {src} x),
+sh_{tag} AS (SELECT *, {_cnt(ratio)} - count(*) FILTER (WHERE hit) OVER (PARTITION BY doc, w) AS short FROM hit_{tag}),
+ms_{tag} AS (SELECT * EXCLUDE (hit, short), hit OR row_number() OVER (PARTITION BY doc, w, hit ORDER BY {hash_sql('span.fill', seed, 'doc', 'w', 'i')}, i) <= short AS masked FROM sh_{tag})"""
+
+
+def _drawn(op, seed, n):
+    return discrete_sql([(k, (k + 1) / n) for k in range(n)], uniform_sql(op, seed, "doc", "w"))
+
+
+def _masked_ids(when):
+    return ", ".join(f"CASE WHEN {when.format(k=k)} THEN 4 ELSE {c} END AS {c}" for k, c in enumerate("pdt"))
+
+
+@query(ctes(ROWS, TOK, f"g0 AS (SELECT *, {_drawn('mask.gran', 36, 4)} AS g FROM tk)", _cover("a", "g0", 0.333, 36, "g >= 2")) + f""",
+mk AS (SELECT doc, w, i, wlen, g, masked, {_masked_ids("masked AND (g IN (1, 3) OR a = {k})")} FROM (SELECT *, {hash_sql('mask.attr', 36, 'doc', 'w', 'i')} % 3 AS a FROM ms_a)),
+cl AS (SELECT *, masked AND NOT coalesce(lag(masked) OVER (PARTITION BY doc, w ORDER BY i), false) AS head FROM mk),
+g1 AS (SELECT doc, w, row_number() OVER (PARTITION BY doc, w ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc, w) AS wlen, {_masked_ids("masked AND g = 3")},
+  {_drawn('del.gran', 36, 2)} AS g FROM cl WHERE NOT masked OR head OR g <> 3),
+""" + _cover("b", "g1", 0.2, 36, "g = 1") + f""",
+dr AS (SELECT *, CASE WHEN g = 1 THEN masked ELSE {uniform_sql('delete', 36, 'doc', 'w', 'i')} <= CAST(0.2 AS DOUBLE) END AS gone FROM ms_b),
+sv AS (SELECT *, row_number() OVER (PARTITION BY doc, w ORDER BY {hash_sql('delete.keep', 36, 'doc', 'w', 'i')}, i) = 1 AS saved,
+  count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY doc, w) = 0 AS empty FROM dr),
+fin AS (SELECT doc, w, p, d, t, row_number() OVER (PARTITION BY doc, w ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc, w) AS wlen FROM sv WHERE NOT gone OR (empty AND saved))
+SELECT doc, w, wlen, p, d, t, CASE WHEN {uniform_sql('rotate', 36, 'doc', 'w')} < CAST(0.5 AS DOUBLE) AND wlen > 1
+  THEN (i - CAST(floor({uniform_sql('rotate.at', 36, 'doc', 'w')} * wlen) AS BIGINT) + wlen) % wlen ELSE i END AS i FROM fin""")
 def denoise_pipeline(spark, sf):
     return D.corrupt(tokens(spark, sf), SEQ, 36).select(*SEQ, "i", "wlen", "p", "d", "t")

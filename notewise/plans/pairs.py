@@ -63,14 +63,14 @@ def pair_skip_reasons(spark, sf):
     return verdicts.selectExpr(reason).groupBy("reason").agg(F.count("*").alias("pieces"))
 
 
-@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier WHERE s_nationkey < 17 GROUP BY 1)
+@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier GROUP BY 1)
 SELECT c_custkey AS song, family, reference FROM customer JOIN refs ON family = c_nationkey WHERE c_custkey <> reference""")
 def pair_reference(spark, sf):
     labels, refs = _families(spark, sf)
     return P.reference_pairs(labels, refs)[0].select("song", "family", "reference")
 
 
-@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier WHERE s_nationkey < 17 GROUP BY 1)
+@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier GROUP BY 1)
 SELECT count(*) AS songs_total, count(*) FILTER (WHERE reference IS NULL) AS missing_reference, count(*) FILTER (WHERE reference = c_custkey) AS self_pairs
 FROM customer LEFT JOIN refs ON family = c_nationkey""")
 def pair_reference_stats(spark, sf):
@@ -79,12 +79,12 @@ def pair_reference_stats(spark, sf):
 
 def _families(spark, sf):
     labels = tables.table(spark, sf, "customer").selectExpr("c_custkey AS song", "CAST(c_nationkey AS BIGINT) AS family")
-    refs = tables.table(spark, sf, "supplier").where("s_nationkey < 17").selectExpr(
+    refs = tables.table(spark, sf, "supplier").selectExpr(
         "CAST(s_nationkey % 20 AS BIGINT) AS family", "s_suppkey AS reference", "s_suppkey AS line")
     return labels, refs
 
 
-@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier WHERE s_nationkey < 17 GROUP BY 1),
+@query("""WITH refs AS (SELECT CAST(s_nationkey % 20 AS BIGINT) AS family, min(s_suppkey) AS reference FROM supplier GROUP BY 1),
 d AS (SELECT DISTINCT family, reference FROM customer JOIN refs ON family = c_nationkey WHERE c_custkey <> reference)
 SELECT family, reference, row_number() OVER (ORDER BY family, reference) - 1 AS doc_id FROM d""")
 def reference_doc_ids(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder.  Only when neither the setting nor
-    the context has one (single-machine tests) a temporary folder is used.
+    ``spark.checkpoint.dir`` names that folder.  Only a local master (tests, bench), where all tasks share the machine, may
+    do without it and gets a temporary folder; on a cluster a missing setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="notewise-checkpoint-"))
     return df.checkpoint()

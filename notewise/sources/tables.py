@@ -15,15 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small table that arrives in fewer splits than cores one part per core.
-
-    Large tables have more splits than cores and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def melody_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user is one piece: doc, idx, n, pitch, st, en, dur, raw dt, event type."""
     raw = table(spark, sf_dir, "events").selectExpr(
@@ -73,5 +64,5 @@ def shipment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """Whole texts as arrays of lower-case words."""
-    return spread(table(spark, sf_dir, name).select(key, "text")).selectExpr(
+    return table(spark, sf_dir, name).select(key, "text").selectExpr(
         f"{key} AS doc_id", r"split(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' '))), ' ') AS words")
