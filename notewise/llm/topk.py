@@ -64,26 +64,37 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def block_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best in one block of candidates; ties to smaller ids."""
     out: list[tuple[int, int, int]] = []
+    if not len(ids):
+        return out
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     levels = [(_segments(qf, parts), _segments(xf, parts)) for parts in RESOLUTIONS]
     slack = 1e-9 * (1 + np.linalg.norm(qf, axis=1) * np.linalg.norm(xf, axis=1).max(initial=0))
     for at in range(0, len(q), 256):
-        coarse = levels[0][0][at:at + 256] @ levels[0][1].T
-        for r in range(len(coarse)):
-            i, bound = at + r, coarse[r]
-            bound[ids == q_ids[i]] = -math.inf
-            order = np.flatnonzero(bound > -math.inf)
-            if not len(order):
-                continue
-            # the most promising ones give a first threshold
-            seeds = order[np.argpartition(-bound[order], k - 1)[:k]] if len(order) > k else order
-            threshold = _exact(np.repeat(q[i:i + 1], len(seeds), 0), x[seeds]).min() if len(seeds) == k else -math.inf
-            live = order[bound[order] + slack[i] >= threshold]
-            for fine_q, fine_x in levels[1:]:
-                live = live[fine_x[live] @ fine_q[i] + slack[i] >= threshold]
-            score = _exact(np.repeat(q[i:i + 1], len(live), 0), x[live])
-            best = np.lexsort((ids[live], -score))[:k]
-            out += [(int(q_ids[i]), int(ids[live[b]]), int(score[b])) for b in best]
+        part = slice(at, at + 256)
+        own = q_ids[part, None] == ids[None, :]
+        threshold = np.full(len(own), -math.inf)
+        live, columns = ~own, np.arange(len(ids))
+        for fine_q, fine_x in levels:
+            bound = np.where(live, fine_q[part] @ fine_x[columns].T, -math.inf)
+            if len(columns) > k:
+                # the most promising ones give a threshold
+                seeds = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+                usable_rows = np.take_along_axis(live, seeds, 1).all(1)
+                rows = np.flatnonzero(usable_rows)
+                picked_x = x[columns[seeds[rows]].ravel()]
+                score = _exact(np.repeat(q[part][rows], k, 0), picked_x).reshape(-1, k)
+                threshold[rows] = np.maximum(threshold[rows], score.min(1, initial=2 ** 63 - 1))
+            live &= bound + slack[part, None] >= threshold[:, None]
+            kept = live.any(0)
+            live, columns = live[:, kept], columns[kept]
+        for r in range(len(live)):
+            mine = columns[live[r]]
+            score = _exact(np.broadcast_to(q[at + r], (len(mine), q.shape[1])), x[mine])
+            if len(mine) > 4 * k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+                mine, score = mine[score >= least], score[score >= least]
+            best = np.lexsort((ids[mine], -score))[:k]
+            out += [(int(q_ids[at + r]), int(ids[mine[b]]), int(score[b])) for b in best]
     return out
 
 
