@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from check import TABLES, same
 from notewise.functions import codes
-from notewise.llm import decontaminate, kneser_ney, queries, simhash, topk, url_templates, warc_zip
+from notewise.llm import decontaminate, kneser_ney, queries, shingle_join, simhash, topk, url_templates, warc_zip
 from notewise.llm.components import components
 from notewise.sources.tables import melody_sequences
 
@@ -332,6 +332,60 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# --- similar shingle sets ---
+
+def brute_similar(texts, similarity=0.8):
+    sets = {}
+    for k, t in texts.items():
+        parts = (t or "").encode().lower().split()
+        n = min(5, len(parts))
+        sets[k] = {tuple(parts[i:i + n]) for i in range(len(parts) - n + 1)} if n else set()
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1:]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) * 5 >= 4 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {k: find(k) for k in keys}
+
+
+def test_near_duplicates_stage_finds_all_similar_texts(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts, key = {}, 0
+    for size in (4, 6, 12, 30, 60, 120, 400):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            for _ in range(12):
+                copy = list(base)
+                for _ in range(rng.randrange(0, 2 + size // 25)):
+                    copy[rng.randrange(len(copy))] = word()
+                if rng.random() < 0.3:
+                    copy += [word() for _ in range(rng.randrange(0, 1 + size // 6))]
+                texts[key] = " ".join(copy)
+                key += 1
+    hot = " ".join(f"common{i}" for i in range(12))
+    for _ in range(40):
+        texts[key] = hot + " " + " ".join(word() for _ in range(rng.randrange(0, 12)))
+        key += 1
+    texts |= {key: None, key + 1: "", key + 2: "One", key + 3: "one", key + 4: " ONE two"}
+    want = brute_similar(texts)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert len(set(want.values())) < len(simhash.near_copies(docs, "doc_id", "text").select("component_id").distinct().collect())
+    groups = shingle_join.similar_groups(docs, "doc_id", "text").collect()
+    assert {r.doc_id: r.component_id for r in groups} == want
+
+
 # --- pipeline ---
 
 def test_pipeline_stages(spark, tmp_path):
