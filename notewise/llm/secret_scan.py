@@ -26,7 +26,7 @@ SENSITIVE = {
     "apikey": 1.0, "api key": 1.0, "private key": 1.0, "access key": 1.0, "auth": 0.7, "bearer": 0.8, "signature": 0.6, "key": 0.55,
     "pin": 0.6, "login": 0.5, "salt": 0.6, "session": 0.5,
 }
-PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|changeme|example|placeholder|your[_-].*|none|null|true|false|<.*>|\$\{?.*\}?|\{\{.*\}\})$")
+PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|changeme|example|placeholder|your[_-].*|none|null|true|false|<.*>|\$\{[a-z_][a-z0-9_.]*\}|(?-i:\$[A-Z_][A-Z0-9_]*)|\{\{.*\}\})$")
 LEAST_SCORE = 0.5
 LEAST_LENGTH = 6
 
@@ -52,8 +52,8 @@ def sensitivity(name: str) -> float:
 
 
 def strength(literal: str) -> float:
-    """How much a literal looks like a secret: its entropy, none for placeholders and short ones."""
-    if len(literal) < LEAST_LENGTH or PLACEHOLDER.match(literal) or " " in literal:
+    """How much a literal looks like a secret: its entropy, none for placeholders and short ones.  Passphrases hold blanks."""
+    if len(literal) < LEAST_LENGTH or PLACEHOLDER.match(literal):
         return 0.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
@@ -68,7 +68,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[st
     """
     for op in _OPERATOR.finditer(text):
         at = op.start()
-        while at and text[at - 1] == " ":
+        while at and text[at - 1] in " \t":
             at -= 1
         quote = at > 0 and text[at - 1] in "\"'"
         end = at - quote
@@ -80,7 +80,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[st
             continue
         pos, literals, names, bare = op.end(), [], [], []
         while True:
-            while pos < len(text) and text[pos] == " ":
+            while pos < len(text) and text[pos] in " \t":
                 pos += 1
             m = _LITERAL.match(text, pos)
             if m:
@@ -97,7 +97,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[st
                         bare.append((*m.span(), m.group()))
                     break
             pos = m.end()
-            while pos < len(text) and text[pos] == " ":
+            while pos < len(text) and text[pos] in " \t":
                 pos += 1
             if pos >= len(text) or text[pos] != "+":
                 break

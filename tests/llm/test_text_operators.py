@@ -150,6 +150,27 @@ def test_secret_spans(spark):
     assert "literal" in got[6].spans and "literal" in got[7].spans and "literal" in got[10].spans and "literal" not in got[8].spans
 
 
+@pytest.mark.parametrize("line,secret", [
+    ('password = "$up3rS3cr3t99x"', "$up3rS3cr3t99x"),
+    ('password = "${x}9f4e7aQ"', "${x}9f4e7aQ"),
+    ('password = "correct horse battery staple"', "correct horse battery staple"),
+    ("passphrase: 'correcthorse battery staple'", "correcthorse battery staple"),
+    ("password\t=\t'q7Zk2mVx9w'", "q7Zk2mVx9w"),
+    ("db_passwd\t:=\tq7Zk2mVx9w", "q7Zk2mVx9w"),
+    ("a\t=\t'q7Zk2m'\t+\t'Vx9wLp'\npwd\t=\ta", "q7Zk2m"),
+])
+def test_dollars_blanks_and_tabs(line, secret):
+    spans = secret_scan.scan(line)[1]
+    at = line.index(secret)
+    assert any(a <= at < b for a, b, _ in spans) and max(b for _, b, _ in spans) >= at + len(secret)
+    assert secret not in secret_scan.redacted(line, spans, "[secret]")
+
+
+@pytest.mark.parametrize("line", ['pwd = "${DB_PASSWORD}"', 'pwd = "$DB_PASSWORD"', "pwd\t=\t'${vault.key}'", 'pwd = "{{ secret }}"', 'title = "correct horse battery staple"'])
+def test_references_are_no_secrets(line):
+    assert secret_scan.scan(line)[1] == []
+
+
 def test_masking_takes_secrets_out(spark):
     df = spark.createDataFrame([(t,) for t in SECRET_TEXTS], "text string")
     for text, clean in zip(SECRET_TEXTS, [r.c for r in df.select(secret_scan.without_secrets("text").alias("c")).collect()]):
