@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,7 @@ class TemplateIndex:
         for k, (_, tokens) in enumerate(self.sets):
             for i, token in enumerate(tokens[: len(tokens) - needed(len(tokens), containment) + 1]):
                 self.postings[token].append((k, i))
+        self.spans = [math.ceil(len(words(t.encode())) / containment) for _, t in templates]
         by_rank = {r: w for w, r in self.rank.items()}
         self.prefix_words = frozenset(by_rank[r] for r in self.postings)
 
@@ -78,6 +80,34 @@ class TemplateIndex:
                     yield label, shared / len(own)
 
 
+    def windows(self, tokens: Sequence[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, containment) of every template that some run of words contains to the wanted degree, wherever lines end.
+
+        A template's runs have its number of words divided by the wanted containment; every placement is looked at.
+        """
+        if self.prefix_words.isdisjoint(tokens):
+            return
+        places = [(i, self.rank[w]) for i, w in enumerate(tokens) if w in self.rank]
+        for k in sorted({k for r in {r for _, r in places} for k, _ in self.postings.get(r, ())}):
+            label, own = self.sets[k]
+            least, mine = needed(len(own), self.containment), frozenset(own)
+            at = [(i, r) for i, r in places if r in mine]
+            if len({r for _, r in at}) < least:
+                continue
+            held: Counter = Counter()
+            first = best = 0
+            for i, r in at:
+                held[r] += 1
+                while at[first][0] <= i - self.spans[k]:
+                    held[at[first][1]] -= 1
+                    if not held[at[first][1]]:
+                        del held[at[first][1]]
+                    first += 1
+                best = max(best, len(held))
+            if best >= least:
+                yield label, best / len(own)
+
+
 def template_frequencies(texts: DataFrame, templates: Sequence[tuple[str, str]]) -> dict[bytes, int]:
     """How often each template word stands in all texts.  As many numbers as the templates have words."""
     vocabulary = frozenset(w for _, t in templates for w in words(t.encode()))
@@ -114,8 +144,8 @@ def license_marks(records: DataFrame, key: str = "key", text: str = "text", phra
 
     The library's own records hold notes, so the operator is general: ``records`` is any table with a ``key`` and a ``text`` (rights
     lines and notes that come with scores).  A-Z lower-cased; words are runs of digits, letters and characters beyond ASCII.
-    A base label stands where a phrase's words follow each other.  Further labels come from blocks (lines): a template is
-    found in every block that holds at least ``containment`` of its word set; words are ordered by their frequency in all texts, and
+    A base label stands where a phrase's words follow each other.  Further labels come from blocks (lines, and
+    for each template all runs of words of its length by the containment, across line ends): a template is found in every block that holds at least ``containment`` of its word set; words are ordered by their frequency in all texts, and
     the prefix, length and positional filters leave out no such block.
 
     Returns per row: the key, ``n_words``, ``n_base``, ``first_word`` and ``last_word`` (smallest and largest start, null without
@@ -133,13 +163,13 @@ def license_marks(records: DataFrame, key: str = "key", text: str = "text", phra
             for value in batch.column("text").cast(pa.binary()).to_pylist():
                 lower = value.lower()
                 found: dict[str, float] = {}
-                n = 0
-                for line in lower.split(b"\n"):
-                    block = WORDS(line)
-                    n += len(block)
-                    for label, share in index.matches(block):
+                tokens = WORDS(lower)
+                n = len(tokens)
+                if not index.prefix_words.isdisjoint(tokens):
+                    lines = (m for line in lower.split(b"\n") for m in index.matches(WORDS(line)))
+                    for label, share in chain(lines, index.windows(tokens)):
                         found[label] = max(found.get(label, 0.0), share)
-                base = phrase_places(WORDS(lower), phrases) if any(w in lower for w in final_words) else []
+                base = phrase_places(tokens, phrases) if any(w in lower for w in final_words) else []
                 starts = [s for s, _ in base]
                 base_labels = {label for _, label in base}
                 score = 1.0 if base else max(found.values(), default=0.0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -207,3 +208,29 @@ def test_template_join_finds_what_brute_force_finds():
         block = rng.choices([w.encode() for w in vocabulary], k=rng.randint(0, 30))
         want = {label for label, t in templates if len(set(t.encode().split()) & set(block)) >= 0.8 * len(set(t.split())) - 1e-9}
         assert {label for label, _ in index.matches(block)} == want
+
+
+@pytest.mark.parametrize("columns", [30, 72, 80])
+def test_wrapped_notices_are_found(spark, columns):
+    filler = " ".join(f"prose{i}" for i in range(40))
+    texts = [f"{filler}\n" + "\n".join("# " + x for x in textwrap.wrap(t, columns)) + f"\n{filler}" for _, t in license_scan.TEMPLATES]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {r.key: r for r in license_scan.license_marks(df).collect()}
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1
+
+
+def test_windows_find_what_brute_force_finds():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}".encode() for i in range(30)]
+    templates = [(str(k), b" ".join(rng.sample(vocabulary, rng.randint(1, 12))).decode()) for k in range(20)]
+    index = license_scan.TemplateIndex(templates, {w: rng.randint(0, 9) for w in vocabulary}, 0.8)
+    for _ in range(300):
+        text = rng.choices(vocabulary, k=rng.randint(0, 60))
+        want = set()
+        for label, t in templates:
+            own = set(t.encode().split())
+            span = -(-len(own) * 5 // 4)
+            if any(len(own & set(text[i:i + span])) >= 0.8 * len(own) - 1e-9 for i in range(len(text))):
+                want.add(label)
+        assert {label for label, _ in index.windows(text)} == want
