@@ -51,8 +51,9 @@ def shape(segment: Column) -> Column:
 def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Give every distinct (host, path) its template: array ``steps`` of prefixes, root first.
 
-    ``addresses``: host, path, n, bad, good (counts of addresses and of labelled ones).  Level by level a branch stays on
-    its own if its share of bad labels differs from its siblings'; all others become the wildcard branch of their node.
+    ``addresses``: host, path, n, bad, good (counts of addresses and of labelled ones).  Level by level a labelled
+    branch stays on its own if no sibling is labelled or its share of bad labels differs from its siblings'; other labelled ones
+    become the wildcard branch of their node.  Branches without labels are like no labelled one: they form a branch ``?``.
     Segments below ``depth`` form one last segment.
     """
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
@@ -66,14 +67,15 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
             F.sum("bad").alias("bad"), (F.sum("bad") + F.sum("good")).alias("labelled"))
         node = branch.groupBy("host", "prefix").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
         others = "(all_labelled - labelled)"
-        p, q = "(bad / labelled)", f"((all_bad - bad) / {others})"
-        error = f"sqrt((all_bad + 1) / (all_labelled + 2) * (1 - (all_bad + 1) / (all_labelled + 2)) * (1 / labelled + 1 / {others}))"
-        own = branch.join(node, ["host", "prefix"]).where(f"labelled > 0 AND {others} > 0").where(f"abs({p} - {q}) > {APART} * {error}")
-        kept = own.select("host", "prefix", "seg", F.lit(True).alias("kept"),
+        p, q = "(bad / labelled)", f"((all_bad - bad) / nullif({others}, 0))"
+        error = f"sqrt((all_bad + 1) / (all_labelled + 2) * (1 - (all_bad + 1) / (all_labelled + 2)) * (1 / labelled + 1 / nullif({others}, 0)))"
+        own = branch.where("labelled > 0").join(node, ["host", "prefix"])
+        apart = F.expr(f"CASE WHEN {others} = 0 THEN seg WHEN abs({p} - {q}) > {APART} * {error} THEN seg ELSE '*' END")
+        kept = own.select("host", "prefix", "seg", apart.alias("kept"),
                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         grown = here.join(kept, ["host", "prefix", "seg", "salt"], "left")
         prefix = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(
-            F.concat("prefix", F.lit("/"), F.when(F.col("kept"), F.col("seg")).otherwise(F.lit("*"))))
+            F.concat("prefix", F.lit("/"), F.coalesce("kept", F.lit("?"))))
         rows = grown.select("host", "path", "n", "bad", "good", "segments", prefix.alias("prefix"), "steps", "salt").withColumn(
             "steps", F.when(F.size("segments") > level, F.concat("steps", F.array("prefix"))).otherwise(F.col("steps")))
     return rows.select("host", "path", "n", "bad", "good", "steps", "salt")
@@ -82,14 +84,15 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
 def purities(rows: DataFrame) -> DataFrame:
     """(host, path, template, purity): share of bad labels of the template, smoothed by the nodes above it.
 
-    The root is smoothed towards one half; without any label below a node it takes over what stands above.
+    The root is smoothed towards one half.  Without any label below a node it has one half as well: labels above it are all of
+    branches that it isn't known to be like.
     """
     steps = rows.select("host", "path", "bad", "good", F.posexplode("steps").alias("level", "step"), "salt")
     counts = steps.groupBy("step", "level").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
     spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = steps.select("host", "path", "level", "step", "salt").join(spread, ["step", "level", "salt"])
     way = joined.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("level", "step", "all_bad", "all_good"))).alias("way"))
-    purity = f"aggregate(way, 0.5D, (up, x) -> (x.all_bad + {PRIOR}D * up) / (x.all_bad + x.all_good + {PRIOR}D))"
+    purity = f"aggregate(way, 0.5D, (up, x) -> if(x.all_bad + x.all_good = 0, 0.5D, (x.all_bad + {PRIOR}D * up) / (x.all_bad + x.all_good + {PRIOR}D)))"
     return way.select("host", "path", F.expr("way[size(way) - 1].step").alias("template"), F.expr(purity).alias("purity"))
 
 

@@ -223,6 +223,15 @@ def test_bad_branches_stand_apart_and_are_blocked(spark):
     assert got[59].template.startswith("h.com/ads") and got[159].rule is None
 
 
+def test_rules_do_not_reach_other_directories(spark):
+    paths = [f"{top}{name}/p{i}.html" for top in ("", "a/") for name in ("de", "en", "fr") for i in range(40)] + [f"x/{name}/{i}" for name in ("bad", "worse", "free") for i in range(40)]
+    df = spark.createDataFrame([(i, f"http://h.com/{x}") for i, x in enumerate(paths)], "piece long, source_file string")
+    block = [("h.com", x) for x in ("de/", "a/de/", "x/bad/", "x/worse/")]
+    got = {r.piece: r for r in url_templates.url_verdicts(df, block, []).collect()}
+    for i, x in enumerate(paths):
+        assert got[i].verdict == ("block" if any(x.startswith(p) for _, p in block) else "allow"), (x, got[i])
+
+
 # --- vectors ---
 
 def test_top_matches(spark):
