@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewise.llm.contour_clusters import contour_clusters
+from notewise.llm.contour_codes import contour_codes
 from notewise.llm.decontaminate import contained_fragments
 from notewise.llm.kneser_ney import line_quality
 from notewise.llm.license_scan import license_marks
@@ -75,9 +77,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_contour_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = contour_codes(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return coded.withColumnRenamed("style_error", "label_error")
+
+
+def op12_contour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contour_clusters(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_packing, op3_quality, op4_decontamination, op5_warc, op6_url_filter, op7_exact_topk, op8_secret_scan,
-    op9_license_scan, op10_simhash)}
+    op9_license_scan, op10_simhash, op11_contour_codes, op12_contour_clusters)}
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _rounds_sql(rounds: int, columns: str) -> str:
+    """CTEs e0 (given: part, entry, e) to e<rounds> and a0 to a<rounds>: entries, and the rows of v (part, x) with their nearest entry.
+
+    Distances are whole numbers below 2 ** 40, so the entry rides in the last ten bits and ties go to the lower one.
+    """
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS (
+  SELECT {columns}, part, x, best >> 10 AS d, best & 1023 AS entry FROM (
+    SELECT {columns}, v.part, any_value(x) AS x,
+           min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS BIGINT) * 1024 + entry) AS best
+    FROM v JOIN e{k} e ON v.part = e.part GROUP BY {columns}, v.part))""")
+        if k < rounds:
+            out.append(f"""e{k + 1} AS (
+  SELECT o.part, o.entry, coalesce(n.e, o.e) AS e FROM e{k} o LEFT JOIN (
+    SELECT part, entry, list(floor(s / n) ORDER BY pos) AS e FROM (
+      SELECT part, entry, pos, sum(c) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM a{k})
+      GROUP BY part, entry, pos) GROUP BY part, entry) n ON n.part = o.part AND n.entry = o.entry)""")
+    return ",\n".join(out)
+
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": """
@@ -105,4 +140,27 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.e AS
       FROM v q, v x WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op11_contour_codes": f"""
+WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS f FROM embeddings WHERE {_FINITE}),
+v AS (SELECT vec_id, label, part, f[part * len(f) // 4 + 1 : (part + 1) * len(f) // 4] AS x FROM w, (SELECT unnest([0, 1, 2, 3]) AS part)),
+e0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM v
+       WHERE vec_id IN (SELECT vec_id FROM w ORDER BY vec_id LIMIT 256)),
+{_rounds_sql(4, "vec_id, label")},
+h AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(e) AS c, generate_subscripts(e, 1) AS pos FROM e4)),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM r GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT codebooks_sha256 FROM h) AS codebooks_sha256 FROM r JOIN l ON r.label IS NOT DISTINCT FROM l.label""",
+    "op12_contour_clusters": f"""
+WITH v AS (SELECT vec_id, 0 AS part, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+           WHERE {_FINITE} AND len(embedding) = 64),
+e0 AS (SELECT 0 AS part, row_number() OVER (ORDER BY h) - 1 AS entry, x AS e
+       FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h LIMIT 40)),
+{_rounds_sql(5, "vec_id")},
+c AS (SELECT entry, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY entry),
+h AS (SELECT entry, sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256
+      FROM (SELECT entry, unnest(e) AS c, generate_subscripts(e, 1) AS pos FROM e5) GROUP BY entry)
+SELECT vec_id, CAST(a5.entry AS INT) AS cluster, d AS distance, cluster_inertia,
+       (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM c) AS inertia, centroid_sha256
+FROM a5 JOIN c ON c.entry = a5.entry JOIN h ON h.entry = a5.entry""",
 }
