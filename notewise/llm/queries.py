@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from notewise.llm.contour_clusters import contour_clusters
 from notewise.llm.contour_codes import contour_codes
 from notewise.llm.decontaminate import contained_fragments
+from notewise.llm.edit_walks import edit_fingerprints
 from notewise.llm.kneser_ney import line_quality
 from notewise.llm.license_scan import license_marks
 from notewise.llm.packing import packed_sequences
@@ -86,9 +87,13 @@ def op12_contour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contour_clusters(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op13_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_packing, op3_quality, op4_decontamination, op5_warc, op6_url_filter, op7_exact_topk, op8_secret_scan,
-    op9_license_scan, op10_simhash, op11_contour_codes, op12_contour_clusters)}
+    op9_license_scan, op10_simhash, op11_contour_codes, op12_contour_clusters, op13_edit_fingerprints)}
 
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 

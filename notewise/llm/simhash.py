@@ -55,29 +55,35 @@ def fingerprints(sequences: DataFrame, piece: str, token_line: str, words: int =
 def within(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 32768) -> Iterator[tuple[int, np.ndarray]]:
     """For each probe the positions in ``fps`` at most ``radius`` bits away, by vertical bit planes.
 
-    Planes hold bit j of 64 fingerprints in one word.  Differences are added into a two-bit counter of words with a
-    carry that sticks, and a block of 64 x 64 fingerprints is left as soon as every counter is beyond the radius.
+    Planes hold bit j of 64 fingerprints in one word.  Differences are added, by carry-save logic on whole words, into counters
+    that start so far below their overflow that one more than ``radius`` differences carries out of the top plane; this carry
+    sticks.  A block is left as soon as every one of its fingerprints is beyond the radius.
     """
-    assert radius <= 2
     used = int(np.bitwise_or.reduce(fps ^ fps[0])) if len(fps) else 0
     bits = [j for j in range(BITS) if used >> j & 1]
+    height = radius.bit_length()
+    below = (1 << height) - 1 - radius
+    ones, none = ~np.uint64(0), np.uint64(0)
     for at in range(0, len(fps), block):
         part = fps[at:at + block]
         pad = -len(part) % 64
         rows = np.r_[part, np.repeat(part[-1:], pad)]
         planes = [np.packbits((rows >> np.uint64(j) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for j in bits]
         for k, value in enumerate(probe):
-            one = np.zeros(len(planes[0]) if planes else len(rows) // 64, np.uint64)
-            two, over = one.copy(), one.copy()
+            # a probe from elsewhere may differ from all of them in bits that they share
+            common = ((int(value) ^ int(fps[0])) & ~used & (1 << BITS) - 1).bit_count()
+            if common > radius:
+                continue
+            start = below + common
+            words = len(rows) // 64
+            count = [np.full(words, ones if start >> c & 1 else none) for c in range(height)]
+            over = np.zeros(words, np.uint64)
             for done, (j, plane) in enumerate(zip(bits, planes)):
-                differ = ~plane if int(value) >> j & 1 else plane
-                carry = one & differ
-                one = one ^ differ
-                over |= two & carry if radius == 2 else (two | carry if radius == 1 else one | carry)
-                two = two ^ carry
-                if radius == 2:
-                    over |= one & two
-                if done % 4 == 3 and (over == ~np.uint64(0)).all():
+                carry = ~plane if int(value) >> j & 1 else plane
+                for c in range(height):
+                    count[c], carry = count[c] ^ carry, count[c] & carry
+                over |= carry
+                if done % 4 == 3 and (over == ones).all():
                     break
             near = np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(part)]
             hits = np.flatnonzero(near)
