@@ -18,7 +18,10 @@ CHUNK = 4096
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """(key, node, sketch, n, centre, centre_sketch): members(key, node, sketch) of buckets that hold more than one node."""
+    """(key, node, sketch, n, centre, centre_sketch): members(key, node, sketch) of buckets that hold more than one node.
+
+    A node stands in a bucket once; its sketch may differ from bucket to bucket.
+    """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("c")).where("n > 1")
     return checkpointed(members.join(sizes.selectExpr("key", "n", "c.node AS centre", "c.sketch AS centre_sketch"), "key"))
 
@@ -69,16 +72,22 @@ def mixed_pairs(members: DataFrame, radius: int, chunk: int = CHUNK) -> DataFram
     return blocks.select("i", "members").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], radius: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that connect all nodes which share a bucket and which ``verify`` finds alike.
+def alike_nodes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(node, root): components of the nodes which share a bucket and which ``verify`` finds alike; root is the smallest node.
 
     ``members`` are ``crowded``; ``verify`` gets pairs (a < b) and gives back those that hold.  Pairs whose sketches differ in more
     than ``radius`` bits are not asked for.  First every member is compared with the smallest node of its bucket; pairs that
-    these links join already are left out afterwards, so a group of many near copies costs a star and not its square.
+    these links join already are left out afterwards, so a group of many near copies costs a star and not its square.  Links
+    found then join whole components, so only their roots are looked at again.
     """
     close = f"bit_count(sketch ^ centre_sketch) <= {radius}"
     stars = members.where("node <> centre").where(close).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpointed(verify(stars))
-    tops = components(links)
+    tops = checkpointed(components(verify(stars)))
     rooted = checkpointed(members.join(tops, "node", "left").select("key", "node", "sketch", "n", F.coalesce("root", "node").alias("root")))
-    return checkpointed(links.unionAll(verify(mixed_pairs(rooted, radius, chunk))))
+    more = checkpointed(verify(mixed_pairs(rooted, radius, chunk)))
+    if more.isEmpty():
+        return tops
+    root_of = rooted.select("node", "root").distinct()
+    joined = more.join(root_of.selectExpr("node AS a", "root AS x"), "a").join(root_of.selectExpr("node AS b", "root AS y"), "b")
+    above = components(joined.selectExpr("x AS a", "y AS b")).selectExpr("node AS root", "root AS top")
+    return root_of.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))

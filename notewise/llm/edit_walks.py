@@ -9,12 +9,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewise.llm.bucket_links import crowded, linked
-from notewise.llm.components import components
+from notewise.llm.bucket_links import alike_nodes, crowded
 from notewise.llm.frames import picked, slices, text_of
 from notewise.session import checkpointed
 
@@ -26,8 +26,8 @@ SAMPLES = 256
 SIMILARITY = 0.8
 BANDS = 12
 BAND_SAMPLES = 8
-#: Sketches of 64 bits that differ in more than this many are not verified: at 0.8 some 6 differ, with a deviation of 2.5.
-RADIUS = 18
+#: Sketches of 64 bits that differ in more than this many are not verified: of alike lines some 6 to 12 differ, of others 29.
+RADIUS = 22
 #: Lines of consecutive keys are dealt to buckets of about this size; their number is bounded, as the driver holds their edges.
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 16_384
@@ -149,15 +149,14 @@ def _band_places(size: int) -> np.ndarray:
     return np.random.default_rng(SEED + size).integers(0, size, (BANDS, BAND_SAMPLES))
 
 
-def bands(fingerprint: bytes) -> np.ndarray:
-    """Bucket keys: hashes of a few sampled bits each.
+def bands(fingerprint: bytes) -> list[tuple[int, int]]:
+    """(bucket key, sketch) pairs: a key is a hash of a few sampled bits, a sketch has one bit of 64 samples.
 
     Places are drawn below a power of two that the line's samples reach.  Lines whose size is near the next smaller or the next larger
     class are in that one too, so two alike lines always share a class.
     """
     level, nibbles = samples_of(fingerprint)
-    n, keys = len(nibbles), []
-    classes = []
+    n, classes, out = len(nibbles), [], []
     if n:
         size = 1 << (n.bit_length() - 1)
         classes.append((level, nibbles, size))
@@ -166,23 +165,13 @@ def bands(fingerprint: bytes) -> np.ndarray:
         if n >= 0.8 * SAMPLES:
             classes.append((level + 1, coarser(level, nibbles, level + 1), SAMPLES // 4))
     for at, held, size in classes:
-        places = _band_places(size)
-        picked_samples = held[np.minimum(places, len(held) - 1)].astype(np.uint64)
-        key = np.full(BANDS, at * 1024 + size, np.uint64)
-        for k in range(BAND_SAMPLES):
-            key = _mixed(picked_samples[:, k] + np.uint64(1), key)
-        keys.append(_mixed(key, np.arange(BANDS)))
-    return np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-
-
-def sketch(fingerprint: bytes) -> int:
-    """64 bits of samples at one level in four, which alike lines of neighbouring levels share."""
-    level, nibbles = samples_of(fingerprint)
-    wanted = -(-level // 4) * 4
-    held = coarser(level, nibbles, wanted)[:64]
-    bits = np.zeros(64, np.uint8)
-    bits[:len(held)] = held & 1
-    return int(np.packbits(bits).view(">i8")[0])
+        chosen = held[np.minimum(_band_places(size), len(held) - 1)].tobytes()
+        bits = held[np.minimum(np.arange(64) * size // 64, len(held) - 1)] & 1
+        sketch = int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+        for k in range(BANDS):
+            key = xxhash.xxh64_digest(chosen[BAND_SAMPLES * k:BAND_SAMPLES * (k + 1)], (at << 16) + size * 32 + k)
+            out.append((int.from_bytes(key, "big", signed=True), sketch))
+    return out
 
 
 def neighbours(sequences: DataFrame) -> DataFrame:
@@ -273,12 +262,9 @@ def alike(prints: DataFrame, similarity: float) -> DataFrame:
     """(node, root): components of distinct fingerprints, prints(node, fp), whose likeness reaches ``similarity``."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_pylist()
-            keys = [np.unique(bands(x)) for x in fps]
-            times = [len(k) for k in keys]
-            if sum(times):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("node").to_numpy(), times)),
-                                                  pa.array(np.repeat(np.array([sketch(x) for x in fps], np.int64), times))], ["key", "node", "sketch"])
+            found = [(key, node, bits) for node, fp in zip(batch.column("node").to_pylist(), batch.column("fp").to_pylist()) for key, bits in dict(bands(fp)).items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["key", "node", "sketch"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +277,7 @@ def alike(prints: DataFrame, similarity: float) -> DataFrame:
         return joined.select("a", "b", "x", "y").mapInArrow(judged, "a bigint, b bigint")
 
     members = crowded(prints.mapInArrow(keyed, "key bigint, node bigint, sketch bigint"))
-    return components(linked(members, verify, RADIUS))
+    return alike_nodes(members, verify, RADIUS)
 
 
 def edit_fingerprints(sequences: DataFrame, piece: str = "piece", token_line: str = "token_line", similarity: float = SIMILARITY) -> DataFrame:

@@ -19,6 +19,7 @@ BITS = 64
 BANDS = 8
 BAND_BITS = BITS // BANDS
 SEED = 42
+FINGERPRINTS_A_TASK = 50_000
 
 
 def fingerprint(line: bytes, words: int = 3) -> int:
@@ -125,7 +126,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     choices = list(combinations(range(BANDS), BANDS - radius))
     masks = [sum(((1 << BAND_BITS) - 1) << (BAND_BITS * b) for b in chosen) for chosen in choices]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*[
+    # a small table of fingerprints becomes many rows: it is dealt to all cores before
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() // FINGERPRINTS_A_TASK)
+    keyed = distinct.repartition(tasks, "fp").select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)
     ])).alias("x")).select("fp", "x.choice", "x.key")
     buckets = keyed.groupBy("choice", "key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
@@ -152,7 +155,7 @@ def near_copies(sequences: DataFrame, piece: str = "piece", token_line: str = "t
     a null key never is a component's id unless all keys of the group are null.  Other columns are not looked at.
     """
     prints = checkpointed(fingerprints(sequences, piece, token_line, words))
-    classes = prints.groupBy("fp").agg(F.min("piece").alias("least"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("piece").alias("least")))
     links = fingerprint_links(classes.select("fp"), radius)
     roots = components(links)
     known = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
