@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewise.functions import codes
-from notewise.llm import bucket_links, edit_walks, simhash, value_blocks
+from notewise.llm import bucket_links, edit_walks, shingle_join, simhash, value_blocks
 from notewise.llm.contour_clusters import contour_clusters
 from notewise.llm.contour_codes import contour_codes
 from notewise.llm.edit_walks import edit_fingerprints
@@ -137,21 +137,32 @@ def test_bit_sliced_comparison(radius):
 
 
 @pytest.mark.parametrize("chunk", [3, 4096])
-def test_alike_nodes_connect_what_verify_accepts(spark, chunk):
+def test_alike_nodes_connect_what_the_judge_accepts(spark, monkeypatch, chunk):
     """Nodes are numbers of one bucket (chains at distance 1 that the star does not see) and of small ones."""
     nodes = [10 * g + i for g in range(12) for i in range(5)]
     members = spark.createDataFrame([(0, v, 0) for v in nodes] + [(7, v, 0) for v in (1000, 1001, 2)] + [(8, 5000, 0)], "key long, node long, sketch long")
-    asked = []
+    payloads = members.select("node", F.col("node").cast("string").cast("binary").alias("payload")).distinct()
 
-    def verify(pairs):
-        asked.append(pairs.count())
-        return pairs.where("b - a <= 1")
+    def judge(one, others):
+        return np.array([abs(int(one) - int(o)) <= 1 for o in others])
 
-    found = bucket_links.alike_nodes(bucket_links.crowded(members), verify, 2, chunk)
+    found = bucket_links.alike_nodes(bucket_links.crowded(members), payloads, judge, 2, chunk)
     roots = {r.node: r.root for r in found.collect() if r.node != r.root}
     assert roots == {**{v: v // 10 * 10 for v in nodes if v % 10}, 1001: 1000}
     far = members.withColumn("sketch", F.when(F.col("node") % 2 == 0, 0).otherwise(-1).cast("long"))
-    assert bucket_links.alike_nodes(bucket_links.crowded(far), verify, 2, chunk).where("node <> root").count() == 0
+    assert bucket_links.alike_nodes(bucket_links.crowded(far), payloads, judge, 2, chunk).where("node <> root").count() == 0
+    monkeypatch.setattr(bucket_links, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(bucket_links, "PLANES_FROM", 1)
+    found = bucket_links.alike_nodes(bucket_links.crowded(members), payloads, judge, 2, chunk)
+    assert {r.node: r.root for r in found.collect() if r.node != r.root} == roots
+
+
+def test_similar_sets_are_judged_exactly():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets = [np.unique(np.r_[base[:n], rng.integers(0, 1 << 63, m).astype(np.uint64)]) for n in (1, 100, 160, 178, 200) for m in (0, 10, 22, 50)]
+    got = shingle_join.similar_to(0.8)(base.tobytes(), [s.tobytes() for s in sets])
+    assert got.tolist() == [len(np.intersect1d(base, s)) * 5 >= 4 * len(np.union1d(base, s)) for s in sets] and got.any() and not got.all()
 
 
 # --- edit fingerprints ---
