@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notewise.functions import names
 from notewise.operators.ordered import dense_index, over
+from notewise.operators.splits import dense_ids
 
 # ------------------------------------------------------------------ two voices of one piece
 
@@ -241,12 +242,12 @@ def ordinal_notes(notes: DataFrame, ids: DataFrame, piece: str) -> DataFrame:
     return found.join(best, [piece, "skip"])
 
 
-def retrieval_corpus(pairs: DataFrame, melodies: DataFrame, member: str, reference: str, order: str, coarse: str,
+def retrieval_corpus(pairs: DataFrame, melodies: DataFrame, member: str, reference: str, order: str,
                      min_doc: int, min_query: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, queries and skip counts of a member-to-reference retrieval set.
 
     ``melodies`` holds piece and n_notes.  References with enough notes get dense document ids in
-    ``order`` (``coarse`` follows it); members with enough notes whose reference stayed become queries.
+    ``order``; members with enough notes whose reference stayed become queries.
     """
     ref = melodies.selectExpr(f"piece AS {reference}", "n_notes AS ref_notes")
     mem = melodies.selectExpr(f"piece AS {member}", "n_notes AS member_notes")
@@ -255,7 +256,7 @@ def retrieval_corpus(pairs: DataFrame, melodies: DataFrame, member: str, referen
               f"WHEN member_notes IS NULL OR member_notes < {min_query} THEN 'short_query' END")
     judged = sized.selectExpr("*", f"{reason} AS skip_reason")
     kept = judged.where("skip_reason IS NULL")
-    docs = dense_index(kept.select(reference, order).distinct(), [], [order, reference], coarse, idx="doc_id")
+    docs = dense_ids(kept.select(reference, order).distinct(), [order, reference])
     queries = kept.join(docs.select(reference, "doc_id"), reference).withColumnRenamed("doc_id", "target_doc_id")
     skips = judged.where("skip_reason IS NOT NULL").groupBy("skip_reason").agg(F.count("*").alias("n"))
     return docs, queries, skips

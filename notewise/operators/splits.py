@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notewise import constants as C
 from notewise.functions.draws import HASH_MODULUS, hash_of
 from notewise.operators.ordered import dense_index
+from notewise.session import checkpointed
 
 HASH_BUCKETS = 4096
 
@@ -48,9 +49,22 @@ def stratified_split(items: DataFrame, label: str | None, ident: str, seed: int,
     return ranked.withColumn("is_test", F.col("__rank") < quota).drop("__h", "__rank", "__n")
 
 
-def dense_ids(items: DataFrame, order: Sequence[str], coarse: str, out: str = "doc_id") -> DataFrame:
-    """Ids 0.. in a sort order; ``coarse`` must follow that order."""
-    return dense_index(items, [], order, coarse, idx=out)
+def dense_ids(items: DataFrame, order: Sequence[str], out: str = "doc_id") -> DataFrame:
+    """Ids 0.. in a sort order, without a window over rows.
+
+    Rows are dealt to sampled ranges of the order and sorted there; written down, partitions keep their rows, so
+    a row's id is its place in the partition plus the number of rows in those before.  Only that number reaches the
+    driver, once a partition.  Equal rows share a range.
+    """
+    ranged = checkpointed(items.repartitionByRange(*order).sortWithinPartitions(*order))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ranged.select("*", F.spark_partition_id().alias("__part"), place.alias("__place"))
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["__part"], before))
+        before += r["n"]
+    base = items.sparkSession.createDataFrame(offsets, "__part int, __base bigint")
+    return placed.join(F.broadcast(base), "__part").select(*items.columns, (F.col("__base") + F.col("__place")).alias(out))
 
 
 def capped_windows(windows: DataFrame, file: str, voice: str, per_voice: int = 0, per_file: int = 0) -> DataFrame:

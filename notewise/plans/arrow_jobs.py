@@ -64,13 +64,16 @@ def _fold_sql(name: str, src: str, ok: str, joined: str) -> str:
   SELECT *, row_number() OVER (PARTITION BY doc, w ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY doc, w) AS n FROM {name}_left))"""
 
 
+#: When a note joins the one before it or is lost, and what becomes of (pitch, dur, dt, v).
+MERGE_RULE = ("x_u < 0.06 AND dt BETWEEN -3 AND 2 AND done < 4 AND n - done > 8 AND n > 2 AND n_dur BETWEEN 1 AND 95 AND n_dt BETWEEN -96 AND 95",
+              "CASE WHEN ok AND dur >= x_dur THEN pitch ELSE x_pitch END, CASE WHEN ok THEN n_dur ELSE x_dur END, CASE WHEN ok THEN n_dt ELSE x_dt END, x_v")
+DELETE_RULE = ("x_v < 0.04 AND i < n - 1 AND gap BETWEEN -96 AND 95 AND done < 3 AND n - done > 8",
+               "CASE WHEN ok THEN pitch ELSE x_pitch END, CASE WHEN ok THEN dur ELSE x_dur END, CASE WHEN ok THEN gap ELSE x_dt END, CASE WHEN ok THEN v ELSE x_v END")
+
 MERGE_DELETE = "WITH RECURSIVE " + ROWS + f""",
 src AS (SELECT doc, w, i, wlen AS n, pitch, greatest(1, least(95, dur)) AS dur, CASE WHEN i = wlen - 1 THEN 0 ELSE dt END AS dt,
   {uniform_sql('merge', 42, 'doc', 'w', 'i')} AS u, {uniform_sql('delete', 42, 'doc', 'w', 'i')} AS v FROM rows_),
-""" + _fold_sql("mg", "src", "x_u < 0.06 AND dt BETWEEN -3 AND 2 AND done < 4 AND n - done > 8 AND n > 2 AND n_dur BETWEEN 1 AND 95 AND n_dt BETWEEN -96 AND 95",
-                """CASE WHEN ok AND dur >= x_dur THEN pitch ELSE x_pitch END, CASE WHEN ok THEN n_dur ELSE x_dur END, CASE WHEN ok THEN n_dt ELSE x_dt END, x_v""") + ",\n" + _fold_sql(
-    "dl", "mg_out", "x_v < 0.04 AND i < n - 1 AND gap BETWEEN -96 AND 95 AND done < 3 AND n - done > 8",
-    """CASE WHEN ok THEN pitch ELSE x_pitch END, CASE WHEN ok THEN dur ELSE x_dur END, CASE WHEN ok THEN gap ELSE x_dt END, CASE WHEN ok THEN v ELSE x_v END""") + """
+""" + _fold_sql("mg", "src", *MERGE_RULE) + ",\n" + _fold_sql("dl", "mg_out", *DELETE_RULE) + """
 SELECT doc, w, i, pitch, dur, dt FROM dl_out"""
 
 

@@ -53,8 +53,12 @@ def boundary_shift(spark, sf):
     return _long(T.boundary_shift(packed(spark, sf), SEQ, 23)).select(*SEQ, "i", "dur", "dt")
 
 
-@query(ctes(ROWS) + f"""SELECT doc, w, i, CASE WHEN {uniform_sql('jitter', 24, 'doc', 'w', 'i')} < CAST(0.12 AS DOUBLE)
-  THEN greatest(0, least(127, pitch + {discrete_sql(nonzero_offset_cdf(2, 1.0), uniform_sql('jitter.k', 24, 'doc', 'w', 'i'))})) ELSE pitch END AS pitch FROM rows_""")
+def jittered_pitch_sql(seed):
+    return f"""CASE WHEN {uniform_sql('jitter', seed, 'doc', 'w', 'i')} < CAST(0.12 AS DOUBLE)
+  THEN greatest(0, least(127, pitch + {discrete_sql(nonzero_offset_cdf(2, 1.0), uniform_sql('jitter.k', seed, 'doc', 'w', 'i'))})) ELSE pitch END"""
+
+
+@query(ctes(ROWS) + f"SELECT doc, w, i, {jittered_pitch_sql(24)} AS pitch FROM rows_")
 def pitch_jitter(spark, sf):
     return _long(T.pitch_jitter(packed(spark, sf), SEQ, 24)).select(*SEQ, "i", "pitch")
 

@@ -89,7 +89,7 @@ d AS (SELECT DISTINCT family, reference FROM customer JOIN refs ON family = c_na
 SELECT family, reference, row_number() OVER (ORDER BY family, reference) - 1 AS doc_id FROM d""")
 def reference_doc_ids(spark, sf):
     docs = P.reference_pairs(*_families(spark, sf))[0].select("family", "reference").distinct()
-    return dense_ids(docs, ["family", "reference"], "family")
+    return dense_ids(docs, ["family", "reference"])
 
 
 CATALOGUE = """cat AS (SELECT o_orderkey, 'M' || (100 + o_custkey % 40) || '_V' || lpad(CAST(o_orderkey % 12 AS VARCHAR), 2, '0') || '_' ||
@@ -196,19 +196,19 @@ jd AS (SELECT pr.*, CASE WHEN l.n < 60 THEN 'short_document' WHEN mn < 65 THEN '
 ids AS (SELECT reference, row_number() OVER (ORDER BY family, reference) - 1 AS doc_id FROM (SELECT DISTINCT family, reference FROM jd WHERE skip_reason IS NULL))"""
 
 
-def _member_corpus(spark, sf):
+def member_corpus(spark, sf):
     melodies = tables.table(spark, sf, "events").groupBy(F.col("user_id").alias("piece")).agg(F.count("*").alias("n_notes"))
     labels = melodies.selectExpr("piece AS song", "piece % 30 AS family")
     refs = labels.selectExpr("family", "song AS reference", "song AS line")
     pairs = P.reference_pairs(labels, refs)[0].select(F.col("song").alias("member"), "family", "reference")
-    return P.retrieval_corpus(pairs, melodies, "member", "reference", "family", "family", 60, 65)
+    return P.retrieval_corpus(pairs, melodies, "member", "reference", "family", 60, 65)
 
 
 @query(ctes(MEMBERS) + "SELECT member, family, reference, doc_id AS target_doc_id FROM jd JOIN ids USING (reference) WHERE skip_reason IS NULL")
 def member_reference_queries(spark, sf):
-    return _member_corpus(spark, sf)[1].select("member", "family", "reference", "target_doc_id")
+    return member_corpus(spark, sf)[1].select("member", "family", "reference", "target_doc_id")
 
 
 @query(ctes(MEMBERS) + "SELECT skip_reason, count(*) AS n FROM jd WHERE skip_reason IS NOT NULL GROUP BY 1")
 def member_reference_skips(spark, sf):
-    return _member_corpus(spark, sf)[2]
+    return member_corpus(spark, sf)[2]

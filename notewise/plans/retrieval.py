@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from notewise.constants import WINDOW_STEP
+
 from notewise.functions import relation as R
+from notewise.functions.draws import uniform_int
+from notewise.operators import corrupt as CO
 from notewise.operators import retrieval as X
-from notewise.plans.oracle import ROWS, ctes, uniform_int_sql
+from notewise.operators import selectors as S
+from notewise.operators import transforms as T
+from notewise.operators.ordered import pack
+from notewise.operators.transforms import cut_fragment
+from notewise.plans.arrow_jobs import DELETE_RULE, MERGE_RULE, _fold_sql
+from notewise.plans.metrics import LONGEST, labelled
+from notewise.plans.noise import jittered_pitch_sql
+from notewise.plans.oracle import NOTES, ROWS, ctes, uniform_int_sql, uniform_sql
+from notewise.plans.pairs import member_corpus
 from notewise.plans.registry import query
+from notewise.session import checkpointed, shared_folder
 from notewise.sources import tables
 
 BIN = "list_count(list_filter([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64], lambda e: e < {0}))"
@@ -49,18 +64,25 @@ def rel_tokens_ratio(spark, sf):
     return t.select("seq", "i", "token", F.col("u.dp").alias("dp"), F.col("u.a").alias("num"), F.col("u.b").alias("den"))
 
 
-MODE, N = "dp_only", 2
+MODE, N = "dp_only", 3
+FRAGMENT_NOTES = (8, 64)
 
 
 def melody_docs(seqs, mode=MODE, n=N):
     return seqs.selectExpr("doc", "w", f"{R.ngram_keys(R.relation_tokens('notes', mode), n, mode)} AS terms")
 
 
-def melody_fragments(seqs, mode=MODE, n=N, length=16):
-    """One fragment of each sequence, with its own sequence as the target."""
-    cut = f"slice(notes, CAST((doc + w) % 10 + 1 AS INT), {length})"
-    return seqs.selectExpr(
-        "doc AS q_doc", "w AS q_w", "doc AS t_doc", "w AS t_w", f"{R.ngram_keys(R.relation_tokens(cut, mode), n, mode)} AS terms")
+def drawn_fragments(seqs, seed=51):
+    """One fragment of each sequence: length, then start, drawn uniformly over the whole sequence."""
+    low, high = FRAGMENT_NOTES
+    sized = seqs.selectExpr("doc", "w", "notes", f"{uniform_int('frag.len', seed, low, f'least({high}, size(notes))', 'doc', 'w')} AS flen")
+    placed = sized.selectExpr("*", f"{uniform_int('frag.start', seed, 0, 'size(notes) - flen', 'doc', 'w')} AS fstart")
+    return cut_fragment(placed, "fstart", "flen").select("doc", "w", "notes")
+
+
+def as_queries(fragments, mode=MODE, n=N):
+    """Query terms, with the fragment's own sequence as the target."""
+    return fragments.selectExpr("doc AS q_doc", "w AS q_w", "doc AS t_doc", "w AS t_w", f"{R.ngram_keys(R.relation_tokens('notes', mode), n, mode)} AS terms")
 
 
 TF = "tf AS (SELECT doc, w, term, count(*) AS tf FROM gram GROUP BY ALL)"
@@ -73,19 +95,32 @@ def ngrams(spark, sf):
     return tf.select(F.concat_ws("#", "doc", "w").alias("seq"), "term", "tf")
 
 
-STATS = """dl AS (SELECT doc, w, greatest(0, max(i) + 1 - 2) AS dl FROM rows_ GROUP BY doc, w),
+def _stats(source="rows_", n=N):
+    return f"""dl AS (SELECT doc, w, greatest(0, count(*) - {n}) AS dl FROM {source} GROUP BY doc, w),
 cs AS (SELECT CAST(count(*) AS DOUBLE) AS nd, CASE WHEN avg(dl) > 0 THEN avg(dl) ELSE 1.0 END AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, df, ln((nd - df + 0.5) / (df + 0.5) + 1) AS idf FROM df, cs)"""
 
 
-@query(ctes(ROWS, _tok(DP), _gram(), TF, STATS) + "SELECT CAST(string_split(term, ',')[1] AS BIGINT) * 256 + CAST(string_split(term, ',')[2] AS BIGINT) AS term, df, round(idf, 9) AS idf FROM idf")
+@query(ctes(ROWS, _tok(DP), _gram(), TF, _stats(n=2)) + "SELECT CAST(string_split(term, ',')[1] AS BIGINT) * 256 + CAST(string_split(term, ',')[2] AS BIGINT) AS term, df, round(idf, 9) AS idf FROM idf")
 def postings_idf(spark, sf):
-    index = X.build_index(melody_docs(tables.melody_sequences(spark, sf)), ["doc", "w"])
+    index = X.build_index(melody_docs(tables.melody_sequences(spark, sf), n=2), ["doc", "w"])
     return X.idf_table(index).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-FRAG = """frag AS (SELECT doc AS q_doc, w AS q_w, i, pitch, dur FROM rows_ WHERE i >= (doc + w) % 10 AND i < (doc + w) % 10 + 16)"""
+def _frag(source="rows_", seed=51):
+    """Drawn fragments of (doc, w) rows that are numbered from 0 without gaps, renumbered from 0."""
+    low, high = FRAGMENT_NOTES
+    return f"""fl AS (SELECT doc, w, n, {uniform_int_sql('frag.len', seed, low, f'least({high}, n)', 'doc', 'w')} AS flen FROM (SELECT doc, w, count(*) AS n FROM {source} GROUP BY doc, w)),
+fs AS (SELECT *, {uniform_int_sql('frag.start', seed, 0, 'n - flen', 'doc', 'w')} AS fstart FROM fl),
+frag AS (SELECT r.doc, r.w, CAST(r.i - fstart AS BIGINT) AS i, flen AS n, pitch, dur, dt FROM {source} r JOIN fs ON fs.doc = r.doc AND fs.w = r.w WHERE r.i >= fstart AND r.i < fstart + flen)"""
+
+
+def _asked(source="frag"):
+    """Query terms of (doc, w, i, pitch, dur) rows."""
+    return f"""asked AS (SELECT doc AS q_doc, w AS q_w, i, pitch, dur FROM {source}),
+{_tok(DP, "qtok", "asked", "q_doc, q_w")},
+{_gram("qgram", "qtok", "q_doc, q_w", N)}"""
 
 
 def _bm25(keys, m):
@@ -95,15 +130,17 @@ sc AS (SELECT {keys}, doc, w, round(sum(idf * (CAST(tf AS DOUBLE) * 2.2 / (tf +
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc, w) AS rank FROM sc) WHERE rank <= {m})"""
 
 
-BASE = (ROWS, _tok(DP), _gram(), TF, STATS, FRAG,
-        _tok(DP, "qtok", "frag", "q_doc, q_w"), _gram("qgram", "qtok", "q_doc, q_w"), _bm25("q_doc, q_w", 50))
+BASE = (ROWS, _tok(DP), _gram(n=N), TF, _stats(), _frag(), _asked(), _bm25("q_doc, q_w", 50))
 
 
-def _search(spark, sf, **kw):
+def _search(spark, sf):
     seqs = tables.melody_corpus(spark, sf)
-    index = X.build_index(melody_docs(seqs), ["doc", "w"], doc_bound=tables.sequence_bound(spark, sf))
-    frags = melody_fragments(seqs)
-    return frags, X.search(index, frags, ["q_doc", "q_w"], 50, **kw)
+    queries = as_queries(drawn_fragments(seqs))
+    return queries, X.search(X.build_index(melody_docs(seqs), ["doc", "w"]), queries, ["q_doc", "q_w"], 50)
+
+
+def _recall(queries, hits):
+    return X.recall_mrr(X.target_ranks(queries, hits, ["q_doc", "q_w"], {"doc": "t_doc", "w": "t_w"}))
 
 
 @query(ctes(*BASE) + "SELECT q_doc, q_w, doc, w, round(score, 6) AS score, rank FROM top")
@@ -115,10 +152,87 @@ RECALL = """SELECT count(*) AS n_queries, {cols}, round(avg(coalesce(1 / CAST(ra
     cols=", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}" for k in (1, 5, 10, 20)))
 
 
-@query(ctes(*BASE, """rk AS (SELECT d.doc, d.w, t.rank FROM dl d LEFT JOIN top t ON t.q_doc = d.doc AND t.q_w = d.w AND t.doc = d.doc AND t.w = d.w)""") + RECALL)
+RANKS = "rk AS (SELECT d.doc, d.w, t.rank FROM dl d LEFT JOIN top t ON t.q_doc = d.doc AND t.q_w = d.w AND t.doc = d.doc AND t.w = d.w)"
+
+
+@query(ctes(*BASE, RANKS) + RECALL)
 def bm25_recall_mrr(spark, sf):
-    frags, hits = _search(spark, sf)
-    return X.recall_mrr(X.target_ranks(frags, hits, ["q_doc", "q_w"], {"doc": "t_doc", "w": "t_w"}))
+    return _recall(*_search(spark, sf))
+
+
+@query(ctes(*BASE) + "SELECT q_doc, q_w, doc, w, round(score, 6) AS score, rank FROM top")
+def bm25_stored_index(spark, sf):
+    """The same search over an index that is written once, bucketed by term and block, and read back."""
+    seqs = tables.melody_corpus(spark, sf)
+    table = f"melody_index_{uuid4().hex}"
+    X.store_index(X.build_index(melody_docs(seqs), ["doc", "w"]), table, f"{shared_folder(spark)}/{table}", 8)
+    hits = X.search(X.stored_index(spark, table, ["doc", "w"]), as_queries(drawn_fragments(seqs)), ["q_doc", "q_w"], 50)
+    return hits.select("q_doc", "q_w", "doc", "w", F.round("score", 6).alias("score"), "rank")
+
+
+NOISE_SEED = 52
+NOISY = f"""src AS (SELECT doc, w, i, n, pitch, greatest(1, least(95, dur)) AS dur, CASE WHEN i = n - 1 AND n > 1 THEN 0 ELSE dt END AS dt,
+  {uniform_sql('merge', NOISE_SEED, 'doc', 'w', 'i')} AS u, {uniform_sql('delete', NOISE_SEED, 'doc', 'w', 'i')} AS v FROM frag),
+""" + _fold_sql("fm", "src", *MERGE_RULE) + ",\n" + _fold_sql("fd", "fm_out", *DELETE_RULE) + f""",
+noisy AS (SELECT doc, w, i, {jittered_pitch_sql(NOISE_SEED)} AS pitch, dur FROM fd_out)"""
+
+
+@query("WITH RECURSIVE " + ctes(ROWS, _tok(DP), _gram(n=N), TF, _stats(), _frag(), NOISY, _asked("noisy"), _bm25("q_doc, q_w", 50), RANKS)[5:] + RECALL)
+def bm25_noisy_recall(spark, sf):
+    """Fragments with merged, lost and mistaken notes against the whole sequences."""
+    seqs = tables.melody_corpus(spark, sf)
+    lossy = CO.structural(drawn_fragments(seqs), ["doc", "w"], NOISE_SEED)
+    queries = as_queries(T.pitch_jitter(lossy, ["doc", "w"], NOISE_SEED))
+    return _recall(queries, X.search(X.build_index(melody_docs(seqs), ["doc", "w"]), queries, ["q_doc", "q_w"], 50))
+
+
+SKELETON = "sk AS (SELECT doc, w, row_number() OVER (PARTITION BY doc, w ORDER BY i) - 1 AS i, pitch, dur, dt FROM sc_l WHERE hard AND k >= 8)"
+
+
+@query(ctes(LONGEST.replace("sc AS (", "sc_l AS ("), SKELETON, _tok(DP, source="sk"), _gram(n=N), TF, _stats("sk"), _frag("sk"), _asked(), _bm25("q_doc, q_w", 50), RANKS) + RECALL)
+def bm25_skeleton_recall(spark, sf):
+    """Skeletons (the longest notes, as many as the sequence has gold ones) as documents, fragments of them as queries."""
+    rows = labelled(spark, sf).where("k >= 8")
+    hard = S.longest_k(rows, ["doc", "w"]).where("hard").select("doc", "w", "i")
+    seqs = checkpointed(pack(rows.join(hard, ["doc", "w", "i"]), ["doc", "w"], ["pitch", "dur", "dt"]))
+    queries = as_queries(drawn_fragments(seqs))
+    return _recall(queries, X.search(X.build_index(melody_docs(seqs), ["doc", "w"]), queries, ["q_doc", "q_w"], 50))
+
+
+MEMBER_SEARCH = (NOTES, "nt AS (SELECT doc, idx AS i, pitch, dur FROM notes)", _tok(DP, "tok", "nt", "doc"), _gram("gr", "tok", "doc", N), """
+sz AS (SELECT doc AS piece, count(*) AS n FROM notes GROUP BY doc),
+mr AS (SELECT piece AS member, min(piece) OVER (PARTITION BY piece % 30) AS reference, n AS mn FROM sz),
+ok AS (SELECT member, reference FROM mr JOIN sz ON piece = reference WHERE member <> reference AND n >= 60 AND mn >= 65),
+dl AS (SELECT piece AS doc, greatest(0, n - 3) AS dl FROM sz WHERE piece IN (SELECT reference FROM ok)),
+cs AS (SELECT CAST(count(*) AS DOUBLE) AS nd, CASE WHEN avg(dl) > 0 THEN avg(dl) ELSE 1.0 END AS avgdl FROM dl),
+tf AS (SELECT doc, term, count(*) AS tf FROM gr JOIN dl USING (doc) GROUP BY ALL),
+idf AS (SELECT term, ln((nd - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, cs GROUP BY term, nd),
+qf AS (SELECT member, term, count(*) AS qf FROM ok JOIN gr ON gr.doc = member GROUP BY ALL),
+sc AS (SELECT member, doc, round(sum(idf * (CAST(tf AS DOUBLE) * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) * qf), 9) AS score
+  FROM qf JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc), cs GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 50),
+rk AS (SELECT ok.member, t.rank FROM ok LEFT JOIN top t ON t.member = ok.member AND t.doc = ok.reference)""")
+
+
+def piece_terms(spark, sf):
+    """(piece, term) for every n-gram of whole pieces, from their windows: each gram once, in the window that owns its first note."""
+    seqs = tables.melody_sequences(spark, sf)
+    last = seqs.groupBy("doc").agg(F.max("w").alias("last"))
+    grams = seqs.join(last, "doc").selectExpr("doc AS piece", "w = last AS open_end", f"posexplode({R.ngram_keys(R.relation_tokens('notes', MODE), N, MODE)}) AS (at, term)")
+    return grams.where(f"open_end OR at < {WINDOW_STEP}").select("piece", "term")
+
+
+@query(ctes(*MEMBER_SEARCH) + RECALL)
+def member_reference_recall(spark, sf):
+    """Whole members of a tune family search for their family's reference among all references; pieces have no bound, so terms are rows."""
+    docs, queries, _ = member_corpus(spark, sf)
+    terms = checkpointed(piece_terms(spark, sf))
+    sizes = terms.groupBy("piece").agg(F.count("*").alias("dl"))
+    lengths = docs.select(F.col("reference").alias("piece")).join(sizes, "piece", "left").selectExpr("piece", "coalesce(dl, 0L) AS dl")
+    index = X.build_index(lengths, ["piece"], occurrences=terms.join(lengths, "piece").select("piece", "dl", "term"))
+    targets = checkpointed(queries.select("member", F.col("reference").alias("target")))
+    asked = targets.join(terms.withColumnRenamed("piece", "member"), "member").select("member", "term")
+    return X.recall_mrr(X.target_ranks(targets, X.search(index, asked, ["member"], 50), ["member"], {"piece": "target"}))
 
 
 LENGTHS = (12, 24, 48)
@@ -137,15 +251,15 @@ def fragments_multi_len(spark, sf):
     return _spans(tables.melody_sequences(spark, sf)).select("q_doc", "q_w", "f.start", "f.len")
 
 
-QTOKS = (ROWS, _tok(DP), _gram(), TF, STATS, SPANS, f"""frag AS (
+QTOKS = (ROWS, _tok(DP), _gram(n=N), TF, _stats(), SPANS, f"""frag AS (
   SELECT s.doc AS q_doc, s.w AS q_w, s.s AS fs, s.len AS fl, r.i, r.pitch, r.dur FROM spans s JOIN rows_ r
   ON r.doc = s.doc AND r.w = s.w AND r.i >= s.s AND r.i < s.s + s.len)""",
-         _tok(DP, "qtok", "frag", "q_doc, q_w, fs, fl"), _gram("qgram", "qtok", "q_doc, q_w, fs, fl"), _bm25("q_doc, q_w, fs, fl", 20))
+         _tok(DP, "qtok", "frag", "q_doc, q_w, fs, fl"), _gram("qgram", "qtok", "q_doc, q_w, fs, fl", N), _bm25("q_doc, q_w, fs, fl", 20))
 
 
 def _grouped(spark, sf, pooling, norm):
     seqs = tables.melody_corpus(spark, sf)
-    index = X.build_index(melody_docs(seqs), ["doc", "w"], doc_bound=tables.sequence_bound(spark, sf))
+    index = X.build_index(melody_docs(seqs), ["doc", "w"])
     terms = R.ngram_keys(R.relation_tokens("slice(notes, f.start + 1, f.len)", MODE), N, MODE)
     frags = _spans(seqs).selectExpr("q_doc", "q_w", "f.start AS fs", "f.len AS fl", "f.len AS n_notes", f"{terms} AS terms")
     return seqs, X.grouped_search(index, frags, ["q_doc", "q_w"], ["fs", "fl"], 20, pooling, 2.0, norm)
@@ -159,14 +273,11 @@ def bm25_pool_max(spark, sf):
 
 
 @query(ctes(*QTOKS) + """, p AS (SELECT q_doc, q_w, doc, w, round(2 * (max(y) + ln(sum(exp(y - m)))), 9) AS score
-  FROM (SELECT *, score / 2 AS y, max(score / 2) OVER (PARTITION BY q_doc, q_w, doc, w) AS m FROM top) GROUP BY ALL),
-rr AS (SELECT *, row_number() OVER (PARTITION BY q_doc, q_w ORDER BY score DESC, doc, w) AS rank FROM p),
-rk AS (SELECT d.doc, d.w, rr.rank FROM dl d LEFT JOIN rr ON rr.q_doc = d.doc AND rr.q_w = d.w AND rr.doc = d.doc AND rr.w = d.w)
-""" + RECALL)
+  FROM (SELECT *, score / 2 AS y, max(score / 2) OVER (PARTITION BY q_doc, q_w, doc, w) AS m FROM top) GROUP BY ALL)
+SELECT q_doc, q_w, doc, w, round(score, 6) AS score, row_number() OVER (PARTITION BY q_doc, q_w ORDER BY score DESC, doc, w) AS rank FROM p""")
 def bm25_pool_lse(spark, sf):
-    seqs, p = _grouped(spark, sf, "lse", "none")
-    qs = seqs.selectExpr("doc AS q_doc", "w AS q_w", "doc AS t_doc", "w AS t_w")
-    return X.recall_mrr(X.target_ranks(qs, p, ["q_doc", "q_w"], {"doc": "t_doc", "w": "t_w"}))
+    p = _grouped(spark, sf, "lse", "none")[1]
+    return p.select("q_doc", "q_w", "doc", "w", F.round("score", 6).alias("score"), "rank")
 
 
 COUNTS = """cnt AS (SELECT CAST((SELECT count(*) FROM documents) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS q,
@@ -219,5 +330,4 @@ SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_numbe
 def word_bm25_topm(spark, sf):
     docs = tables.document_words(spark, sf).selectExpr("doc_id", "greatest(size(words) - 2, 0) AS dl", f"{R.word_ngrams('words', 3)} AS terms")
     items = tables.document_words(spark, sf, "benchmark", "item_id").selectExpr("doc_id AS item_id", f"{R.word_ngrams('words', 3)} AS terms")
-    index = X.build_index(docs, ["doc_id"], keep_hits=True, doc_bound=tables.table(spark, sf, "documents").count())
-    return X.search(index, items, ["item_id"], 20).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return X.search(X.build_index(docs, ["doc_id"]), items, ["item_id"], 20).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")

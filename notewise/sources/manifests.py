@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from notewise import constants as C
 from notewise.functions import names
 from notewise.operators.ordered import dense_index
+from notewise.operators.splits import dense_ids
 
 
 def score_files(spark: SparkSession, root: str, extensions: Sequence[str] = C.SCORE_EXTENSIONS) -> DataFrame:
@@ -27,9 +28,7 @@ def midi_files(spark: SparkSession, root: str) -> DataFrame:
 def class_labels(files: DataFrame, folder: str) -> DataFrame:
     """Volume name of a folder and its dense label over the sorted names."""
     named = files.withColumn("volume", names.volume_name(F.col(folder)))
-    # the coarse key follows the order of the names: an equal prefix never splits the order
-    distinct = named.select("volume").distinct()
-    labels = dense_index(distinct, [], ["volume"], "substring(volume, 1, 3)", idx="label")
+    labels = dense_ids(named.select("volume").distinct(), ["volume"], "label")
     return named.join(labels, "volume")
 
 

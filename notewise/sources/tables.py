@@ -49,11 +49,6 @@ def melody_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(melody_sequences(spark, sf_dir).select("doc", "w", "notes"))
 
 
-def sequence_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Upper bound of the number of windows: 16 notes or more each, a note in two at most."""
-    return table(spark, sf_dir, "events").count() // 8
-
-
 def shipment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of a supplier as a long sequence: supp, idx, n, order and line keys."""
     li = table(spark, sf_dir, "lineitem").selectExpr(

@@ -208,3 +208,13 @@ def test_tree_depth_flags_cycles(spark):
     arcs = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 5, 4), (1, 4, 5)], "s int, head int, dep int")
     nodes = spark.createDataFrame([(1, k) for k in range(1, 6)], "s int, node int")
     assert rows(pairing.tree_depth(arcs, nodes, ["s"]).fillna({"depth": -9}), "node", "depth") == [(1, 0), (2, 1), (3, 2), (4, -9), (5, -9)]
+
+
+def test_dense_ids_follow_the_order_over_range_partitions(spark):
+    rows = [(f"name{(i * 7919) % 5000:05d}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "name string, v int").repartition(7)
+    got = {r.name: r.doc_id for r in splits.dense_ids(df, ["name"]).collect()}
+    assert got == {name: k for k, name in enumerate(sorted(n for n, _ in rows))}
+    same = splits.dense_ids(df.selectExpr("v % 3 AS g", "v").where("v < 100"), ["g", "v"]).collect()
+    assert [r.doc_id for r in sorted(same, key=lambda r: (r.g, r.v))] == list(range(100))
+    assert splits.dense_ids(df.where("false"), ["name"]).count() == 0
