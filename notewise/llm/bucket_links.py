@@ -64,13 +64,14 @@ def mixed_links(members: DataFrame, payloads: DataFrame, judge: Judge, radius: i
     """
     # the two members of a bucket of two have been judged as a star
     mixed = members.where("n > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    heavy = members.join(mixed, "key").join(payloads, "node")
+    met = members.join(mixed, "key").select("key", "node", "sketch", "root", "n")
+    bytes_ = met.select("key", "node").join(payloads.select("node", F.octet_length("payload").alias("size")), "node").groupBy("key").agg(F.sum("size").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
-    sizes = heavy.groupBy("key").agg(F.sum(F.octet_length("payload")).alias("bytes"), F.first("n").alias("n")).select("key", parts.alias("parts"))
-    dealt = heavy.select("key", "node", "sketch", "root", "payload").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct("sketch", "root", "own", "payload").alias("m"))
-    blocks = met.groupBy("key", "i", "j").agg(F.collect_list("m").alias("members")).where("size(members) > 1")
+    dealt = met.join(bytes_, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sketch", "root", "own")
+    # payloads join last, so they move once to their nodes and once to the blocks
+    blocks = dealt.join(payloads, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("sketch", "root", "own", "payload")).alias("members")).where("size(members) > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
