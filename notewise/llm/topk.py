@@ -61,6 +61,27 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([max(-top - 1, min(top, sum(int(a) * int(b) for a, b in zip(u, v)))) for u, v in zip(q, x)], np.int64)
 
 
+def _best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, live: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best live candidates of each query; one product for all where doubles hold it exactly."""
+    if not live.any():
+        return []
+    if float(np.abs(q).max()) * float(np.abs(x).max()) * max(1, q.shape[1]) < EXACT:
+        score = (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    else:
+        score = np.zeros(live.shape, np.int64)
+        rows, columns = np.nonzero(live)
+        score[rows, columns] = _exact(q[rows], x[columns])
+    if live.shape[1] > 4 * k:
+        shown = np.where(live, score, -2 ** 63)
+        live = live & (shown >= np.partition(shown, shown.shape[1] - k, axis=1)[:, shown.shape[1] - k, None])
+    rows, columns = np.nonzero(live)
+    order = np.lexsort((ids[columns], -score[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, columns = rows[place < k], columns[place < k]
+    return list(zip(q_ids[rows].tolist(), ids[columns].tolist(), score[rows, columns].tolist()))
+
+
 def block_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's k best in one block of candidates; ties to smaller ids."""
     out: list[tuple[int, int, int]] = []
@@ -87,14 +108,7 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
             live &= bound + slack[part, None] >= threshold[:, None]
             kept = live.any(0)
             live, columns = live[:, kept], columns[kept]
-        for r in range(len(live)):
-            mine = columns[live[r]]
-            score = _exact(np.broadcast_to(q[at + r], (len(mine), q.shape[1])), x[mine])
-            if len(mine) > 4 * k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                mine, score = mine[score >= least], score[score >= least]
-            best = np.lexsort((ids[mine], -score))[:k]
-            out += [(int(q_ids[at + r]), int(ids[mine[b]]), int(score[b])) for b in best]
+        out += _best_of(q_ids[part], q[part], ids[columns], x[columns], live, k)
     return out
 
 
