@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,18 +166,52 @@ def distinct_files(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.distinct()
 
 
-def silver_labels(matches: DataFrame, lengths: DataFrame, pair: str, min_score: float = 0.5, min_matches: int = 6,
-                  min_coverage: float = 0.7, min_span: float = 0.8) -> DataFrame:
-    """Keep good matches (pair, theme_i, var_i, score) of pairs that pass the alignment filter.
+#: Notes of each side that take part in silver labels.
+SILVER_NOTES = 510
 
-    ``lengths`` holds pair, n_theme, n_var.  Adds pi = running number of the kept variation notes.
+
+@dataclass(frozen=True)
+class SilverLimits:
+    """What a theme and variation pair must reach to become a labelled example."""
+
+    notes: int = SILVER_NOTES
+    theme_notes: int = 6
+    variation_notes: int = 10
+    skeleton_notes: int = 6
+    score: float = 0.5
+    matches: int = 6
+    coverage: float = 0.7
+    span: float = 0.8
+    low_rho: float = 1 / 3
+    high_rho: float = 1.0
+
+
+def silver_labels(matches: DataFrame, lengths: DataFrame, pair: str, limits: SilverLimits = SilverLimits()) -> tuple[DataFrame, DataFrame]:
+    """Labels and verdicts of aligned pairs.
+
+    ``matches`` holds pair, theme_i, var_i, score of the first ``limits.notes`` notes of each side; ``lengths`` pair, n_theme, n_var
+    of the whole sides and has a row for every candidate pair.  The matched variation notes of score enough are the skeleton.
+    Labels: these matches of the accepted pairs with pi, their running number.  Verdicts: one row for every candidate with
+    ``kept`` matches, ``coverage`` of the shorter side, ``rho`` (BOS and EOS counted on both sides) and ``skip_reason``: NULL or the
+    first of parse_or_empty (a side without notes, or null), too_short, low_alignment, rho_out_of_range.
     """
-    good = matches.where(F.col("score") >= min_score)
-    per = good.groupBy(pair).agg(F.count("*").alias("kept"), F.min("var_i").alias("lo"), F.max("var_i").alias("hi")).join(lengths, pair)
-    ok = per.where(
-        f"kept >= {min_matches} AND kept / CAST(greatest(1, least(n_theme, n_var)) AS DOUBLE) >= {min_coverage!r}D "
-        f"AND (n_var < 2 OR kept < 2 OR (hi - lo) / CAST(n_var - 1 AS DOUBLE) >= {min_span!r}D)").select(pair)
-    return good.join(ok, pair, "left_semi").selectExpr("*", f"row_number() {over([pair], ['var_i'])} - 1 AS pi")
+    m = limits
+    good = matches.where(F.col("score") >= m.score)
+    found = good.groupBy(pair).agg(F.count("*").alias("kept"), F.countDistinct("var_i").alias("skeleton"), F.min("var_i").alias("lo"), F.max("var_i").alias("hi"))
+    sized = lengths.join(found, pair, "left").selectExpr(
+        pair, "n_theme", "n_var", "coalesce(kept, 0L) AS kept", "coalesce(skeleton, 0L) AS skeleton", "lo", "hi",
+        f"least(coalesce(n_theme, 0), {m.notes}) AS t", f"least(coalesce(n_var, 0), {m.notes}) AS v")
+    measured = sized.selectExpr(
+        "*", "kept / CAST(greatest(1, least(t, v)) AS DOUBLE) AS coverage", "(skeleton + 2) / CAST(v + 2 AS DOUBLE) AS rho",
+        "CASE WHEN v >= 2 AND skeleton >= 2 THEN (hi - lo) / CAST(v - 1 AS DOUBLE) ELSE 1D END AS reach")
+    reason = (
+        f"CASE WHEN t <= 0 OR v <= 0 THEN 'parse_or_empty' WHEN n_theme < {m.theme_notes} OR n_var < {m.variation_notes} THEN 'too_short' "
+        f"WHEN kept < {m.matches} OR coverage < {m.coverage!r}D OR skeleton < {m.skeleton_notes} OR reach < {m.span!r}D THEN 'low_alignment' "
+        f"WHEN NOT {in_rho_range('rho', m.low_rho, m.high_rho)} THEN 'rho_out_of_range' END")
+    verdicts = measured.selectExpr(pair, "n_theme", "n_var", "kept", "coverage", "rho", f"{reason} AS skip_reason")
+    accepted = verdicts.where("skip_reason IS NULL").select(pair)
+    labels = good.join(accepted, pair, "left_semi").selectExpr("*", f"row_number() {over([pair], ['var_i'])} - 1 AS pi")
+    return labels, verdicts
 
 
 # ------------------------------------------------------------------ arcs and trees

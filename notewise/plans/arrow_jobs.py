@@ -114,7 +114,28 @@ def uniform_time(spark, sf):
     return S.uniform_time(clocked(labelled(spark, sf)), SEQ).selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
 
 
-@query()
+#: Cheapest path of exactly k notes, layer by layer in whole millionths; a layer keeps cost * 1024 + the note before, so ties go to the earlier one.
+EXACT_K = """nw AS (SELECT doc, w, i, k, wlen AS n, pitch, CAST(mono AS DOUBLE) AS tick, min(mono) OVER s AS lo, max(mono) OVER s AS hi, pow(CASE WHEN dur >= 24 THEN 0.90 WHEN dur >= 12 THEN 0.95 WHEN dur >= 6 THEN 1.05 ELSE 1.10 END, 4)
+    * CASE WHEN min(pitch) OVER s = max(pitch) OVER s THEN 1.0 ELSE 1.0 + 0.1 * (0.5 - abs(pitch - (max(pitch) OVER s + min(pitch) OVER s) / 2.0) / ((max(pitch) OVER s - min(pitch) OVER s) / 2.0)) END AS weight
+  FROM clk WINDOW s AS (PARTITION BY doc, w)),
+nd AS MATERIALIZED (SELECT *, CAST(round_even((weight + pow((tick - lo) / 3.0, 1.6)) * 1000000, 0) AS BIGINT) AS first_cost, CAST(round_even(pow((hi - tick) / 3.0, 1.6) * 1000000, 0) AS BIGINT) AS last_cost FROM nw WHERE k > 0 AND k < n),
+ed AS MATERIALIZED (SELECT doc, w, i, j, CAST(round_even((pow(greatest(span / 3.0, 1.0), 1.6)
+    + 0.1 * CASE WHEN gap = 0 THEN 0.1 WHEN gap % 12 = 0 THEN 1.0 WHEN gap <= 2 THEN 0.3 WHEN gap % 12 IN (1, 2, 10, 11) THEN 1.3 ELSE 3.0 END) * weight * 1000000, 0) AS BIGINT) AS cost
+  FROM (SELECT a.doc, a.w, a.i, b.i AS j, b.tick - a.tick AS span, abs(a.pitch - b.pitch) AS gap, b.weight FROM nd a JOIN nd b ON b.doc = a.doc AND b.w = a.w AND b.i > a.i AND b.i <= b.n - b.k + a.i + 1)),
+ly AS (SELECT doc, w, 0 AS t, i, k, n, first_cost AS best, -1 AS back FROM nd WHERE i <= n - k
+  UNION ALL
+  SELECT doc, w, t + 1, j, k, n, step // 1024, CAST(step % 1024 AS INT) FROM (
+    SELECT l.doc, l.w, l.t, e.j, l.k, l.n, min((l.best + e.cost) * 1024 + l.i) AS step FROM ly l JOIN ed e ON e.doc = l.doc AND e.w = l.w AND e.i = l.i
+    WHERE l.t + 1 < l.k AND e.j <= l.n - l.k + l.t + 1 GROUP BY ALL)),
+lm AS MATERIALIZED (SELECT * FROM ly),
+pa AS (SELECT doc, w, k - 1 AS t, CAST(min((best + last_cost) * 1024 + i) % 1024 AS INT) AS i FROM lm JOIN nd USING (doc, w, i, k, n) WHERE t = k - 1 GROUP BY ALL
+  UNION ALL
+  SELECT p.doc, p.w, p.t - 1, x.back FROM pa p JOIN lm x ON x.doc = p.doc AND x.w = p.w AND x.t = p.t AND x.i = p.i WHERE p.t > 0)"""
+
+
+@query("WITH RECURSIVE " + ",\n".join([LAB, CLOCK, EXACT_K]) + """
+SELECT doc, w, i, round(CASE WHEN hard THEN CAST(1 AS DOUBLE) / (k + 1) ELSE 0 END, 9) AS score, hard
+FROM (SELECT clk.*, k > 0 AND (k >= wlen OR t IS NOT NULL) AS hard FROM clk LEFT JOIN pa USING (doc, w, i))""")
 def exact_k_path(spark, sf):
     return PA.exact_k_path(_packed_clock(spark, sf)[1], SEQ).selectExpr(*SEQ, "i", "round(score, 9) AS score", "hard")
 
@@ -133,25 +154,83 @@ def selector_benchmark(spark, sf):
     return M.macro(M.pair_metrics(scored, ["method", *SEQ]), MACRO, ["method"])
 
 
-def _theme_pairs(spark, sf):
-    """Theme: the notes other than errors; variation: all notes of the window."""
-    rows = tables.melody_rows(spark, sf)
-    v = pack(rows, SEQ, ["pitch", "st", "en", "kind"])
-    t = "filter(notes, x -> x.kind <> 'error')"
+#: Theme notes of a window, the variation being all its notes.
+THEME = "kind <> 'error'"
+#: The same, and the themes of four other kinds of pieces: sparse, opening only, very short, silent.
+SILVER_THEME = """CASE doc % 5 WHEN 0 THEN kind = 'purchase' WHEN 1 THEN i < 20 WHEN 2 THEN kind = 'click' AND i < 12 WHEN 3 THEN kind = 'rest' ELSE kind <> 'error' END"""
+
+
+def _theme_pairs(spark, sf, theme=THEME):
+    rows = tables.melody_rows(spark, sf).selectExpr("*", f"{theme} AS in_theme")
+    v = pack(rows, SEQ, ["pitch", "st", "en", "in_theme"])
+    t = "filter(notes, x -> x.in_theme)"
     return v.selectExpr(
         *SEQ, *[f"{t}.{c} AS t_{c}" for c in ("pitch", "st", "en")], *[f"notes.{c} AS v_{c}" for c in ("pitch", "st", "en")])
 
 
-@query()
+def _voice_sql(kept: str) -> str:
+    return f"""(SELECT doc, w, row_number() OVER (PARTITION BY doc, w ORDER BY i) - 1 AS i, count(*) OVER s AS n, pitch, (st - min(st) OVER s) / CAST(greatest(1, max(en) OVER s - min(st) OVER s) AS DOUBLE) AS at,
+    greatest(1, en - st) / CAST(greatest(1, max(en) OVER s - min(st) OVER s) AS DOUBLE) AS len FROM rows_ WHERE {kept} WINDOW s AS (PARTITION BY doc, w))"""
+
+
+def _aligned_sql(theme: str) -> str:
+    """Global alignment over anti-diagonals in whole millionths; every cell hands its own value and the one above it to the next two diagonals."""
+    return f"""ms AS MATERIALIZED (SELECT doc, w, i, j, n, m, CAST(round_even((CAST(2.5 AS DOUBLE) * exp(-((fold / 2.0) * (fold / 2.0))) * exp(-((gap / 12.0 / 2.0) * (gap / 12.0 / 2.0)))
+    + exp(-((apart / 0.15) * (apart / 0.15))) + exp(-((differ / 0.25) * (differ / 0.25))) + CAST(0.1 AS DOUBLE) * len - CAST(1.6 AS DOUBLE)) * 1000000, 0) AS BIGINT) AS score
+  FROM (SELECT *, CAST(least(gap % 12, 12 - gap % 12) AS DOUBLE) AS fold FROM (
+    SELECT t.doc, t.w, t.i, v.i AS j, t.n, v.n AS m, CAST(abs(t.pitch - v.pitch) AS BIGINT) AS gap, t.at - v.at AS apart, t.len - v.len AS differ, v.len FROM {_voice_sql(theme)} t JOIN {_voice_sql("true")} v ON v.doc = t.doc AND v.w = t.w))),
+dg AS (SELECT DISTINCT doc, w, 0 AS i, 0 AS j, n, m, CAST(0 AS BIGINT) AS best, CAST(NULL AS BIGINT) AS above, -1 AS move FROM ms
+  UNION ALL
+  SELECT c.doc, c.w, c.i, c.j, c.n, c.m, greatest(corner + score, above - 900000, beside - 600000), above,
+    CASE WHEN corner + score >= above - 900000 AND corner + score >= beside - 600000 THEN 0 WHEN beside IS NULL OR above - 900000 >= beside - 600000 THEN 1 ELSE 2 END
+  FROM (SELECT doc, w, i, j, n, m, max(above) AS above, max(beside) AS beside, max(corner) AS corner FROM (
+      SELECT doc, w, n, m, i + side AS i, j + 1 - side AS j, CASE WHEN side = 1 THEN best END AS above, CASE WHEN side = 0 THEN best END AS beside, CASE WHEN side = 0 THEN above END AS corner
+      FROM (SELECT *, unnest([0, 1]) AS side FROM dg)) WHERE i <= n AND j <= m GROUP BY ALL) c
+  LEFT JOIN ms ON ms.doc = c.doc AND ms.w = c.w AND ms.i = c.i - 1 AND ms.j = c.j - 1),
+mv AS MATERIALIZED (SELECT doc, w, i, j, n, m, move FROM dg),
+bk AS (SELECT doc, w, i, j, move FROM mv WHERE i = n AND j = m
+  UNION ALL
+  SELECT x.doc, x.w, x.i, x.j, x.move FROM bk b JOIN mv x ON x.doc = b.doc AND x.w = b.w AND x.i = b.i - CASE WHEN b.move <> 2 THEN 1 ELSE 0 END AND x.j = b.j - CASE WHEN b.move <> 1 THEN 1 ELSE 0 END
+  WHERE b.move >= 0),
+al AS (SELECT doc, w, b.i - 1 AS theme_i, b.j - 1 AS var_i, n, m, score FROM bk b JOIN ms USING (doc, w) WHERE b.move = 0 AND ms.i = b.i - 1 AND ms.j = b.j - 1)"""
+
+
+@query("WITH RECURSIVE " + ROWS + ",\n" + _aligned_sql(THEME) + """
+SELECT doc, w, CAST(theme_i AS BIGINT) AS theme_i, CAST(var_i AS BIGINT) AS var_i, round(score / CAST(1000000 AS DOUBLE), 6) AS score FROM al""")
 def align_pairs(spark, sf):
     return PA.align(_theme_pairs(spark, sf), SEQ).selectExpr(*SEQ, "theme_i", "var_i", "round(score, 6) AS score")
 
 
-@query()
-def silver_labels(spark, sf):
-    pairs = _theme_pairs(spark, sf).selectExpr("concat_ws('#', doc, w) AS pair", "*").drop(*SEQ)
+#: One verdict a pair, the dropped ones too; pairs whose theme has no note never reach the alignment.
+VERDICTS = f"""ln AS (SELECT doc || '#' || w AS pair, count(*) FILTER (WHERE {SILVER_THEME}) AS n_theme, count(*) AS n_var FROM rows_ GROUP BY ALL),
+gd AS (SELECT doc || '#' || w AS pair, theme_i, var_i, score FROM al WHERE score >= 500000),
+vd AS (SELECT pair, n_theme, n_var, kept, coverage, rho, CASE WHEN n_theme = 0 THEN 'parse_or_empty' WHEN n_theme < 6 OR n_var < 10 THEN 'too_short'
+    WHEN kept < 6 OR coverage < 0.7 OR reach < 0.8 THEN 'low_alignment' WHEN rho < 1.0 / 3 - 1e-9 OR rho > 1 + 1e-9 THEN 'rho_out_of_range' END AS skip_reason
+  FROM (SELECT pair, n_theme, n_var, kept, kept / CAST(greatest(1, least(n_theme, n_var)) AS DOUBLE) AS coverage, (kept + 2) / CAST(n_var + 2 AS DOUBLE) AS rho,
+      CASE WHEN kept >= 2 AND n_var >= 2 THEN (hi - lo) / CAST(n_var - 1 AS DOUBLE) ELSE 1 END AS reach
+    FROM (SELECT ln.*, count(gd.pair) AS kept, min(var_i) AS lo, max(var_i) AS hi FROM ln LEFT JOIN gd USING (pair) GROUP BY ALL)))"""
+SILVER = "WITH RECURSIVE " + ROWS + ",\n" + _aligned_sql(SILVER_THEME) + ",\n" + VERDICTS
+
+
+def _silver(spark, sf):
+    pairs = _theme_pairs(spark, sf, SILVER_THEME).selectExpr("concat_ws('#', doc, w) AS pair", "*").drop(*SEQ)
     lengths = pairs.selectExpr("pair", "size(t_pitch) AS n_theme", "size(v_pitch) AS n_var")
-    return P.silver_labels(PA.align(pairs, ["pair"]), lengths, "pair").selectExpr("pair", "theme_i", "var_i", "pi", "round(score, 6) AS score")
+    short = PA.first_notes(pairs, P.SILVER_NOTES)
+    return P.silver_labels(checkpointed(PA.align(short, ["pair"])), lengths, "pair")
+
+
+@query(SILVER + """
+SELECT pair, CAST(theme_i AS BIGINT) AS theme_i, CAST(var_i AS BIGINT) AS var_i, row_number() OVER (PARTITION BY pair ORDER BY var_i) - 1 AS pi, round(score / CAST(1000000 AS DOUBLE), 6) AS score
+FROM gd JOIN vd USING (pair) WHERE skip_reason IS NULL""")
+def silver_labels(spark, sf):
+    return _silver(spark, sf)[0].selectExpr("pair", "theme_i", "var_i", "pi", "round(score, 6) AS score")
+
+
+@query(SILVER + """
+SELECT pair, CAST(n_theme AS BIGINT) AS n_theme, CAST(n_var AS BIGINT) AS n_var, CAST(kept AS BIGINT) AS kept, round(coverage, 9) AS coverage, round(rho, 9) AS rho, skip_reason FROM vd""")
+def silver_verdicts(spark, sf):
+    """Every candidate pair with its matches, coverage and rho, and why it was dropped."""
+    return _silver(spark, sf)[1].selectExpr("pair", "n_theme", "n_var", "kept", "round(coverage, 9) AS coverage", "round(rho, 9) AS rho", "skip_reason")
 
 
 @query()

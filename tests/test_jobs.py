@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from notewise.operators import corrupt as CO
 from notewise.operators import denoise as D
 from notewise.operators import ornament as O
+from notewise.operators import pairing as PR
 from notewise.operators import paths as P
 from notewise.operators import selectors as S
 from notewise.operators import transforms as T
@@ -156,10 +157,10 @@ def test_exact_k_path_against_enumeration():
 
         def cost(path):
             ends = ((on[path[0]] - on[0]) / unit) ** c.boundary_power + ((on[-1] - on[path[-1]]) / unit) ** c.boundary_power
-            return w[path[0]] + ends + sum(e[a, b] for a, b in zip(path, path[1:]))
+            return w[path[0]] + ends + sum(e[a, b] for a, b in zip(path, path[1:])) / P.SCALE
 
         best = min(cost(p) for p in itertools.combinations(range(n), k))
-        assert cost(tuple(P.exact_k_picks(on, pitch, dur, k))) == pytest.approx(best)
+        assert cost(tuple(P.exact_k_picks(on, pitch, dur, k))) == pytest.approx(best, abs=1e-4)
 
 
 def test_alignment_against_recursion():
@@ -184,6 +185,31 @@ def test_identical_pair_aligns_to_itself():
     assert P.global_alignment(P.match_scores(notes, notes)) == [(i, i) for i in range(5)]
 
 
+def test_silver_verdicts_name_the_first_failed_check(spark):
+    lengths = spark.createDataFrame(
+        [("good", 8, 12), ("none", 0, 12), ("null", None, None), ("short", 5, 12), ("few", 8, 12), ("bunched", 8, 40), ("sparse", 8, 40), ("long", 600, 600)],
+        "pair string, n_theme int, n_var int")
+    rows = [("good", i, i + i // 2, 1.0) for i in range(8)] + [("few", i, i, 1.0 if i < 5 else 0.4) for i in range(8)]
+    rows += [("bunched", i, i, 1.0) for i in range(8)] + [("sparse", i, 5 * i, 1.0) for i in range(8)] + [("long", i, i, 1.0) for i in range(510)]
+    matches = spark.createDataFrame(rows, "pair string, theme_i int, var_i int, score double")
+    labels, verdicts = PR.silver_labels(matches, lengths, "pair")
+    v = {r.pair: r for r in verdicts.collect()}
+    assert {p: r.skip_reason for p, r in v.items()} == {
+        "good": None, "none": "parse_or_empty", "null": "parse_or_empty", "short": "too_short", "few": "low_alignment",
+        "bunched": "low_alignment", "sparse": "rho_out_of_range", "long": None}
+    assert v["good"].rho == pytest.approx(10 / 14) and v["good"].coverage == 1 and v["few"].kept == 5 and v["long"].rho == 1
+    got = {}
+    for r in labels.orderBy("pair", "var_i").collect():
+        got.setdefault(r.pair, []).append(r.pi)
+    assert got == {"good": list(range(8)), "long": list(range(510))}
+
+
+def test_first_notes_cut_both_sides(spark):
+    df = spark.sql("SELECT 'a' AS pair, array(1, 2, 3) AS t_pitch, array(4, 5) AS t_st, array(6) AS t_en, array(7, 8, 9) AS v_pitch, array(1) AS v_st, array() AS v_en, array(1, 2, 3) AS t_other")
+    r = P.first_notes(df, 2).first()
+    assert (r.t_pitch, r.t_st, r.t_en, r.v_pitch, r.v_en, r.t_other) == ([1, 2], [4, 5], [6], [7, 8], [], [1, 2, 3])
+
+
 def test_classifier_beats_chance(spark):
     r = QUERIES["note_classifier"](spark, SF).toPandas()
     assert r[r.label == 1].score.mean() > r[r.label == 0].score.mean() + 0.1
