@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,7 +146,13 @@ def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans; a literal inside a base span adds nothing."""
     base = base_spans(text)
-    more = [s[:3] for s in literal_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    # base spans come by start: the furthest end so far decides whether one of them holds a literal
+    starts, ends = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    more = []
+    for a, b, kind, _ in literal_spans(text):
+        at = bisect_right(starts, a)
+        if not at or ends[at - 1] < b:
+            more.append((a, b, kind))
     return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
