@@ -10,8 +10,9 @@ from notewise.session import checkpointed
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: Bits of the membership table that shingles pass before anything is joined: 128 KB, whatever the data.
-FILTER_BITS = 20
+#: Bits of the membership table that shingles pass before anything is joined, as powers of two: 16 a shingle of the fragments
+#: between 128 KB and 2 MB.
+FILTER_BITS = (20, 24)
 SALTS = 16
 
 
@@ -50,12 +51,17 @@ def shingled_fragments(fragments: DataFrame, containment: float) -> DataFrame:
         "fragment", "shingle", "h", "n", f"row_number() OVER (PARTITION BY fragment ORDER BY h, shingle) <= {sketch} AS in_sketch")
 
 
-def membership(shingles: DataFrame) -> DataFrame:
-    """One row: a bit table (array of longs) of the shingles' hashes; its size is fixed."""
-    slot = f"(h & {(1 << FILTER_BITS) - 1}L)"
+def table_bits(shingles: int) -> int:
+    """Power of two of the membership table for so many shingles."""
+    return max(FILTER_BITS[0], min(FILTER_BITS[1], (16 * shingles - 1).bit_length()))
+
+
+def membership(shingles: DataFrame, power: int) -> DataFrame:
+    """One row: a table of 2^power bits (array of longs) of the shingles' hashes."""
+    slot = f"(h & {(1 << power) - 1}L)"
     bits = shingles.selectExpr(f"shiftright({slot}, 6) AS id", f"shiftleft(1L, CAST({slot} & 63L AS INT)) AS bit").groupBy("id").agg(
         F.bit_or("bit").alias("bits"))
-    dense = shingles.sparkSession.range(1 << (FILTER_BITS - 6)).join(bits, "id", "left").selectExpr("struct(id, coalesce(bits, 0L) AS bits) AS x")
+    dense = shingles.sparkSession.range(1 << (power - 6)).join(bits, "id", "left").selectExpr("struct(id, coalesce(bits, 0L) AS bits) AS x")
     return dense.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.col("x.bits").alias("bits"))
 
 
@@ -68,23 +74,28 @@ def contained_fragments(sequences: DataFrame, fragments: DataFrame, piece: str =
     ``containment`` of its distinct word five-shingles are in the piece.  Returns (piece key, fragment key, ``n_shingles``,
     ``n_shared``, ``containment``), one row for each pair.  Fragments and pieces of fewer than five words (null lines too) have no
     shingle and never match; rows that repeat a key are taken together; null keys take no part; other columns are not
-    looked at.  Pieces are read once and not shuffled: their shingles pass a bit table of fixed size, and only what passes is joined.
+    looked at.  Pieces are read once: their shingles pass a bit table, and only what passes is shuffled.  Candidates are the pairs
+    that share a sketch shingle by its hash; exact shingles are counted for candidates alone.
     """
     items = picked(fragments, fragment=fragment, line=fragment_line).where("fragment IS NOT NULL").select("fragment", text_of("line").alias("line"))
     shingles = checkpointed(shingled_fragments(items, containment))
-    table = membership(shingles).scalar()
+    power = table_bits(shingles.count())
+    table = membership(shingles, power).scalar()
     lines = picked(sequences, piece=piece, line=token_line).where("piece IS NOT NULL").select("piece", text_of("line").alias("line"))
     words = lines.select("piece", computed(words_of("line")).alias("words")).where(f"size(words) >= {WORDS}")
-    slot = f"{_hash('i')} & {(1 << FILTER_BITS) - 1}L"
+    slot = f"{_hash('i')} & {(1 << power) - 1}L"
     passed = words.select("piece", "words", table.alias("bits")).select("piece", "words", computed(F.expr(
         f"filter(sequence(0, size(words) - {WORDS}), i -> transform(array({slot}), "
         "s -> shiftright(bits[CAST(shiftright(s, 6) AS INT)], CAST(s & 63L AS INT)) & 1L)[0] = 1L)")).alias("places")).where("size(places) > 0")
-    shown = passed.select("piece", F.explode(F.expr(f"array_distinct(transform(places, i -> {_shingle('i')}))")).alias("shingle"))
-    hits = checkpointed(shown.distinct().withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(SALTS))))
+    shown = passed.select("piece", F.explode(F.expr(f"array_distinct(transform(places, i -> struct({_hash('i')} AS h, {_shingle('i')} AS shingle)))")).alias("x"))
+    hits = checkpointed(shown.selectExpr("piece", "x.h", "x.shingle").distinct())
+    salted = hits.select("piece", "h", F.pmod(F.xxhash64("piece"), F.lit(SALTS)).alias("salt"))
     spread = shingles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    found = hits.join(spread.where("in_sketch"), ["shingle", "salt"]).select("piece", "fragment").distinct()
-    shared = hits.join(spread, ["shingle", "salt"]).groupBy("piece", "fragment").agg(F.count("*").alias("n_shared"), F.max("n").alias("n_shingles"))
-    verified = shared.join(found, ["piece", "fragment"], "left_semi").where(f"n_shared >= {containment}D * n_shingles - 1e-9D")
+    candidates = salted.join(spread.where("in_sketch").select("h", "salt", "fragment"), ["h", "salt"]).select("piece", "fragment", "salt").distinct()
+    wanted = candidates.join(spread.select("fragment", "salt", "shingle", "n"), ["fragment", "salt"])
+    shared = wanted.join(hits.select("piece", "shingle"), ["piece", "shingle"]).groupBy("piece", "fragment").agg(
+        F.count("*").alias("n_shared"), F.max("n").alias("n_shingles"))
+    verified = shared.where(f"n_shared >= {containment}D * n_shingles - 1e-9D")
     out = fragment if fragment != piece else f"{fragment}_fragment"
     return verified.select(F.col("piece").alias(piece), F.col("fragment").alias(out), "n_shingles", "n_shared",
                            (F.col("n_shared") / F.col("n_shingles")).alias("containment"))

@@ -132,6 +132,20 @@ def test_fragments_in_pieces(spark):
     assert decontaminate.contained_fragments(p.where("false"), f).count() == 0
 
 
+def test_candidates_come_from_sketches_alone(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    p = spark.createDataFrame([(1, "before " + text + " after")], "piece long, token_line string")
+    f = spark.createDataFrame([(7, text)], "query_id long, token_line string")
+    assert [(r.piece, r.query_id, r.n_shared) for r in decontaminate.contained_fragments(p, f).collect()] == [(1, 7, 36)]
+    whole = decontaminate.shingled_fragments
+    monkeypatch.setattr(decontaminate, "shingled_fragments", lambda *a: whole(*a).withColumn("in_sketch", F.lit(False)))
+    assert decontaminate.contained_fragments(p, f).count() == 0
+
+
+def test_membership_table_grows_with_the_fragments():
+    assert [decontaminate.table_bits(n) for n in (0, 1, 65_536, 65_537, 1 << 20, 1 << 40)] == [20, 20, 20, 21, 24, 24]
+
+
 # --- archives ---
 
 class Memory:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import defaultdict
 
@@ -172,6 +173,28 @@ def test_references_are_no_secrets(line):
     assert secret_scan.scan(line)[1] == []
 
 
+def _config(n):
+    return "".join(f'db_password_{i} = "Zx{i:07d}Qr!{i % 97}"\napi_key: ABCDEFGH{i:08d}\ntoken = "{i:032x}"\nauth_{i} = \'v{i}\'\n' for i in range(n))
+
+
+def test_literals_inside_base_spans_add_nothing():
+    text = _config(200)
+    base, every = secret_scan.scan(text)
+    outside = [s[:3] for s in secret_scan.literal_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    assert sorted(every) == sorted([*base, *outside]) and outside and len(outside) < len(secret_scan.literal_spans(text))
+
+
+def test_long_texts_of_many_spans_take_linear_time():
+    seconds = []
+    for n in (2_500, 80_000):
+        text = _config(n)
+        began = time.process_time()
+        base, every = secret_scan.scan(text)
+        seconds.append(time.process_time() - began)
+        assert len(base) >= 3 * n and len(every) > len(base)
+    assert len(text) > 10_000_000 and seconds[1] < 3 * 32 * seconds[0]
+
+
 def test_masking_takes_secrets_out(spark):
     df = spark.createDataFrame([(t,) for t in SECRET_TEXTS], "text string")
     for text, clean in zip(SECRET_TEXTS, [r.c for r in df.select(secret_scan.without_secrets("text").alias("c")).collect()]):
