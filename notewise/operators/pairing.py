@@ -262,6 +262,21 @@ def tree_depth(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFr
         *keys, "j + 1 AS node", "depth")
 
 
+def token_depths(tokens: DataFrame, depths: DataFrame, keys: Sequence[str], temperature: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Gather tree depths to token rows.
+
+    ``tokens``: keys, pos, note (position of the token's note, -1 for BOS, EOS and padding); ``depths``: keys, node (note + 1),
+    depth.  Adds ``depth``, -1 where there is no note or the node never reaches the root, and ``score`` = exp(-depth /
+    temperature), 0 there.  The second result holds the tokens whose note the tree does not have; it must be empty.
+    """
+    t = max(float(temperature), 1e-6)
+    nodes = depths.selectExpr(*keys, "node", "depth AS __depth", "true AS __known")
+    joined = tokens.withColumn("node", F.col("note") + 1).join(nodes, [*keys, "node"], "left").drop("node")
+    unknown = joined.where("note >= 0 AND __known IS NULL").select(*tokens.columns)
+    found = joined.selectExpr(*tokens.columns, "CASE WHEN note >= 0 THEN coalesce(__depth, -1) ELSE -1 END AS depth")
+    return found.selectExpr("*", f"CASE WHEN depth >= 0 THEN exp(-depth / {t!r}D) ELSE 0D END AS score"), unknown
+
+
 def ordinal_notes(notes: DataFrame, ids: DataFrame, piece: str) -> DataFrame:
     """Resolve (measure, ordinal) ids to note positions.
 

@@ -89,10 +89,22 @@ def normalised(scored: DataFrame, keys: Sequence[str], temperature: float | None
     return shifted.selectExpr("*", f"__e / greatest(sum(__e) {over(keys)}, 1e-8D) AS share").drop("__e")
 
 
-def with_scores(notes: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores supplied as a table; notes without one score 0."""
+def with_scores(notes: DataFrame, scores: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Join supplied scores (keys, i, score) to notes (keys, i, ...); nothing that does not fit goes unreported.
+
+    Returns the notes with ``score`` and one row for every sequence of either table: ``n_notes``, ``n_scores``, ``n_missing`` notes
+    without a score, ``n_surplus`` scores without a note, and ``status``: ok, missing (no score at all), surplus (no such sequence)
+    or mismatch.  Null and NaN scores count as missing, notes without one score 0, of repeated positions the highest counts.
+    """
     on = [*keys, "i"]
-    return notes.join(scores, on, "left").fillna({"score": 0.0})
+    best = scores.where("score IS NOT NULL AND NOT isnan(score)").groupBy(*on).agg(F.max("score").alias("__score"))
+    both = notes.withColumn("__note", F.lit(True)).join(best, on, "full")
+    scored = both.where("__note").withColumn("score", F.coalesce("__score", F.lit(0.0))).select(*notes.columns, "score")
+    counts = both.groupBy(*keys).agg(
+        F.count("__note").alias("n_notes"), F.count("__score").alias("n_scores"),
+        F.count_if(F.col("__score").isNull()).alias("n_missing"), F.count_if(F.col("__note").isNull()).alias("n_surplus"))
+    status = ("CASE WHEN n_notes = 0 THEN 'surplus' WHEN n_scores = 0 THEN 'missing' WHEN n_missing + n_surplus > 0 THEN 'mismatch' ELSE 'ok' END")
+    return scored, counts.selectExpr("*", f"{status} AS status")
 
 
 def gold_cuts(depths: DataFrame, keys: Sequence[str], rhos: Sequence[float]) -> DataFrame:

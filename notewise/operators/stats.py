@@ -56,13 +56,13 @@ def export_stats(sequences: DataFrame, split: str = "split", bpm: float = 120.0)
 
 
 def file_accounting(files: DataFrame, sequences: DataFrame, file: str, split: str, error: Column | None = None) -> DataFrame:
-    """Per split: files assigned, failed, with and without sequences."""
+    """Per split: files assigned, failed (``error``), and of the others those with and without sequences."""
     has = sequences.select(file).distinct().withColumn("__has", F.lit(True))
     bad = F.lit(False) if error is None else error
-    j = files.join(has, file, "left").withColumn("__has", F.coalesce("__has", F.lit(False))).withColumn("__bad", bad)
+    j = files.join(has, file, "left").withColumn("__has", F.coalesce("__has", F.lit(False))).withColumn("__bad", F.coalesce(bad, F.lit(False)))
     return j.groupBy(split).agg(
         F.count("*").alias("assigned"), F.count_if(F.col("__bad")).alias("error"),
-        F.count_if(F.col("__has")).alias("with_sequences"),
+        F.count_if(F.col("__has") & ~F.col("__bad")).alias("with_sequences"),
         F.count_if(~F.col("__has") & ~F.col("__bad")).alias("zero_sequences"))
 
 

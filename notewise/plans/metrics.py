@@ -233,6 +233,39 @@ def backbone_eval(spark, sf):
     return M.macro(M.pair_metrics(longest(spark, sf), SEQ), MACRO)
 
 
+def predictions(spark, sf):
+    """Scores as an outside model might hand them in: pieces left out or cut short, positions and pieces too many."""
+    rows = tables.melody_rows(spark, sf)
+    told = rows.where("doc % 7 <> 3 AND (doc % 7 <> 5 OR i < 10)").selectExpr(*SEQ, "i", "((pitch * 7 + i * 3 + doc) % 101) / 101D AS score")
+    over_long = rows.where("doc % 7 = 1 AND i < 3").selectExpr(*SEQ, "CAST(i + wlen AS INT) AS i", "0.5D AS score")
+    unknown = rows.where("doc % 7 = 2 AND i < 4").selectExpr("doc + 1000000 AS doc", "w", "i", "0.5D AS score")
+    return told.unionByName(over_long).unionByName(unknown)
+
+
+SUPPLIED = LAB + """,
+pred AS (SELECT doc, w, i, ((pitch * 7 + i * 3 + doc) % 101) / CAST(101 AS DOUBLE) AS score FROM rows_ WHERE doc % 7 <> 3 AND (doc % 7 <> 5 OR i < 10)
+  UNION ALL SELECT doc, w, i + wlen, 0.5 FROM rows_ WHERE doc % 7 = 1 AND i < 3 UNION ALL SELECT doc + 1000000, w, i, 0.5 FROM rows_ WHERE doc % 7 = 2 AND i < 4),
+sc AS (SELECT *, row_number() OVER (PARTITION BY doc, w ORDER BY score DESC, i) <= k AS hard, CAST(0 AS DOUBLE) AS bos_mass
+  FROM (SELECT lab.*, coalesce(pred.score, 0) AS score FROM lab LEFT JOIN pred USING (doc, w, i)))"""
+
+
+@query(ctes(SUPPLIED, RANKED, _curve(), per_sequence_sql()) + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, round(avg({m}), 6) AS value, count({m}) AS n FROM per" for m in MACRO))
+def supplied_scores(spark, sf):
+    """Evaluation of a table of predicted scores."""
+    scored, _ = S.with_scores(labelled(spark, sf), predictions(spark, sf), SEQ)
+    return M.macro(M.pair_metrics(S.top_k(scored, SEQ, "score"), SEQ), MACRO)
+
+
+@query(ctes(SUPPLIED) + """SELECT doc, w, n_notes, n_scores, n_missing, n_surplus,
+  CASE WHEN n_notes = 0 THEN 'surplus' WHEN n_scores = 0 THEN 'missing' WHEN n_missing + n_surplus > 0 THEN 'mismatch' ELSE 'ok' END AS status
+FROM (SELECT doc, w, count(lab.pitch) AS n_notes, count(pred.score) AS n_scores, count(*) - count(pred.score) AS n_missing, count(*) - count(lab.pitch) AS n_surplus
+  FROM lab FULL JOIN pred USING (doc, w, i) GROUP BY doc, w)""")
+def supplied_score_report(spark, sf):
+    """Which sequences a table of predicted scores covers, and what in it belongs to none."""
+    return S.with_scores(labelled(spark, sf), predictions(spark, sf), SEQ)[1]
+
+
 BINS = "CASE " + " ".join(
     f"WHEN rho >= CAST({a!r} AS DOUBLE) AND rho < CAST({b!r} AS DOUBLE) THEN {j}" for j, (a, b) in enumerate(zip(C.RHO_BINS, C.RHO_BINS[1:]))) + " END"
 

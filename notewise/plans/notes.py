@@ -258,13 +258,14 @@ def export_stats_rollup(spark, sf):
     return ST.export_stats(seqs.join(split_pieces(spark, sf).select("doc", "split"), "doc"))
 
 
-@query(ctes(ROWS, _split_sql(11, "SELECT c_custkey AS user_id FROM customer")) + """SELECT split, count(*) AS assigned, CAST(0 AS BIGINT) AS error,
-  count(*) FILTER (WHERE has) AS with_sequences, count(*) FILTER (WHERE NOT has) AS zero_sequences
-FROM (SELECT c_custkey, c_custkey IN (SELECT doc FROM rows_) AS has FROM customer) JOIN sp ON grp = c_custkey % 40 GROUP BY split""")
+@query(ctes(ROWS, _split_sql(11, "SELECT c_custkey AS user_id FROM customer")) + """SELECT split, count(*) AS assigned, count(*) FILTER (WHERE bad) AS error,
+  count(*) FILTER (WHERE has AND NOT bad) AS with_sequences, count(*) FILTER (WHERE NOT has AND NOT bad) AS zero_sequences
+FROM (SELECT c_custkey, c_custkey IN (SELECT doc FROM rows_) AS has, coalesce(c_acctbal < 0, false) AS bad FROM customer) JOIN sp ON grp = c_custkey % 40 GROUP BY split""")
 def file_accounting(spark, sf):
-    files = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc")).withColumn("grp", F.col("doc") % 40)
+    """Files in the red are those that could not be read."""
+    files = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc"), "c_acctbal").withColumn("grp", F.col("doc") % 40)
     assigned = S.group_split(files, "grp", 11, (0.8, 0.1, 0.1))
-    return ST.file_accounting(assigned, ordered.to_windows(tables.melody_notes(spark, sf)), "doc", "split")
+    return ST.file_accounting(assigned, ordered.to_windows(tables.melody_notes(spark, sf)), "doc", "split", F.col("c_acctbal") < 0)
 
 
 VOCAB = """vocab AS (SELECT g AS global_id, CASE

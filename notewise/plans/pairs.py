@@ -152,14 +152,30 @@ ARCS = """nd AS (SELECT doc, w, i + 1 AS node, kind = 'error' AND i > wlen * 3 /
 arcs AS (SELECT doc, w, CASE WHEN i = 0 THEN 0 ELSE (i + 1) // 2 END AS head, i + 1 AS dep FROM rows_ UNION ALL SELECT DISTINCT doc, w, 0, 0 FROM rows_)"""
 
 
-@query("WITH RECURSIVE " + ctes(ROWS, ARCS)[5:] + """, t AS (SELECT doc, w, dep AS node, 0 AS depth FROM arcs WHERE head = 0 AND dep <> 0
+TREE = "WITH RECURSIVE " + ctes(ROWS, ARCS)[5:] + """, t AS (SELECT doc, w, dep AS node, 0 AS depth FROM arcs WHERE head = 0 AND dep <> 0
 UNION ALL SELECT a.doc, a.w, a.dep, t.depth + 1 FROM t JOIN arcs a ON a.doc = t.doc AND a.w = t.w AND a.head = t.node AND a.dep <> 0)
-SELECT doc, w, node, CAST(depth AS BIGINT) AS depth FROM t""")
+"""
+
+
+@query(TREE + "SELECT doc, w, node, CAST(depth AS BIGINT) AS depth FROM t")
 def tree_depth(spark, sf):
     nodes, arcs = heap_arcs(spark, sf)
     return P.tree_depth(arcs, nodes, SEQ)
 
 
+@query(TREE + """SELECT k.doc, k.w, k.pos, k.note, CAST(coalesce(t.depth, -1) AS BIGINT) AS depth, round(coalesce(exp(-t.depth / CAST(2 AS DOUBLE)), 0), 9) AS score
+FROM (SELECT doc, w, i + 1 AS pos, i AS note FROM rows_) k LEFT JOIN t ON t.doc = k.doc AND t.w = k.w AND t.node = k.pos
+UNION ALL SELECT doc, w, unnest([0, wlen + 1]), -1, -1, 0 FROM rows_ WHERE i = 0""")
+def token_depths(spark, sf):
+    """Tree depth and depth score of every token of BOS, notes and EOS."""
+    nodes, arcs = heap_arcs(spark, sf)
+    rows = tables.melody_rows(spark, sf)
+    notes = rows.selectExpr(*SEQ, "CAST(i + 1 AS BIGINT) AS pos", "CAST(i AS BIGINT) AS note")
+    ends = rows.where("i = 0").selectExpr(*SEQ, "explode(array(0L, CAST(wlen + 1 AS BIGINT))) AS pos", "-1L AS note")
+    found, _ = P.token_depths(notes.unionByName(ends), P.tree_depth(arcs, nodes, SEQ), SEQ, 2.0)
+    return found.selectExpr(*SEQ, "pos", "note", "depth", "round(score, 9) AS score")
+
+
 @query(ctes(ROWS, ARCS) + """, c AS (SELECT doc, w, count(*) FILTER (WHERE NOT is_rest) AS m FROM nd GROUP BY doc, w),
 g AS (SELECT a.doc, a.w, count(*) AS n_gold, count(*) FILTER (WHERE NOT ((head = 0 AND dep = 0) OR (head <> dep AND dep <> 0 AND NOT coalesce(h.is_rest, false) AND NOT coalesce(d.is_rest, false)))) AS n_outside
   FROM arcs a LEFT JOIN nd h ON h.doc = a.doc AND h.w = a.w AND h.node = a.head LEFT JOIN nd d ON d.doc = a.doc AND d.w = a.w AND d.node = a.dep GROUP BY a.doc, a.w)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from notewise.functions import codes, names
@@ -17,6 +17,11 @@ def write_corpus(sequences: DataFrame, path: str, overwrite: bool = False) -> No
     sequences.write.mode(_mode(overwrite)).partitionBy("split").parquet(path)
 
 
+def replace_split(sequences: DataFrame, path: str, split: str) -> None:
+    """Overwrite one split of a written corpus; the others stay untouched.  ``sequences`` must not be read from that split itself."""
+    sequences.where(F.col("split") == split).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
+
+
 def write_padded(sequences: DataFrame, path: str, length: int, bos: str = "bos", overwrite: bool = False) -> None:
     """Fixed-length global-id events for array consumers."""
     events = codes.padded_events(F.col("notes"), F.col(bos), length)
@@ -42,17 +47,20 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode(_mode(overwrite)).json(path)
 
 
-def write_with_rejects(df: DataFrame, good: str, rejected: str, overwrite: bool = False) -> None:
-    """Rows without a skip_reason go to the result, the others with their reason to JSON lines.
+def write_with_rejects(df: DataFrame, good: str, rejected: str, overwrite: bool = False) -> dict[str, int]:
+    """Rows without a skip_reason go to the result, the others with their reason to JSON lines; returns both counts.
 
-    The rows are kept between the two writes and recomputed if an executor is lost.
+    The rows are evaluated once, kept between the two writes and recomputed if an executor is lost; the writes themselves count.
     """
     kept = df.persist()
+    counts = {"good": Observation(), "rejected": Observation()}
     try:
-        kept.where("skip_reason IS NULL").drop("skip_reason").write.mode(_mode(overwrite)).parquet(good)
-        kept.where("skip_reason IS NOT NULL").write.mode(_mode(overwrite)).json(rejected)
+        for name, rows in (("good", kept.where("skip_reason IS NULL").drop("skip_reason")), ("rejected", kept.where("skip_reason IS NOT NULL"))):
+            out = rows.observe(counts[name], F.count(F.lit(1)).alias("n")).write.mode(_mode(overwrite))
+            out.parquet(good) if name == "good" else out.json(rejected)
     finally:
         kept.unpersist()
+    return {name: seen.get.get("n", 0) for name, seen in counts.items()}
 
 
 def keywords(files: DataFrame, column: str) -> DataFrame:

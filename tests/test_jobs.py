@@ -210,6 +210,26 @@ def test_first_notes_cut_both_sides(spark):
     assert (r.t_pitch, r.t_st, r.t_en, r.v_pitch, r.v_en, r.t_other) == ([1, 2], [4, 5], [6], [7, 8], [], [1, 2, 3])
 
 
+def test_supplied_scores_report_what_does_not_fit(spark):
+    notes = spark.createDataFrame([(d, i) for d, n in ((1, 2), (2, 2), (3, 2), (4, 1)) for i in range(n)], "doc long, i int").selectExpr("*", "7 AS extra")
+    scores = spark.createDataFrame(
+        [(1, 0, 0.5), (1, 1, 0.2), (1, 1, 0.9), (2, 0, 0.1), (2, 1, float("nan")), (2, 5, 0.4), (3, 0, None), (9, 0, 1.0)], "doc long, i int, score double")
+    scored, report = S.with_scores(notes, scores, ["doc"])
+    assert {(r.doc, r.i): r.score for r in scored.collect()} == {(1, 0): 0.5, (1, 1): 0.9, (2, 0): 0.1, (2, 1): 0.0, (3, 0): 0.0, (3, 1): 0.0, (4, 0): 0.0}
+    assert {r.doc: (r.n_notes, r.n_scores, r.n_missing, r.n_surplus, r.status) for r in report.collect()} == {
+        1: (2, 2, 0, 0, "ok"), 2: (2, 2, 1, 1, "mismatch"), 3: (2, 0, 2, 0, "missing"), 4: (1, 0, 1, 0, "missing"), 9: (0, 1, 0, 1, "surplus")}
+    assert S.with_scores(notes, scores.where("false"), ["doc"])[1].where("status <> 'missing'").count() == 0
+
+
+def test_token_depths_gather_and_report(spark):
+    tokens = spark.createDataFrame([(1, 0, -1), (1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 9)], "doc long, pos int, note int")
+    depths = spark.createDataFrame([(1, 1, 0), (1, 2, 2), (1, 3, None)], "doc long, node int, depth int")
+    found, unknown = PR.token_depths(tokens, depths, ["doc"], 2.0)
+    got = {r.pos: (r.depth, r.score) for r in found.collect()}
+    assert got == {0: (-1, 0), 1: (0, 1), 2: (2, pytest.approx(np.exp(-1))), 3: (-1, 0), 4: (-1, 0)}
+    assert [r.pos for r in unknown.collect()] == [4]
+
+
 def test_classifier_beats_chance(spark):
     r = QUERIES["note_classifier"](spark, SF).toPandas()
     assert r[r.label == 1].score.mean() > r[r.label == 0].score.mean() + 0.1

@@ -59,7 +59,8 @@ def test_sinks(spark, tmp_path):
         assert "exist" in str(exc).lower()
     sinks.write_corpus(df, out, overwrite=True)
     bad = df.withColumn("skip_reason", F.when(F.col("split") == "test", "short"))
-    sinks.write_with_rejects(bad, str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert sinks.write_with_rejects(bad, str(tmp_path / "good"), str(tmp_path / "bad")) == {"good": 1, "rejected": 1}
+    assert sinks.write_with_rejects(bad.where("false"), str(tmp_path / "none"), str(tmp_path / "none_bad")) == {"good": 0, "rejected": 0}
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1 and spark.read.json(str(tmp_path / "bad")).count() == 1
     sinks.write_counts(spark.createDataFrame([("<s>", 4)], "token string, n long"), str(tmp_path / "dict"))
     assert [r.value for r in spark.read.text(str(tmp_path / "dict")).collect()] == ["<s> 4"]
@@ -69,6 +70,18 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.path for r in spark.read.json(str(tmp_path / "lists")).where("split = 'train'").collect()) == ["a", "b"]
 
 
+def test_one_split_is_replaced_and_pruned(spark, tmp_path):
+    from notewise.sources import corpora
+
+    df = spark.createDataFrame([("train", "s1", 1), ("test", "s2", 2), ("valid", "s3", 3)], "split string, seq string, v int")
+    out = str(tmp_path / "corpus")
+    sinks.write_corpus(df, out)
+    sinks.replace_split(df.selectExpr("split", "seq", "v + 10 AS v"), out, "test")
+    assert {r.seq: r.v for r in corpora.read_corpus(spark, out).collect()} == {"s1": 1, "s2": 12, "s3": 3}
+    plan = corpora.read_corpus(spark, out, "test")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "= test" in plan
+
+
 def test_corpus_and_pair_readers(spark, tmp_path):
     from notewise.operators.ornament import Ornaments
     from notewise.sources import corpora
