@@ -1,97 +1,166 @@
-"""Quality of token lines by an interpolated modified Kneser-Ney model trained on trusted ones."""
+"""Quality of token lines by an interpolated modified Kneser-Ney model trained on trusted ones.
+
+Lines lie in blocks.  A block sends each of its different n-grams once, with its count in trusted lines; the model is a table
+(style, gram) made by grouped sums and joins on grams, and its answers come back to the blocks, where lines are added up.  What is
+shuffled is one row per block and different gram, so no gram is a hot key: it has at most one row a block.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewise.llm.frames import picked, slices, text_of
+from notewise.llm.frames import picked, shared_folder
 from notewise.session import checkpointed
 
-#: Styles with a model of their own, those with most trusted text first; all others use the pooled model.
-MAX_STYLES = 16
+#: Characters of an n-gram; each takes 16 bits of a long.
+ORDER = 4
+BITS = 16
+#: A style has a model of its own from so many trusted characters on; lines of others are judged by the pooled model.
+OWN_SYMBOLS = 20_000
 QUANTILE = 0.995
 #: The threshold is this much above the quantile.
 MARGIN = 1.05
-#: Symbols of the style's mean that are added to every line, so that short lines are judged mildly.
+#: Characters of the style's mean that are added to every line, so that short lines are judged mildly.
 SHRINK = 200
 POOLED = "*"
+BLOCK_CHARS = 1 << 23
+BLOCK_LINES = 1 << 16
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, read again: its lineage is cut and its size is known."""
+    path = f"{shared_folder(df.sparkSession)}/quality-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ngrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of all lines after each other as longs, the last character lowest, and each line's length.
 
-START, BLANK, BREAK, DIGIT, STOP, COMMA, SHOUT, QUOTE, DASH, SIGN, CAPITAL = range(11)
-SYMBOLS = 40
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of every code point below U+0250, and one for all above."""
-    table = np.full(0x251, SIGN, np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        if ch in "\n\r":
-            table[c] = BREAK
-        elif ch.isspace():
-            table[c] = BLANK
-        elif ch.isnumeric():
-            table[c] = DIGIT
-        elif "a" <= ch <= "z":
-            table[c] = CAPITAL + 1 + ord(ch) - ord("a")
-        elif ch.isalpha():
-            table[c] = CAPITAL if ch.isupper() else CAPITAL + 27
-    for symbol, chars in ((STOP, ".:;"), (COMMA, ","), (SHOUT, "!?"), (QUOTE, "\"'`"), (DASH, "-_/")):
-        for ch in chars:
-            table[ord(ch)] = symbol
-    table[0x250] = CAPITAL + 28
-    return table
-
-
-ALPHABET = _alphabet()
-
-
-def trigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram numbers of all lines after each other, and each line's length; every symbol ends one trigram."""
+    Every character ends one n-gram; zeros stand before a line.  Characters above U+FFFF share the 2,048 surrogate codes.
+    """
     lengths = np.array([len(x) for x in lines], np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    symbols = ALPHABET[np.minimum(codes, 0x250)].astype(np.int32)
-    before = np.r_[START, symbols[:-1]] if len(symbols) else symbols
-    two = np.r_[START, START, symbols[:-2]] if len(symbols) > 1 else np.full(len(symbols), START, np.int32)
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = START
-    two[starts] = START
-    second = starts[lengths[lengths > 0] > 1] + 1
-    two[second] = START
-    return (two * SYMBOLS + before) * SYMBOLS + symbols, lengths
-
-
-def gram_counts(lines: DataFrame) -> DataFrame:
-    """(style, gram, n) over all ``lines`` (style, line); each task adds up what it has read first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def emitted() -> Iterator[pa.RecordBatch]:
-            for style, counts in held.items():
-                seen = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([style] * len(seen)), pa.array(seen, pa.int32()), pa.array(counts[seen])], ["style", "gram", "n"])
-
-        for batch in slices(batches, "line"):
-            frame = batch.to_pandas()
-            for style, rows in frame.groupby("style"):
-                grams, _ = trigrams(rows["line"].tolist())
-                own = held.setdefault(style, np.zeros(SYMBOLS ** 3, np.int64))
-                own += np.bincount(grams, minlength=SYMBOLS ** 3)
-            if len(held) > 64:
-                yield from emitted()
-                held = {}
-        yield from emitted()
-
-    return lines.mapInArrow(run, "style string, gram int, n bigint").groupBy("style", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounted(counts: DataFrame) -> DataFrame:
-    """(style, gram, alpha, context, gamma) of one order: discounted shares, and the weight left to the order below.
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    symbols = np.where(points > 0xFFFF, 0xD800 + points % 2048, np.maximum(points, 1)).astype(np.uint64)
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grams = symbols.copy()
+    for k in range(1, ORDER):
+        grams[k:] |= np.where(place[k:] >= k, symbols[:-k], 0).astype(np.uint64) << np.uint64(BITS * k)
+    return grams.view(np.int64), lengths
+
+
+class Blocks:
+    """Rows of a frame in blocks of about BLOCK_CHARS characters or one longer line, compressed with all their columns."""
+
+    def __init__(self, frame: DataFrame, piece: str, line: str, style: str):
+        names = [c.lower() for c in frame.columns]
+        self.frame, self.piece = frame, names.index(piece.lower())
+        self.line, self.style = names.index(line.lower()), names.index(style.lower())
+        self.kind = frame.schema[self.piece].dataType.simpleString()
+        piece_at, line_at = self.piece, self.line
+
+        def packed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            pieces = table.column(piece_at)
+            return pa.RecordBatch.from_arrays([
+                pa.array([number]), pa.array([pieces.to_pylist()], pa.list_(pieces.type)), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                ["block", "pieces", "body"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, held, chars, rows = TaskContext.get().partitionId() << 32, [], 0, 0
+            for batch in batches:
+                sizes = pc.fill_null(pc.utf8_length(batch.column(line_at).cast(pa.string())), 0).to_numpy(zero_copy_only=False)
+                first = 0
+                for k, size in enumerate(sizes.tolist()):
+                    if rows and (chars + size > BLOCK_CHARS or rows == BLOCK_LINES):
+                        yield packed(number, [*held, batch.slice(first, k - first)])
+                        number, held, chars, rows, first = number + 1, [], 0, 0, k
+                    chars += size
+                    rows += 1
+                if first < batch.num_rows:
+                    held.append(batch.slice(first))
+            if rows:
+                yield packed(number, held)
+
+        self.rows = checkpointed(frame.mapInArrow(run, f"block bigint, pieces array<{self.kind}>, body binary"))
+
+    def keys(self) -> DataFrame:
+        """(piece, block, at) of every row."""
+        return self.rows.select("block", F.posexplode("pieces").alias("at", "piece")).select("piece", "block", "at")
+
+    def joined(self, other: DataFrame, use, schema: str) -> DataFrame:
+        """``use(table of the block's rows, table of other's rows of the block)`` for every block."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            # blocks are numbered once, so a group has one; rows of other always belong to one
+            return use(left.column("block")[0].as_py(), pa.ipc.open_stream(left.column("body")[0].as_buffer()).read_all(), right)
+
+        named = other.select(F.col("block").alias("of_block"), *[c for c in other.columns if c != "block"])
+        return self.rows.select("block", "body").groupBy("block").cogroup(named.groupBy("of_block")).applyInArrow(run, schema)
+
+    def by_style(self):
+        """A function that gives (style, numbers of its rows, their lines) of a block's table."""
+        line_at, style_at = self.line, self.style
+
+        def split(table: pa.Table) -> Iterator[tuple[str | None, np.ndarray, list[str]]]:
+            styles = table.column(style_at).cast(pa.string()).to_pylist()
+            lines = table.column(line_at).cast(pa.string()).to_pylist()
+            own: dict[str | None, list[int]] = {}
+            for k, s in enumerate(styles):
+                own.setdefault(s, []).append(k)
+            for s, at in own.items():
+                yield s, np.array(at), [lines[k] or "" for k in at]
+
+        return split
+
+
+#: Surprises of a gram: by its style's model, by that model's halves, by the halves of the pooled one.
+SURPRISES = ("s", "s0", "s1", "p0", "p1")
+
+
+def block_grams(blocks: Blocks, trusted: DataFrame) -> DataFrame:
+    """(block, style, gram, n0, n1): every different n-gram of a block, and its counts in ``trusted`` lines (block, at, fold) of either fold."""
+    split = blocks.by_style()
+
+    def counted(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
+        fold = np.full(table.num_rows, -1)
+        fold[right.column("at").to_numpy()] = right.column("fold").to_numpy()
+        parts = []
+        for style, at, lines in split(table):
+            grams, lengths = ngrams(lines)
+            every = np.unique(grams)
+            counts = np.zeros((2, len(every)), np.int64)
+            for k in (0, 1):
+                known, n = np.unique(grams[np.repeat(fold[at] == k, lengths)], return_counts=True)
+                counts[k, np.searchsorted(every, known)] = n
+            parts.append(pa.table({"block": pa.array(np.full(len(every), block)), "style": pa.array([style], pa.string()).take(pa.array(np.zeros(len(every), np.int32))),
+                                   "gram": pa.array(every), "n0": pa.array(counts[0]), "n1": pa.array(counts[1])}))
+        return pa.concat_tables(parts)
+
+    return blocks.joined(trusted, counted, "block bigint, style string, gram bigint, n0 bigint, n1 bigint")
+
+
+def _part(k: int, column: str = "gram") -> Column:
+    """The last k characters of a gram."""
+    return F.col(column).bitwiseAND(F.lit((1 << BITS * k) - 1)) if k < ORDER else F.col(column)
+
+
+def _context() -> Column:
+    return F.shiftrightunsigned("gram", BITS)
+
+
+def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(style, gram, alpha) and (style, context, gamma) of one order: discounted shares, and the weight left to the order below.
 
     Discounts for counts of one, two, three and more come from the counts of counts of the style.
     """
@@ -99,115 +168,99 @@ def _discounted(counts: DataFrame) -> DataFrame:
     y = "(n1 / greatest(n1 + 2 * n2, 1))"
     discounts = many.selectExpr("style", *[
         f"greatest(0D, least({k}D, CASE WHEN n{k} > 0 AND n1 > 0 THEN {k} - {k + 1} * {y} * n{k + 1} / n{k} ELSE {k} * 0.5D END)) AS d{k}" for k in (1, 2, 3)])
-    rows = counts.withColumn("context", F.expr(f"gram div {SYMBOLS}")).join(discounts, "style").withColumn(
+    rows = counts.withColumn("context", _context()).join(discounts, "style").withColumn(
         "d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
     contexts = rows.groupBy("style", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-    return rows.join(contexts, ["style", "context"]).selectExpr(
-        "style", "CAST(gram AS INT) AS gram", "(n - d) / total AS alpha", "CAST(context AS INT) AS context", "left / total AS gamma")
+    alphas = rows.join(contexts, ["style", "context"]).selectExpr("style", "gram", "(n - d) / total AS alpha")
+    return alphas, contexts.selectExpr("style", "context", "left / total AS gamma")
 
 
-def kneser_ney(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Negative log probabilities by style: arrays over all SYMBOLS ** 3 trigrams.
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(style, gram, surprise): negative log probability of every gram of ``counts`` (style, gram, n), n = 0 included.
 
-    Counts of the lower orders are numbers of different left neighbours; they come from grouped joins of the order above.  What
-    is collected has a bound of its own: (MAX_STYLES + 1) x (SYMBOLS ** 3 + SYMBOLS ** 2 + SYMBOLS) rows.
+    Counts of the lower orders are numbers of different left neighbours.  A gram's share is joined to it, so is its context's weight
+    and what the order below gives its last characters; that order is asked only for the grams that occur.
     """
-    second = counts.groupBy("style", (F.col("gram") % SYMBOLS ** 2).alias("gram")).agg(F.count("*").alias("n"))
-    first = second.groupBy("style", (F.col("gram") % SYMBOLS).alias("gram")).agg(F.count("*").alias("n"))
-    orders = [_discounted(c).toPandas() for c in (first, second, counts)]
-    model = {}
-    for style in orders[2]["style"].unique():
-        lower = np.full(1, 1.0 / SYMBOLS)
-        for k, table in enumerate(orders):
-            own = table[table["style"] == style]
-            alpha, gamma = np.zeros(SYMBOLS ** (k + 1)), np.ones(SYMBOLS ** k)
-            alpha[own["gram"]] = own["alpha"]
-            gamma[own["context"]] = own["gamma"]
-            below = np.full(SYMBOLS, lower[0]) if k == 0 else np.tile(lower, SYMBOLS)
-            lower = alpha + np.repeat(gamma, SYMBOLS) * below
-        model[style] = -np.log(np.maximum(lower, 1e-12)).astype(np.float32)
-    return model
-
-
-def _surprise(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    grams, lengths = trigrams(lines)
-    sums = np.r_[0.0, np.cumsum(table[grams], dtype=np.float64)]
-    ends = np.cumsum(lengths)
-    return sums[ends] - sums[ends - lengths], lengths
-
-
-class QualityModel:
-    """Model, thresholds and means by style; ``judged`` adds the columns of a judgement to a frame without a shuffle."""
-
-    def __init__(self, spark, tables: dict[str, np.ndarray]):
-        self.tables = spark.sparkContext.broadcast(tables)
-        self.means: dict[str, float] = {}
-        self.limits: dict[str, float] = {}
-
-    def surprise(self):
-        tables = self.tables
-
-        @F.pandas_udf("total double, n bigint")
-        def scored(line: pd.Series, style: pd.Series) -> pd.DataFrame:
-            known = tables.value
-            total, n = np.zeros(len(line)), np.zeros(len(line), np.int64)
-            style = style.where(style.isin(list(known)), POOLED).to_numpy()
-            lines = line.to_numpy()
-            for s in set(style):
-                at = np.flatnonzero(style == s)
-                for part in np.array_split(at, max(1, len(at) // 500)):
-                    if s in known:
-                        total[part], n[part] = _surprise(list(lines[part]), known[s])
-                    else:
-                        n[part] = [len(x) for x in lines[part]]
-            return pd.DataFrame({"total": total, "n": n})
-
-        return scored
-
-    def limit_columns(self, style):
-        def pick(values: dict[str, float]):
-            out = F.lit(float(values.get(POOLED, 0.0)))
-            for name, value in values.items():
-                out = F.when(F.col(style) == name, F.lit(float(value))).otherwise(out) if name != POOLED else out
-            return out
-
-        return pick(self.means), pick(self.limits)
-
-    def judged(self, frame: DataFrame, line: str, style: str) -> DataFrame:
-        mean, limit = self.limit_columns(style)
-        x = frame.withColumn("__s", self.surprise()(F.coalesce(F.col(line).cast("string"), F.lit("")), F.coalesce(F.col(style).cast("string"), F.lit(POOLED))))
-        rate = (F.col("__s.total") + SHRINK * mean) / (F.col("__s.n") + SHRINK)
-        return x.withColumn("__n", F.col("__s.n")).withColumn("__perplexity", F.exp(rate)).withColumn("__limit", limit).drop("__s")
-
-
-def fit_quality(sequences: DataFrame, trusted: DataFrame, piece: str = "piece", token_line: str = "token_line", style: str = "style",
-                quantile: float = QUANTILE, margin: float = MARGIN) -> QualityModel:
-    """Train on all lines whose key is in ``trusted`` (column of the key's name) and set each style's threshold.
-
-    Counts and quantiles take in every trusted line; nothing is sampled.
+    seen, asked = [counts.where("n > 0")], [counts.select("style", "gram")]
+    for k in range(ORDER - 1, 0, -1):
+        seen.append(seen[-1].groupBy("style", _part(k).alias("gram")).agg(F.count("*").alias("n")))
+        asked.append(asked[-1].select("style", _part(k).alias("gram")).distinct())
+    # the lowest order is shared evenly by the characters seen and one for all others
+    symbols = seen[-1].groupBy("style").agg((1.0 / (F.count("*") + 1)).alias("lower"))
+    below = None
+    for k in range(1, ORDER + 1):
+        alphas, gammas = _discounted(seen[ORDER - k])
+        rows = asked[ORDER - k].withColumns({"context": _context(), "part": _part(k - 1)})
+        rows = rows.join(alphas, ["style", "gram"], "left").join(gammas, ["style", "context"], "left")
+        rows = rows.join(symbols, "style", "left") if below is None else rows.join(below, ["style", "part"])
+        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.coalesce("lower", F.lit(1.0))
+        below = rows.select("style", F.col("gram").alias("part"), p.alias("lower"))
+    return below.select("style", F.col("part").alias("gram"), (-F.log(F.greatest("lower", F.lit(1e-12)))).alias("surprise"))
+
+
+def block_scores(blocks: Blocks, answers: DataFrame) -> DataFrame:
+    """(piece, block, at, style, n) of every row and its sums of the SURPRISES of ``answers`` (block, style, gram)."""
+    split, piece_at = blocks.by_style(), blocks.piece
+
+    def scored(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
+        grams_of, surprises = right.column("gram").to_numpy(), [right.column(c).to_numpy() for c in SURPRISES]
+        styles = right.column("style").combine_chunks().dictionary_encode() if right.num_rows else None
+        names = {} if styles is None else {s: k for k, s in enumerate(styles.dictionary.to_pylist())}
+        codes = np.zeros(0, np.int64) if styles is None else pc.fill_null(styles.indices, -1).to_numpy(zero_copy_only=False)
+        totals, n, own = np.zeros((len(SURPRISES), table.num_rows)), np.zeros(table.num_rows, np.int64), [None] * table.num_rows
+        for style, at, lines in split(table):
+            mine = np.flatnonzero(codes == (-1 if style is None else names.get(style, -2)))
+            mine = mine[np.argsort(grams_of[mine])]
+            grams, lengths = ngrams(lines)
+            place, ends = np.searchsorted(grams_of[mine], grams), np.cumsum(lengths)
+            for total, surprise in zip(totals, surprises):
+                sums = np.r_[0.0, np.cumsum(surprise[mine][place], dtype=np.float64)] if len(grams) else np.zeros(1)
+                total[at] = sums[ends] - sums[ends - lengths]
+            n[at] = lengths
+            for k in at.tolist():
+                own[k] = style
+        return pa.table({"piece": table.column(piece_at), "block": pa.array(np.full(len(n), block)), "at": pa.array(np.arange(len(n), dtype=np.int32)),
+                         "style": pa.array(own, pa.string()), "n": pa.array(n), **{c: pa.array(t) for c, t in zip(SURPRISES, totals)}})
+
+    return blocks.joined(answers, scored, f"piece {blocks.kind}, block bigint, at int, style string, n bigint, " + ", ".join(f"{c} double" for c in SURPRISES))
+
+
+def judged(blocks: Blocks, trusted: DataFrame, piece: str, quantile: float, margin: float) -> DataFrame:
+    """(piece, block, at, style, n, perplexity, threshold, keep) of every row of ``blocks``.
+
+    Counts and quantiles take in every line whose key is in ``trusted``; nothing is sampled.  A line that the model has been trained on
+    surprises it less than a new one, so quantiles come from two models of half the trusted lines each (``fold``): every trusted line is
+    measured by the model that has not seen it.
     """
-    spark = sequences.sparkSession
-    lines = picked(sequences, piece=piece, line=token_line, style=style).select(
-        "piece", text_of("line").alias("line"), F.coalesce(F.col("style").cast("string"), F.lit(POOLED)).alias("style"))
     # joined by sorting at every size, as the list grows with the corpus
-    keys = checkpointed(picked(trusted, piece=piece).where("piece IS NOT NULL").distinct()).hint("merge")
-    raw = checkpointed(gram_counts(lines.join(keys, "piece", "left_semi").select("style", "line")))
-    sizes = raw.where(F.col("style") != POOLED).groupBy("style").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "style").limit(MAX_STYLES)
-    named = raw.join(sizes.select("style"), "style")
-    pooled = raw.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("style"), "gram", "n")
-    model = QualityModel(spark, kneser_ney(checkpointed(named.unionByName(pooled))))
-    known = list(model.tables.value)
-    own = F.when(F.col("style").isin(known), F.col("style")).otherwise(POOLED)
-    scores = checkpointed(lines.select("piece", own.alias("style"), model.surprise()("line", "style").alias("s")).select("piece", "style", "s.total", "s.n"))
-    good = scores.join(keys, "piece", "left_semi")
-    both = good.unionByName(good.where(F.col("style") != POOLED).withColumn("style", F.lit(POOLED)))
-    means = both.groupBy("style").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    model.means = {r["style"]: r["total"] / max(1, r["n"]) for r in means.collect()}
-    mean, _ = model.limit_columns("style")
-    rates = both.select("style", ((F.col("total") + SHRINK * mean) / (F.col("n") + SHRINK)).alias("rate"))
-    limits = rates.groupBy("style").agg(F.percentile_approx("rate", quantile, 10000).alias("q")).collect()
-    model.limits = {r["style"]: float(np.exp(r["q"]) * margin) for r in limits}
-    return model
+    keys = checkpointed(picked(trusted, piece=piece).where("piece IS NOT NULL").distinct().withColumn(
+        "fold", F.xxhash64("piece").bitwiseAND(F.lit(1)).cast("int"))).hint("merge")
+    grams = stored(block_grams(blocks, blocks.keys().join(keys, "piece").select("block", "at", "fold")))
+    trained = stored(grams.where("style IS NOT NULL").groupBy("style").agg(F.sum(F.col("n0") + F.col("n1")).alias("symbols"))
+                     .where(F.col("symbols") >= OWN_SYMBOLS).select("style", F.concat(F.lit("="), "style").alias("model")))
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(trained, "style", "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
+
+    own = grams.groupBy("style", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = stored(named(own).where(F.col("model") != POOLED).select("model", "gram", "n0", "n1").unionByName(
+        own.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit(POOLED).alias("model"), "gram", "n0", "n1")))
+    three = counts.selectExpr("stack(3, concat('a', model), n0 + n1, concat('0', model), n0, concat('1', model), n1) AS (style, n)", "gram")
+    surprise = {name: F.max(F.when(F.col("style").startswith(tag), F.col("surprise"))).cast("float") for name, tag in (("s", "a"), ("s0", "0"), ("s1", "1"))}
+    models = stored(kneser_ney(three).groupBy(F.substr("style", F.lit(2)).alias("model"), "gram").agg(*[c.alias(name) for name, c in surprise.items()]))
+    pooled = models.where(F.col("model") == POOLED).select("gram", F.col("s0").alias("p0"), F.col("s1").alias("p1"))
+    model = models.join(pooled, "gram")
+    answers = named(grams.select("block", "style", "gram")).join(model, ["model", "gram"]).select("block", "style", "gram", *SURPRISES)
+    scores = stored(block_scores(blocks, answers))
+    unseen = named(scores.join(keys, "piece")).selectExpr("model", "n", "if(fold = 0, s1, s0) AS total", "if(fold = 0, p1, p0) AS pooled")
+    good = unseen.where(F.col("model") != POOLED).select("model", "n", "total").unionByName(unseen.select(F.lit(POOLED).alias("model"), "n", F.col("pooled").alias("total")))
+    means = stored(good.groupBy("model").agg((F.sum("total") / F.greatest(F.sum("n"), F.lit(1))).alias("mean")))
+    rate = (F.col("total") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n") + SHRINK)
+    limits = stored(good.join(means, "model").groupBy("model").agg(
+        F.max("mean").alias("mean"), (F.exp(F.percentile_approx(rate, quantile, 10000)) * margin).alias("threshold")))
+    out = named(scores).withColumnRenamed("s", "total").join(limits, "model", "left").withColumn("perplexity", F.exp(rate))
+    return out.select("piece", "block", "at", "style", "n", "perplexity", F.coalesce("threshold", F.lit(0.0)).alias("threshold"),
+                      (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("keep"))
 
 
 def line_quality(sequences: DataFrame, trusted: DataFrame, piece: str = "piece", token_line: str = "token_line", style: str = "style",
@@ -215,24 +268,24 @@ def line_quality(sequences: DataFrame, trusted: DataFrame, piece: str = "piece",
     """Perplexity of every token line and whether it is kept.
 
     ``sequences`` holds a melody (or any text) per row: its ``piece`` key, ``token_line`` and ``style`` (genre, tradition or language);
-    ``trusted`` the keys of lines known to be good.  Returns the key, the style, ``n_symbols``, ``perplexity`` (per symbol, drawn
-    to the style's mean by SHRINK symbols), ``threshold`` (the style's quantile over trusted lines times the margin) and ``keep``.
-    A null line is empty and kept: it has the style's mean.  A null or rare style is judged by the pooled model.  Without any trusted
-    line there is no model and all are kept.  Repeated rows return each; a null key is never trusted; other columns are not looked at.
+    ``trusted`` the keys of lines known to be good.  Returns the key, the style, ``n_symbols``, ``perplexity`` (per character, drawn
+    to the style's mean by SHRINK characters), ``threshold`` (the style's quantile over trusted lines times the margin) and ``keep``.
+    A null line is empty and kept: it has the style's mean.  A null style, or one with less than OWN_SYMBOLS trusted characters, is judged
+    by the pooled model and its quantile.  Without any trusted line there is no model and all are kept (threshold 0).  Repeated rows
+    return each; a null key is never trusted; other columns are not looked at.  A line is never split: one block holds it whole.
     """
-    model = fit_quality(sequences, trusted, piece, token_line, style, quantile, margin)
     src = picked(sequences, piece=piece, line=token_line, style=style)
-    out = model.judged(src, "line", "style")
-    return out.select(F.col("piece").alias(piece), F.col("style").alias(style), F.col("__n").alias("n_symbols"), F.col("__perplexity").alias("perplexity"),
-                      F.col("__limit").alias("threshold"), _kept().alias("keep"))
-
-
-def _kept():
-    return (F.col("__limit") <= 0) | (F.col("__perplexity") <= F.col("__limit"))
+    out = judged(Blocks(src, "piece", "line", "style"), picked(trusted, piece=piece), "piece", quantile, margin)
+    return out.select(F.col("piece").alias(piece), F.col("style").alias(style), F.col("n").alias("n_symbols"), "perplexity", "threshold", "keep")
 
 
 def kept_lines(sequences: DataFrame, trusted: DataFrame, piece: str = "piece", token_line: str = "token_line", style: str = "style",
                quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """The rows of ``sequences`` that the model keeps, with all their columns."""
-    model = fit_quality(sequences, trusted, piece, token_line, style, quantile, margin)
-    return model.judged(sequences, token_line, style).where(_kept()).select(sequences.columns)
+    blocks = Blocks(sequences, piece, token_line, style)
+    keep = judged(blocks, picked(trusted, piece=piece), "piece", quantile, margin).where("keep").select("block", "at")
+
+    def taken(block: int, table: pa.Table, right: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.sort(right.column("at").to_numpy())))
+
+    return blocks.joined(keep, taken, sequences.schema)

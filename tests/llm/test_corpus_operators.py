@@ -33,48 +33,111 @@ def test_queries_match_sql(spark, name):
 
 # --- quality model ---
 
+def padded(text):
+    """Every character with the three before it, as tuples; None stands before the text."""
+    return list(zip([None, None, None, *text], [None, None, *text], [None, *text], text))
+
+
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney over one style, written from its definition with dictionaries."""
-    a = kneser_ney.SYMBOLS
-    grams, lengths = kneser_ney.trigrams(texts)
-    orders = [None, None, Counter(grams.tolist())]
-    orders[1] = Counter(g % a ** 2 for g in orders[2])
-    orders[0] = Counter(g % a for g in orders[1])
+    """Interpolated modified Kneser-Ney over one style, written from its definition with dictionaries of character tuples."""
+    orders = {kneser_ney.ORDER: Counter(g for t in texts for g in padded(t))}
+    for k in range(kneser_ney.ORDER - 1, 0, -1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
 
     def discount(c):
         n = Counter(c.values())
         y = n[1] / max(n[1] + 2 * n[2], 1)
         return lambda k: max(0, min(min(k, 3), min(k, 3) - (min(k, 3) + 1) * y * n[min(k, 3) + 1] / n[min(k, 3)] if n[min(k, 3)] and n[1] else min(k, 3) * 0.5))
 
-    discounts = [discount(c) for c in orders]
-    context = []
-    for c, d in zip(orders, discounts):
-        total, left = defaultdict(int), defaultdict(float)
+    discounts = {k: discount(c) for k, c in orders.items()}
+    context = {}
+    for k, c in orders.items():
+        total, left = context[k] = defaultdict(int), defaultdict(float)
         for g, n in c.items():
-            total[g // a] += n
-            left[g // a] += d(n)
-        context.append((total, left))
-
-    def p(g, k):
-        total, left = context[k]
-        lower = p(g % a ** k, k - 1) if k else 1 / a
-        if g // a not in total:
-            return lower
-        n = orders[k].get(g, 0)
-        return ((n - discounts[k](n)) if n else 0) / total[g // a] + left[g // a] / total[g // a] * lower
+            total[g[:-1]] += n
+            left[g[:-1]] += discounts[k](n)
+
+    def p(g):
+        if not g:
+            return 1 / (len(orders[1]) + 1)
+        total, left = context[len(g)]
+        if g[:-1] not in total:
+            return p(g[1:])
+        n = orders[len(g)].get(g, 0)
+        return ((n - discounts[len(g)](n)) if n else 0) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * p(g[1:])
 
     return p
 
 
+def brute_quality(rows, trusted, fold_of, quantile=kneser_ney.QUANTILE, margin=kneser_ney.MARGIN):
+    """(perplexity, threshold) of every (piece, line, style), by the definition of the operator."""
+    good = [r for r in rows if r[0] in trusted]
+    size = Counter()
+    for _, line, style in good:
+        size[style] += len(line)
+    named = lambda style: style if style is not None and size[style] >= kneser_ney.OWN_SYMBOLS else "*"
+    surprise = lambda p, line: -sum(math.log(max(p(g), 1e-12)) for g in padded(line))
+    out = {}
+    for name in {named(r[2]) for r in rows}:
+        mine = [r for r in good if name == "*" or r[2] == name]
+        whole, *half = (brute_model([r[1] for r in mine if keep(fold_of[r[0]])]) for keep in (lambda f: True, lambda f: f == 0, lambda f: f == 1))
+        crossed = [(surprise(half[1 - fold_of[r[0]]], r[1]), len(r[1])) for r in mine]
+        mean = sum(t for t, _ in crossed) / max(1, sum(n for _, n in crossed))
+        rate = lambda t, n: (t + kneser_ney.SHRINK * mean) / (n + kneser_ney.SHRINK)
+        ordered = sorted(rate(t, n) for t, n in crossed)
+        limit = math.exp(ordered[max(0, math.ceil(quantile * len(ordered)) - 1)]) * margin
+        for piece, line, style in rows:
+            if named(style) == name:
+                out[piece] = (math.exp(rate(surprise(whole, line), len(line))), limit)
+    return out
+
+
+def test_ngrams_hold_the_last_characters():
+    grams, lengths = kneser_ney.ngrams(["ab\0cde", "", "\U0001F600x"])
+    code = lambda *points: sum(p << 16 * k for k, p in enumerate(reversed(points)))
+    folded = 0xD800 + 0x1F600 % 2048
+    want = [(97,), (97, 98), (97, 98, 1), (97, 98, 1, 99), (98, 1, 99, 100), (1, 99, 100, 101), (folded,), (folded, 120)]
+    assert grams.view(np.uint64).tolist() == [code(*w) for w in want] and lengths.tolist() == [6, 0, 2]
+
+
 def test_kneser_ney_probabilities(spark):
     texts = ["the cat and the hat", "a hat, a cat!", "on the mat 12"]
-    counts = kneser_ney.gram_counts(spark.createDataFrame([("x", t) for t in texts], "style string, line string"))
-    table = kneser_ney.kneser_ney(counts)["x"]
+    asked = [*texts, "the dog and a hat", "zzz"]
+    counts = Counter(kneser_ney.ngrams(texts)[0].tolist())
+    rows = [("x", g, counts[g]) for g in set(kneser_ney.ngrams(asked)[0].tolist())]
+    table = {r["gram"]: r["surprise"] for r in kneser_ney.kneser_ney(spark.createDataFrame(rows, "style string, gram long, n long")).collect()}
     p = brute_model(texts)
-    for g in random.Random(0).sample(range(kneser_ney.SYMBOLS ** 3), 500) + kneser_ney.trigrams(texts)[0].tolist():
-        assert math.isclose(math.exp(-table[g]), max(p(g, 2), 1e-12), rel_tol=1e-4)
-    mass = np.exp(-table.reshape(-1, kneser_ney.SYMBOLS).astype(float)).sum(1)
-    assert np.allclose(mass, 1, atol=1e-4)
+    assert len(table) == len(rows)
+    for text in asked:
+        for g, gram in zip(padded(text), kneser_ney.ngrams([text])[0].tolist()):
+            assert math.isclose(table[gram], -math.log(max(p(g), 1e-12)), rel_tol=1e-9)
+
+
+def test_quality_equals_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "OWN_SYMBOLS", 400)
+    monkeypatch.setattr(kneser_ney, "BLOCK_CHARS", 300)
+    draw = random.Random(3)
+    words = ["sol", "la", "ti", "fa", "réel", "漢字", "hornpipe", "ré"]
+    rows = [(k, " ".join(draw.choices(words[:5] if k % 3 else words, k=draw.randrange(1, 30))), ("reel", "jig", "rare", None)[min(k % 5, 3)]) for k in range(60)]
+    rows += [(60, "x" * 900, "jig"), (61, "", "reel"), (62, "qq zz " * 20, "reel")]
+    trusted = {k for k in range(60) if k % 4}
+    frame = spark.createDataFrame(rows, "piece long, token_line string, style string").repartition(3)
+    keys = spark.createDataFrame([(k,) for k in trusted], "piece long")
+    fold_of = {r[0]: r[1] for r in frame.select("piece", F.xxhash64("piece").bitwiseAND(F.lit(1))).collect()}
+    want = brute_quality(rows, trusted, fold_of)
+    got = kneser_ney.line_quality(frame, keys).collect()
+    assert len(got) == len(rows) and not all(r["keep"] for r in got)
+    for r in got:
+        perplexity, limit = want[r["piece"]]
+        assert (r["piece"], r["style"]) and math.isclose(r["perplexity"], perplexity, rel_tol=1e-5) and math.isclose(r["threshold"], limit, rel_tol=1e-5)
+        assert r["keep"] == (r["perplexity"] <= r["threshold"])
+
+
+def test_quality_keeps_good_lines_it_was_not_trained_on(spark):
+    sf = "/root/testdata/sf0.01"
+    good = queries.trusted_documents(spark, sf)
+    out = kneser_ney.line_quality(spark.read.parquet(f"{sf}/documents.parquet"), good.where("doc_id % 7 < 4"), "doc_id", "text", "lang")
+    assert out.join(good.where("doc_id % 7 >= 4"), "doc_id").agg(F.avg(F.col("keep").cast("int"))).first()[0] > 0.95
 
 
 def test_quality_separates_junk_on_held_out_documents(spark):
