@@ -7,14 +7,14 @@ shuffled is one row per block and different gram, so no gram is a hot key: it ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewise.llm.frames import picked, shared_folder
@@ -159,43 +159,38 @@ def _context() -> Column:
     return F.shiftrightunsigned("gram", BITS)
 
 
-def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(style, gram, alpha) and (style, context, gamma) of one order: discounted shares, and the weight left to the order below.
+def _discounts(counts: DataFrame, names: Iterable[str]) -> DataFrame:
+    """(style, d1, d2, d3 of each name): discounts for counts of one, two, three and more, from the counts of counts of the style."""
+    many = counts.groupBy("style").agg(*[F.sum(F.when(F.col(c) == k, 1).otherwise(0)).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4)])
+    y = "({c}_1 / greatest({c}_1 + 2 * {c}_2, 1))"
+    rule = "greatest(0D, least({k}D, CASE WHEN {c}_{k} > 0 AND {c}_1 > 0 THEN {k} - {j} * " + y + " * {c}_{j} / {c}_{k} ELSE {k} * 0.5D END)) AS {c}_d{k}"
+    return stored(many.selectExpr("style", *[rule.format(c=c, k=k, j=k + 1) for c in names for k in (1, 2, 3)]))
 
-    Discounts for counts of one, two, three and more come from the counts of counts of the style.
-    """
-    many = counts.groupBy("style").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = "(n1 / greatest(n1 + 2 * n2, 1))"
-    discounts = many.selectExpr("style", *[
-        f"greatest(0D, least({k}D, CASE WHEN n{k} > 0 AND n1 > 0 THEN {k} - {k + 1} * {y} * n{k + 1} / n{k} ELSE {k} * 0.5D END)) AS d{k}" for k in (1, 2, 3)])
-    rows = counts.withColumn("context", _context()).join(discounts, "style").withColumn(
-        "d", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
-    contexts = rows.groupBy("style", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-    alphas = rows.join(contexts, ["style", "context"]).selectExpr("style", "gram", "(n - d) / total AS alpha")
-    return alphas, contexts.selectExpr("style", "context", "left / total AS gamma")
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
+
+def kneser_ney(counts: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
     """(style, gram, surprise): negative log probability of every gram of ``counts`` (style, gram, n), n = 0 included.
 
-    Counts of the lower orders are numbers of different left neighbours.  A gram's share is joined to it, so is its context's weight
-    and what the order below gives its last characters; that order is asked only for the grams that occur.
+    ``names`` gives several columns of counts and the names of their surprises; each is a model of its own.  Counts of the lower orders
+    are numbers of different left neighbours, and the order below is asked only for grams that occur.  Its probabilities are joined
+    first; a context's sums then come from its grams, of which there are not more than characters.
     """
-    seen, asked = [counts.where("n > 0")], [counts.select("style", "gram")]
+    names = {"n": "surprise"} if names is None else names
+    levels = [counts]
     for k in range(ORDER - 1, 0, -1):
-        seen.append(seen[-1].groupBy("style", _part(k).alias("gram")).agg(F.count("*").alias("n")))
-        asked.append(asked[-1].select("style", _part(k).alias("gram")).distinct())
+        levels.append(stored(levels[-1].groupBy("style", _part(k).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in names])))
     # the lowest order is shared evenly by the characters seen and one for all others
-    symbols = seen[-1].groupBy("style").agg((1.0 / (F.count("*") + 1)).alias("lower"))
-    below = None
+    lowest = levels[-1].groupBy("style").agg(*[(1.0 / (F.sum((F.col(c) > 0).cast("long")) + 1)).alias(f"{c}_p") for c in names])
+    below, on, context = stored(lowest), ["style"], Window.partitionBy("style", "context")
     for k in range(1, ORDER + 1):
-        alphas, gammas = _discounted(seen[ORDER - k])
-        rows = asked[ORDER - k].withColumns({"context": _context(), "part": _part(k - 1)})
-        rows = rows.join(alphas, ["style", "gram"], "left").join(gammas, ["style", "context"], "left")
-        rows = rows.join(symbols, "style", "left") if below is None else rows.join(below, ["style", "part"])
-        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.coalesce("lower", F.lit(1.0))
-        below = rows.select("style", F.col("gram").alias("part"), p.alias("lower"))
-    return below.select("style", F.col("part").alias("gram"), (-F.log(F.greatest("lower", F.lit(1e-12)))).alias("surprise"))
+        rows = levels[ORDER - k].withColumns({"context": _context(), "part": _part(k - 1)}).join(below, on)
+        rows = rows.join(_discounts(levels[ORDER - k], names), "style").withColumns({
+            f"{c}_d": F.expr(f"CASE {c} WHEN 0 THEN 0D WHEN 1 THEN {c}_d1 WHEN 2 THEN {c}_d2 ELSE {c}_d3 END") for c in names})
+        sums = rows.select("style", "gram", "context", *[x for c in names for x in (c, f"{c}_p", f"{c}_d")]).withColumns({
+            x: f for c in names for x, f in ((f"{c}_total", F.sum(c).over(context)), (f"{c}_left", F.sum(f"{c}_d").over(context)))})
+        below = sums.select("style", F.col("gram").alias("part"), *[
+            F.expr(f"if({c}_total > 0, ({c} - {c}_d + {c}_left * {c}_p) / {c}_total, {c}_p)").alias(f"{c}_p") for c in names])
+        below, on = (stored(below) if k < ORDER else below), ["style", "part"]
+    return below.select("style", F.col("part").alias("gram"), *[(-F.log(F.greatest(f"{c}_p", F.lit(1e-12)))).alias(name) for c, name in names.items()])
 
 
 def block_scores(blocks: Blocks, answers: DataFrame) -> DataFrame:
@@ -242,15 +237,18 @@ def judged(blocks: Blocks, trusted: DataFrame, piece: str, quantile: float, marg
     def named(df: DataFrame) -> DataFrame:
         return df.join(trained, "style", "left").withColumn("model", F.coalesce("model", F.lit(POOLED)))
 
-    own = grams.groupBy("style", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = stored(named(own).where(F.col("model") != POOLED).select("model", "gram", "n0", "n1").unionByName(
-        own.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit(POOLED).alias("model"), "gram", "n0", "n1")))
-    three = counts.selectExpr("stack(3, concat('a', model), n0 + n1, concat('0', model), n0, concat('1', model), n1) AS (style, n)", "gram")
-    surprise = {name: F.max(F.when(F.col("style").startswith(tag), F.col("surprise"))).cast("float") for name, tag in (("s", "a"), ("s0", "0"), ("s1", "1"))}
-    models = stored(kneser_ney(three).groupBy(F.substr("style", F.lit(2)).alias("model"), "gram").agg(*[c.alias(name) for name, c in surprise.items()]))
+    def added(df: DataFrame, *by: str | Column) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    own = stored(added(grams, "style", "gram"))
+    counts = stored(named(own).where(F.col("model") != POOLED).select(F.col("model").alias("style"), "gram", "n0", "n1").unionByName(
+        added(own, "gram").select(F.lit(POOLED).alias("style"), "gram", "n0", "n1")).withColumn("n", F.col("n0") + F.col("n1")))
+    models = stored(kneser_ney(counts, {"n": "s", "n0": "s0", "n1": "s1"}).select(
+        F.col("style").alias("model"), "gram", *[F.col(c).cast("float").alias(c) for c in ("s", "s0", "s1")]))
     pooled = models.where(F.col("model") == POOLED).select("gram", F.col("s0").alias("p0"), F.col("s1").alias("p1"))
-    model = models.join(pooled, "gram")
-    answers = named(grams.select("block", "style", "gram")).join(model, ["model", "gram"]).select("block", "style", "gram", *SURPRISES)
+    # only grams of trusted lines are looked up in the models of the other fold
+    answers = named(grams).join(models.join(pooled, "gram"), ["model", "gram"]).select("block", "style", "gram", "s", *[
+        F.when(F.col(f"n{1 - k}") > 0, F.col(f"{c}{k}")).otherwise(0).cast("float").alias(f"{c}{k}") for c in ("s", "p") for k in (0, 1)])
     scores = stored(block_scores(blocks, answers))
     unseen = named(scores.join(keys, "piece")).selectExpr("model", "n", "if(fold = 0, s1, s0) AS total", "if(fold = 0, p1, p0) AS pooled")
     good = unseen.where(F.col("model") != POOLED).select("model", "n", "total").unionByName(unseen.select(F.lit(POOLED).alias("model"), "n", F.col("pooled").alias("total")))
