@@ -70,7 +70,7 @@ class Blocks:
         def packed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_table(table)
             pieces = table.column(piece_at)
             return pa.RecordBatch.from_arrays([
